@@ -35,10 +35,35 @@ PUBLICATION = {
     "title_format": "string",
 }
 
+# Statuses (id, ordinal, display name, grades, unesco label, elcat label).
+STATUS_ROWS = (
+    ("safe", 1, "not endangered", "<=6a", "safe", "at risk/safe"),
+    ("vulnerable", 2, "threatened", "6b", "vulnerable", "vulnerable"),
+    ("definite", 3, "shifting", "7", "definitely endangered", "threatened/endangered"),
+    ("severe", 4, "moribund", "8a", "severely endangered", "severely endangered"),
+    ("critical", 5, "nearly extinct", "8b", "critically endangered", "critically endangered"),
+    ("extinct", 6, "extinct", ">=9", "extinct", "dormant/awakening"),
+)
+# Document kinds, best first.
+DOCUMENT_TYPE_ROWS = (
+    ("long_grammar", 0),
+    ("grammar", 1),
+    ("grammar_sketch", 2),
+    ("phonology_or_text", 3),
+    ("wordlist_or_less", 4),
+)
+
+
+def default_statuses(spark: SparkSession) -> DataFrame:
+    """The statuses, for use without the catalogue's config files."""
+    return spark.createDataFrame(
+        list(STATUS_ROWS),
+        "id string, ordinal int, name string, egids string, unesco string, elcat string",
+    )
+
 
-def section_rows(text: Column) -> Column:
-    """MAP entries (section, keys) of a config text, without ``[DEFAULT]``."""
-    return F.filter(F.map_entries(parse_ini(text)), lambda e: e["key"] != "DEFAULT")
+def default_document_types(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(DOCUMENT_TYPE_ROWS), "id string, rank int")
 
 
 def inherit(own: Column, default: Column) -> Column:
