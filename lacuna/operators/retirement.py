@@ -33,7 +33,7 @@ def resolve_codes(spark: SparkSession, changes: DataFrame, max_hops: int = 20) -
     code, ``none`` for a retirement without successor, ``open`` for chains longer
     than ``max_hops`` (cycles among them), which stay visible.
     """
-    edges = changes.select("code", "target").distinct()
+    edges = cut_lineage(spark, changes.select("code", "target").distinct())
     moving = edges.where("target IS NOT NULL").select(
         "code", F.col("target").alias("final"), F.lit(1).alias("hops")
     )

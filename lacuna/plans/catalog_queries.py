@@ -5,21 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lacuna.checkpoints import cut_lineage
 from lacuna.functions import geo, refs
 from lacuna.functions.citation import citation_title
 from lacuna.functions.status import comment_clauses
 from lacuna.operators import geo as places
 from lacuna.operators import levels, records, retirement, status, timespans, tree
-from lacuna.plans.inputs import (
-    catalog,
-    customers,
-    latitude,
-    longitude,
-    span_end,
-    span_start,
-    suppliers,
-    table,
-)
+from lacuna.plans.inputs import LATITUDE, LONGITUDE, catalog, customers, suppliers, table
 from lacuna.plans.registry import query
 from lacuna.sources import index_pages, lookups
 
@@ -66,7 +58,7 @@ KM = """2 * 6371.0088 * asin(least(1.0, sqrt(pow(sin(radians({b}lat - {a}lat) /
 @query(f"""WITH {NODES} SELECT id AS languoid_id, name, level, lineage[-2] AS parent_id,
   lineage[1] AS top_id, CAST(len(lineage) AS INTEGER) AS depth FROM rec""")
 def ini_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog(spark, sf_dir).select("languoid_id", "name", "level", "parent_id", "top_id", "depth")
+    return catalog(spark, sf_dir, "name", "level").select("languoid_id", "name", "level", "parent_id", "top_id", "depth")
 
 
 @query(f"""WITH {CUST} SELECT id AS languoid_id, 'NOCODE_' || c_custkey AS hid, 'i' || c_custkey AS iso639_3,
@@ -76,7 +68,7 @@ def ini_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
   FROM cust""")
 def typed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Identifiers, coordinates, intervals and timestamps of records."""
-    return customers(spark, sf_dir).select(
+    return customers(spark, sf_dir, "hid", "iso639_3", "latitude", "longitude", "timespan", "endangerment").select(
         "languoid_id", "hid", "iso639_3", "latitude", "longitude",
         "timespan.start_year", "timespan.end_year", "endangerment.status", "endangerment.source",
         F.col("endangerment.date").cast("string").alias("status_date"),
@@ -86,7 +78,7 @@ def typed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {CUST} SELECT id AS languoid_id,
   'Linked to ' || n_name || ' by **pr:b' || c_custkey || '**, as is said.' AS family_text FROM cust""")
 def text_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return customers(spark, sf_dir).select(
+    return customers(spark, sf_dir, "classification").select(
         "languoid_id", F.col("classification.family").alias("family_text")
     )
 
@@ -94,7 +86,7 @@ def text_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {CUST} SELECT id AS languoid_id, unnest(CASE WHEN c_mktsegment = 'BUILDING' THEN [NULL]
   WHEN c_acctbal < 0 THEN [n_name, 'ZZ'] ELSE [n_name] END) AS country FROM cust""")
 def list_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records.explode_list(customers(spark, sf_dir), "countries", "country", keep_empty=True)
+    return records.explode_list(customers(spark, sf_dir, "countries"), "countries", "country", keep_empty=True)
 
 
 @query("""SELECT c_custkey, 'a' AS id, c_name AS name, 4 AS ord, TRUE AS current FROM customer
@@ -115,19 +107,19 @@ def default_inherit(spark: SparkSession, sf_dir: str) -> DataFrame:
   UNION ALL SELECT id, 'alpha', 'Alt ' || c_custkey, NULL FROM cust
   UNION ALL SELECT id, 'beta (1987)', c_name, NULL FROM cust""")
 def altname_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records.altnames(customers(spark, sf_dir))
+    return records.altnames(customers(spark, sf_dir, "altnames"))
 
 
 @query(f"""WITH {CUST} SELECT id AS languoid_id, c_name AS name FROM cust
   UNION ALL SELECT id, 'Alt ' || c_custkey FROM cust""")
 def altname_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records.distinct_names(customers(spark, sf_dir))
+    return records.distinct_names(customers(spark, sf_dir, "altnames"))
 
 
 @query(f"""WITH {CUST} SELECT 'en' AS lang, count(*) AS n_names FROM cust
   UNION ALL SELECT NULL, 2 * count(*) FROM cust""")
 def lang_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records.altnames(customers(spark, sf_dir)).groupBy("lang").agg(
+    return records.altnames(customers(spark, sf_dir, "altnames")).groupBy("lang").agg(
         F.count(F.lit(1)).alias("n_names")
     )
 
@@ -137,7 +129,7 @@ def lang_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
   UNION ALL SELECT id, c_name, 'https://h' || c_custkey % 7 || '.example.net/' || c_custkey,
     'h' || c_custkey % 7 || '.example.net' FROM cust""")
 def link_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records.links(customers(spark, sf_dir))
+    return records.links(customers(spark, sf_dir, "links"))
 
 
 @query("""SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host FROM pages""")
@@ -150,20 +142,20 @@ def link_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     NULL AS pages FROM cust
   UNION ALL SELECT id, 'pr', 'b' || c_custkey, '12-34' FROM cust""")
 def ref_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records.sources(customers(spark, sf_dir))
+    return records.sources(customers(spark, sf_dir, "sources"))
 
 
 @query(f"""WITH {CUST} SELECT id AS languoid_id, 'hh' AS provider, 'src' || c_custkey % 50 || ':Key' || c_custkey AS key,
     '46-48' AS pages FROM cust
   UNION ALL SELECT id, 'pr', 'b' || c_custkey, NULL FROM cust""")
 def inline_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records.prose_refs(customers(spark, sf_dir))
+    return records.prose_refs(customers(spark, sf_dir, "classification"))
 
 
 @query(f"""WITH {CUST} SELECT id AS languoid_id, 'pr:b' || c_custkey AS only_prose, '' AS only_list
   FROM cust WHERE c_mktsegment = 'MACHINERY'""")
 def derived_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records.ref_differences(customers(spark, sf_dir)).select(
+    return records.ref_differences(customers(spark, sf_dir, "classification")).select(
         "languoid_id",
         F.array_join("only_prose", ",").alias("only_prose"),
         F.array_join("only_list", ",").alias("only_list"),
@@ -184,13 +176,13 @@ def percent_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
   JOIN part p ON list_has_all(string_split(p.p_name, ' '), string_split(t.p_name, ' '))""")
 def trigger_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     titles = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("title"))
-    return records.trigger_hits(titles, catalog(spark, sf_dir)).select("p_partkey", "languoid_id")
+    return records.trigger_hits(titles, catalog(spark, sf_dir, "triggers")).select("p_partkey", "languoid_id")
 
 
 @query(f"""WITH {CUST} SELECT id AS languoid_id, y0 AS start_year, y1 AS end_year, y1 - y0 + 1 AS years FROM cust""")
 def timespan_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("timespan")
-    return customers(spark, sf_dir).select(
+    return customers(spark, sf_dir, "timespan").select(
         "languoid_id", "timespan.start_year", "timespan.end_year",
         (t["end_year"] - t["start_year"] + 1).alias("years"),
     )
@@ -203,37 +195,37 @@ def _spans(df: DataFrame) -> DataFrame:
 @query(f"""WITH {CUST}, {SUPP} SELECT s.id AS left_id, c.id AS right_id FROM supp s JOIN cust c
   ON s.y0 <= c.y1 AND c.y0 <= s.y1""")
 def timespan_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return timespans.overlap_pairs(_spans(suppliers(spark, sf_dir)), _spans(customers(spark, sf_dir)))
+    return timespans.overlap_pairs(_spans(suppliers(spark, sf_dir, "timespan")), _spans(customers(spark, sf_dir, "timespan")))
 
 
 @query(f"""WITH {CUST}, n AS (SELECT y0, y1, count(*) AS n FROM cust GROUP BY y0, y1)
   SELECT a.id, a.y0 AS start_year, a.y1 AS end_year, CAST(sum(n.n) AS BIGINT) AS n_overlaps
   FROM cust a JOIN n ON a.y0 <= n.y1 AND n.y0 <= a.y1 GROUP BY a.id, a.y0, a.y1""")
 def timespan_overlap_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spans = _spans(customers(spark, sf_dir))
+    spans = cut_lineage(spark, _spans(customers(spark, sf_dir, "timespan")))
     return timespans.overlap_counts(spans, spans)
 
 
-@query(f"WITH {CUST} SELECT id AS languoid_id FROM cust WHERE y0 <= -500 AND -500 <= y1")
+@query(f"WITH {CUST} SELECT id AS languoid_id FROM cust WHERE y0 <= 0 AND 0 <= y1")
 def timespan_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return timespans.as_of(customers(spark, sf_dir), -500).select("languoid_id")
+    return timespans.as_of(customers(spark, sf_dir, "timespan"), 0).select("languoid_id")
 
 
 @query(f"""WITH {NODES}, flat AS (SELECT id, len(lineage) AS d, unnest(lineage) AS a, generate_subscripts(lineage, 1) AS p FROM rec)
   SELECT id AS languoid_id, a AS ancestor_id, CAST(d - p AS INTEGER) AS distance FROM flat""")
 def tree_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tree.closure(catalog(spark, sf_dir))
+    return tree.closure(catalog(spark, sf_dir, "level"))
 
 
 @query(f"""WITH {NODES} SELECT id AS languoid_id FROM rec WHERE list_contains(lineage, 'n3') AND id <> 'n3'""")
 def tree_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tree.descendants(catalog(spark, sf_dir), "n3").select("languoid_id")
+    return tree.descendants(catalog(spark, sf_dir, "level"), "n3").select("languoid_id")
 
 
 @query(f"""WITH {NODES}, flat AS (SELECT unnest(lineage) AS a, generate_subscripts(lineage, 1) AS p, len(lineage) AS d FROM rec)
   SELECT a AS languoid_id, CAST(p AS INTEGER) AS depth, bool_or(p = d) AS has_record FROM flat GROUP BY a, p""")
 def nodes_from_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tree.nodes_from_paths(catalog(spark, sf_dir)).select("languoid_id", "depth", "has_record")
+    return tree.nodes_from_paths(catalog(spark, sf_dir, "level")).select("languoid_id", "depth", "has_record")
 
 
 def _order_parties(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -288,7 +280,7 @@ def lowest_common_ancestor(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT id AS languoid_id, level, NULL AS parent_level, 'top-level dialect' AS rule FROM supp WHERE level = 'dialect'
   UNION ALL SELECT id, level, 'language', 'language not under family' FROM ord WHERE level = 'language'""")
 def level_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return levels.level_violations(catalog(spark, sf_dir))
+    return levels.level_violations(catalog(spark, sf_dir, "level"))
 
 
 @query(f"""WITH {NODES}, hidden AS (
@@ -302,8 +294,10 @@ def level_infer(spark: SparkSession, sf_dir: str) -> DataFrame:
     withheld = table(spark, sf_dir, "customer").where("c_mktsegment = 'HOUSEHOLD'").select(
         F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("languoid_id")
     )
-    shown = catalog(spark, sf_dir).select("languoid_id", "lineage", "level").join(
-        withheld, "languoid_id", "left_anti"
+    shown = cut_lineage(
+        spark,
+        catalog(spark, sf_dir, "level").select("languoid_id", "lineage", "level")
+        .join(withheld, "languoid_id", "left_anti"),
     )
     nodes = tree.nodes_from_paths(shown).join(shown.select("languoid_id", "level"), "languoid_id", "left")
     return levels.infer_levels(nodes).where("level IS NULL").select("languoid_id", "inferred_level")
@@ -311,7 +305,7 @@ def level_infer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {SUPP} SELECT id AS languoid_id FROM supp WHERE level = 'language'")
 def isolate_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tree.isolates(catalog(spark, sf_dir)).select("languoid_id")
+    return tree.isolates(catalog(spark, sf_dir, "level")).select("languoid_id")
 
 
 @query(f"""WITH {NODES} SELECT lineage[1] AS top_id, count(*) AS n_records,
@@ -319,39 +313,39 @@ def isolate_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
   count(*) FILTER (WHERE level = 'dialect') AS n_dialects, CAST(max(len(lineage)) AS INTEGER) AS max_depth
   FROM rec GROUP BY 1""")
 def family_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tree.family_rollup(catalog(spark, sf_dir))
+    return tree.family_rollup(catalog(spark, sf_dir, "level"))
 
 
 @query(f"""WITH {NODES} SELECT lineage[1] AS top_id, count(*) AS n_records FROM rec
   WHERE lineage[1] NOT IN ('r0', 'r4') GROUP BY 1""")
 def family_rollup_without_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tree.family_rollup(tree.exclude_roots(catalog(spark, sf_dir), ["r0", "r4"])).select(
+    return tree.family_rollup(tree.exclude_roots(catalog(spark, sf_dir, "level"), ["r0", "r4"])).select(
         "top_id", "n_records"
     )
 
 
 @query(f"WITH {CUST} SELECT rid AS top_id, r_name AS area, count(*) AS n_languages FROM cust GROUP BY 1, 2")
 def family_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tree.family_areas(customers(spark, sf_dir))
+    return tree.family_areas(customers(spark, sf_dir, "level", "macroareas"))
 
 
 @query(f"WITH {CUST} SELECT rid AS top_id, status, count(*) AS n_records FROM cust GROUP BY 1, 2")
 def family_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tree.family_statuses(customers(spark, sf_dir))
+    return tree.family_statuses(customers(spark, sf_dir, "endangerment"))
 
 
 @query(f"""WITH {CUST} SELECT 'language' AS level, upper(substr(c_name, 1, 1)) AS initial, c_name AS name, id AS languoid_id,
   '- [' || c_name || ' [' || id || '][i' || c_custkey || ']](tree/' || rid || '/' || nid || '/' || id || '/md.ini)' AS line
   FROM cust""")
 def index_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index_pages.build_index(customers(spark, sf_dir))
+    return index_pages.build_index(customers(spark, sf_dir, "level", "name", "iso639_3"))
 
 
 @query(f"""WITH {NODES} SELECT id AS languoid_id, CASE WHEN c_acctbal < 0 THEN 'missing' ELSE 'name' END AS problem
   FROM cust WHERE c_acctbal < 0 OR c_mktsegment = 'BUILDING'""")
 def index_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries of an index of all records, checked against records that have since changed."""
-    all_records = catalog(spark, sf_dir).withColumn("iso639_3", F.lit(None).cast("string"))
+    all_records = catalog(spark, sf_dir, "level", "name").withColumn("iso639_3", F.lit(None).cast("string"))
     lines = index_pages.build_index(all_records).select(F.col("line").alias("value"))
     entries = index_pages.parse_index_lines(lines)
     state = table(spark, sf_dir, "customer").select(
@@ -372,7 +366,7 @@ def index_check(spark: SparkSession, sf_dir: str) -> DataFrame:
   count(*) AS n_records FROM rec GROUP BY 1, 2""")
 def level_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
-        catalog(spark, sf_dir)
+        catalog(spark, sf_dir, "level")
         .groupBy("level", levels.level_ordinal(F.col("level")).alias("ordinal"))
         .agg(F.count(F.lit(1)).alias("n_records"))
     )
@@ -381,7 +375,7 @@ def level_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {CUST}, {STATUSES} SELECT status, status_id, CAST(status_ordinal AS INTEGER) AS status_ordinal, count(*) AS n_records
   FROM cust JOIN statuses USING (status) GROUP BY 1, 2, 3""")
 def status_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    named = customers(spark, sf_dir).select("languoid_id", "endangerment.status")
+    named = customers(spark, sf_dir, "endangerment").select("languoid_id", "endangerment.status")
     return (
         status.status_lookup(named, lookups.default_statuses(spark))
         .groupBy("status", "status_id", "status_ordinal")
@@ -392,14 +386,14 @@ def status_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {CUST}, {STATUSES} SELECT cust.id AS languoid_id, cust.status, grade, s.status AS grade_status,
   CAST(s.status_ordinal AS INTEGER) AS grade_ordinal FROM cust LEFT JOIN statuses s ON grade_pos BETWEEN lo AND hi""")
 def status_from_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    graded = records.status_comments(customers(spark, sf_dir)).select("languoid_id", "status", "grade")
+    graded = records.status_comments(customers(spark, sf_dir, "endangerment")).select("languoid_id", "status", "grade")
     return status.status_from_grade(graded, lookups.default_statuses(spark))
 
 
 @query(f"""WITH {CUST}, {STATUSES} SELECT cust.id AS languoid_id, cust.status, s.status AS grade_status
   FROM cust JOIN statuses s ON grade_pos BETWEEN lo AND hi WHERE s.status <> cust.status""")
 def status_disagreements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    graded = records.status_comments(customers(spark, sf_dir)).select("languoid_id", "status", "grade")
+    graded = records.status_comments(customers(spark, sf_dir, "endangerment")).select("languoid_id", "status", "grade")
     return status.status_disagreements(graded, lookups.default_statuses(spark)).select(
         "languoid_id", "status", "grade_status"
     )
@@ -431,7 +425,7 @@ def status_from_label(spark: SparkSession, sf_dir: str) -> DataFrame:
   grade || CASE WHEN c_custkey % 2 = 0 THEN '*' ELSE '' END AS label,
   upper(substr(c_mktsegment, 1, 1)) || lower(substr(c_mktsegment, 2)) AS remark FROM cust""")
 def comment_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records.status_comments(customers(spark, sf_dir))
+    return records.status_comments(customers(spark, sf_dir, "endangerment"))
 
 
 @query("""SELECT 'c' || c_custkey AS id, unnest([c_name, 'Other']) AS name, unnest(['Severely endangered', 'Vulnerable']) AS label
@@ -459,7 +453,7 @@ _TARGETS = f"""{CUST}, targets AS (
 @query(f"""WITH {_TARGETS} SELECT t.languoid_id, code, reason, CAST(position AS INTEGER) AS position, target, cust.id AS target_id
   FROM targets t LEFT JOIN cust ON t.target = 'i' || cust.c_custkey""")
 def iso_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retirement.resolve_once(customers(spark, sf_dir)).select(
+    return retirement.resolve_once(customers(spark, sf_dir, "iso639_3", "iso_retirement")).select(
         "languoid_id", "code", "reason", "position", "target", "target_id"
     )
 
@@ -471,14 +465,14 @@ def iso_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT DISTINCT code, final, CAST(hops AS INTEGER) AS hops, CASE WHEN dead THEN 'none' ELSE 'current' END AS status
   FROM walk WHERE dead OR NOT EXISTS (SELECT 1 FROM targets t WHERE t.code = walk.final)""")
 def iso_resolve_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    changes = retirement.retirement_targets(customers(spark, sf_dir))
+    changes = retirement.retirement_targets(customers(spark, sf_dir, "iso_retirement"))
     return retirement.resolve_codes(spark, changes).select("code", "final", "hops", "status")
 
 
 @query(f"""WITH {CUST} SELECT CASE n_targets WHEN 0 THEN 'non-existent' WHEN 1 THEN 'merge' ELSE 'split' END AS reason,
   n_targets, count(*) AS n_records FROM cust WHERE c_acctbal < 0 GROUP BY 1, 2""")
 def retirement_arity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retirement.arity_report(customers(spark, sf_dir))
+    return retirement.arity_report(customers(spark, sf_dir, "iso_retirement"))
 
 
 @query(f"""WITH {CUST} SELECT id AS languoid_id, CASE n_targets WHEN 1 THEN 'abc' ELSE 'abc,def' END AS only_remedy,
@@ -486,7 +480,7 @@ def retirement_arity(spark: SparkSession, sf_dir: str) -> DataFrame:
     ELSE array_to_string(list_sort(['i' || (c_custkey + 1), 'i' || (c_custkey + 2)]), ',') END AS only_change_to
   FROM cust WHERE c_acctbal < 0 AND n_targets > 0""")
 def remedy_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retirement.remedy_differences(customers(spark, sf_dir)).select(
+    return retirement.remedy_differences(customers(spark, sf_dir, "iso_retirement")).select(
         "languoid_id",
         F.array_join("only_remedy", ",").alias("only_remedy"),
         F.array_join("only_change_to", ",").alias("only_change_to"),
@@ -496,7 +490,7 @@ def remedy_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {CUST} SELECT id AS languoid_id, unnest(CASE WHEN c_custkey % 2 = 0 THEN ['E16', 'E17', 'E18'] ELSE ['E20'] END) AS version
   FROM cust WHERE c_mktsegment = 'FURNITURE'""")
 def versions_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records.versions(customers(spark, sf_dir))
+    return records.versions(customers(spark, sf_dir, "hh_ethnologue_comment"))
 
 
 @query(f"""WITH {CUST}, ids AS (
@@ -520,13 +514,13 @@ def id_crosswalk(spark: SparkSession, sf_dir: str) -> DataFrame:
             )
         )
     )
-    return records.resolve_ids(codes, customers(spark, sf_dir))
+    return records.resolve_ids(codes, customers(spark, sf_dir, "identifier", "iso639_3"))
 
 
 @query(f"""WITH {CUST} SELECT id AS languoid_id, 'alpha' AS scheme, unnest(['a' || c_custkey, 'b' || c_custkey % 1000]) AS identifier FROM cust
   UNION ALL SELECT id, 'web', 'https://example.org/é ' || c_custkey FROM cust""")
 def identifier_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records.identifiers(customers(spark, sf_dir))
+    return records.identifiers(customers(spark, sf_dir, "identifier"))
 
 
 @query("""SELECT p_partkey, p_name || ' database ' || p_size AS title FROM part""")
@@ -557,11 +551,13 @@ def geo_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
     c = table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("o_custkey"),
-        latitude(F.col("c_custkey")).alias("lat1"), longitude(F.col("c_custkey")).alias("lon1"),
+        F.expr(LATITUDE.format(k="c_custkey")).alias("lat1"),
+        F.expr(LONGITUDE.format(k="c_custkey")).alias("lon1"),
     )
-    key = F.col("s_suppkey") * 31
     s = table(spark, sf_dir, "supplier").select(
-        F.col("s_suppkey").alias("l_suppkey"), latitude(key).alias("lat2"), longitude(key).alias("lon2")
+        F.col("s_suppkey").alias("l_suppkey"),
+        F.expr(LATITUDE.format(k="(s_suppkey * 31)")).alias("lat2"),
+        F.expr(LONGITUDE.format(k="(s_suppkey * 31)")).alias("lon2"),
     )
     km = geo.haversine_km(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"))
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")
@@ -584,5 +580,5 @@ def _places(df: DataFrame) -> DataFrame:
 def geo_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three suppliers nearest to each customer."""
     return places.nearest_places(
-        _places(customers(spark, sf_dir)), _places(suppliers(spark, sf_dir)), 3
+        _places(customers(spark, sf_dir, "latitude", "longitude")), _places(suppliers(spark, sf_dir, "latitude", "longitude")), 3
     ).withColumn("distance_km", F.round("distance_km", 3))

@@ -7,7 +7,9 @@ that the queries go through the same parser. Regions have no record file.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import re
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lacuna.eval import GoldItem, Split
@@ -15,61 +17,102 @@ from lacuna.functions.status import GRADE_ORDER
 from lacuna.kb import KnowledgeBase
 from lacuna.sources.catalog import parse_records
 
-HEADER = "# -*- coding: utf-8 -*-"
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _values(*items: Column) -> Column:
-    """A list value: each item on its own indented line; NULL items are left out."""
-    return F.concat(F.lit("\n"), F.concat_ws("\n", *[F.concat(F.lit("\t"), i) for i in items]))
-
-
-def _key(name: str, value: Column) -> Column:
-    """A key line, or NULL for a NULL value."""
-    return F.concat(F.lit(f"{name} = "), value)
-
-
-def _section(name: str, *keys: Column, when: Column | None = None) -> Column:
-    body = F.concat(F.lit(f"\n[{name}]\n"), F.concat_ws("\n", *keys), F.lit("\n"))
-    return body if when is None else F.when(when, body)
-
-
-def _year(y: Column) -> Column:
-    return F.concat(F.when(y < 0, "-").otherwise(""), F.lpad(F.abs(y).cast("string"), 4, "0"))
-
-
-def _two(n: Column) -> Column:
-    return F.lpad(n.cast("string"), 2, "0")
-
-
-def span_start(key: Column) -> Column:
-    return (key * 37 % 3000 - 1000).cast("int")
-
-
-def span_end(key: Column) -> Column:
-    return (span_start(key) + key % 11).cast("int")
-
-
-def latitude(key: Column) -> Column:
-    return (key * 7919 % 170001) / 1000 - 85
-
-
-def longitude(key: Column) -> Column:
-    return (key * 104729 % 360001) / 1000 - 180
-
-
-def status_name(segment: Column, balance: Column) -> Column:
-    return (
-        F.when(balance < 0, "extinct")
-        .when(segment == "AUTOMOBILE", "not endangered")
-        .when(segment == "BUILDING", "threatened")
-        .when(segment == "FURNITURE", "shifting")
-        .when(segment == "HOUSEHOLD", "moribund")
-        .otherwise("nearly extinct")
-    )
+def _literal(text: str) -> str:
+    escaped = text.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n").replace("\t", "\\t")
+    return f"'{escaped}'"
+
+
+def fill_in(template: str) -> str:
+    """SQL that concatenates a template's text with its ``<<expressions>>``."""
+    pieces = re.split(r"<<(.*?)>>", template, flags=re.S)
+    parts = [_literal(x) if n % 2 == 0 else f"string({x})" for n, x in enumerate(pieces) if x]
+    return f"concat({', '.join(parts)})"
+
+
+def _year(y: str) -> str:
+    return f"concat(if({y} < 0, '-', ''), lpad(abs({y}), 4, '0'))"
+
+
+SPAN_START = "int({k} * 37 % 3000 - 1000)"
+SPAN_END = "int({k} * 37 % 3000 - 1000 + {k} % 11)"
+LATITUDE = "({k} * 7919 % 170001) / 1000 - 85"
+LONGITUDE = "({k} * 104729 % 360001) / 1000 - 180"
+
+
+def _span(k: str) -> str:
+    start, end = _year(SPAN_START.format(k=k)), _year(SPAN_END.format(k=k))
+    return f"concat({start}, '-01-01/', {end}, '-01-01')"
+
+
+# Every customer has all the sections that its row gives rise to.
+_CUSTOMER = f"""# -*- coding: utf-8 -*-
+[core]
+name = <<c_name>>
+level = language
+iso639-3 = i<<c_custkey>>
+hid = NOCODE_<<c_custkey>>
+latitude = <<{LATITUDE.format(k='c_custkey')}>>
+longitude = <<{LONGITUDE.format(k='c_custkey')}>>
+macroareas =
+\t<<r_name>>
+countries = <<if(c_mktsegment = 'BUILDING', '', concat('\\n\\t', n_name))>><<if(c_mktsegment <> 'BUILDING' and c_acctbal < 0, '\\n\\tZZ', '')>>
+links =
+\thttps://example.org/c/<<c_custkey>>?q=%20a
+\t[<<c_name>>](https://h<<c_custkey % 7>>.example.net/<<c_custkey>>)
+timespan = <<{_span('c_custkey')}>>
+
+[sources]
+main =
+\t**hh:src<<c_custkey % 50>>:Key<<c_custkey>>**
+\t**pr:b<<c_custkey>>**:12-34
+
+[altnames]
+alpha =
+\t<<c_name>> [en]
+\tAlt <<c_custkey>>
+\t<<c_name>> [en]
+beta (1987) =
+\t<<c_name>>
+
+[identifier]
+alpha = a<<c_custkey>>;b<<c_custkey % 1000>>
+web = https://example.org/%C3%A9%20<<c_custkey>>
+
+[classification]
+family = Linked to <<n_name>>
+\tby **pr:b<<c_custkey>>**, as is said.
+sub = **hh:src<<c_custkey % 50>>:Key<<c_custkey>>**:46-48, after **pr:b<<c_custkey>>**.
+subrefs =
+\t**hh:src<<c_custkey % 50>>:Key<<c_custkey>>**<<if(c_mktsegment = 'MACHINERY', '', concat('\\n\\t**pr:b', c_custkey, '**'))>>
+
+[endangerment]
+status = <<case when c_acctbal < 0 then 'extinct' when c_mktsegment = 'AUTOMOBILE' then 'not endangered'
+  when c_mktsegment = 'BUILDING' then 'threatened' when c_mktsegment = 'FURNITURE' then 'shifting'
+  when c_mktsegment = 'HOUSEHOLD' then 'moribund' else 'nearly extinct' end>>
+source = E28
+date = 2020-<<lpad(c_custkey % 12 + 1, 2, '0')>>-<<lpad(c_custkey % 28 + 1, 2, '0')>>T<<lpad(c_custkey % 24, 2, '0')>>:00:00
+comment = <<c_name>> (c<<c_custkey>>-x) = <<split('{",".join(GRADE_ORDER)}', ',')[int(c_custkey % 13)]>><<if(c_custkey % 2 = 0, '*', '')>> (<<initcap(c_mktsegment)>>).
+"""
+_RETIREMENT = """
+[iso_retirement]
+remedy = <<case c_custkey % 3 when 0 then 'No successor' when 1 then 'Merge into [abc]' else 'Split into [abc] and [def]' end>>
+code = i<<c_custkey>>
+name = <<c_name>>
+effective = 2017-<<lpad(c_custkey % 12 + 1, 2, '0')>>-<<lpad(c_custkey % 28 + 1, 2, '0')>>
+reason = <<case c_custkey % 3 when 0 then 'non-existent' when 1 then 'merge' else 'split' end>>
+change_to = <<if(c_custkey % 3 = 2, concat('\\n\\ti', c_custkey + 2), '')>><<if(c_custkey % 3 > 0, concat('\\n\\ti', c_custkey + 1), '')>>
+"""
+_COMMENT = """
+[hh_ethnologue_comment]
+comment = <<c_name>> is missing
+comment_type = <<if(c_custkey % 3 = 0, 'Spurious', 'Missing')>>
+ethnologue_versions = <<if(c_custkey % 2 = 0, 'E16/E17/E18', 'E20')>>
+isohid = NOCODE_<<c_custkey>>
+"""
 
 
 def customer_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,204 +120,76 @@ def customer_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     nations = table(spark, sf_dir, "nation").join(
         table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")
     )
-    c = table(spark, sf_dir, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
-    k = F.col("c_custkey")
-    kid = F.concat(F.lit("c"), k.cast("string"))
-    name, segment, balance = F.col("c_name"), F.col("c_mktsegment"), F.col("c_acctbal")
-    word = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
-    key = k.cast("string")
-    first_ref = word("**hh:src", (k % 50).cast("string"), ":Key", key, "**")
-    second_ref = word("**pr:b", key, "**")
-    grades = F.array(*[F.lit(g) for g in GRADE_ORDER])
-    grade = F.element_at(grades, (k % len(GRADE_ORDER)).cast("int") + 1)
-    retired = balance < 0
-    n_targets = (k % 3).cast("int")
-    text = F.concat_ws(
-        "",
-        F.lit(HEADER),
-        _section(
-            "core",
-            _key("name", name),
-            _key("level", F.lit("language")),
-            _key("iso639-3", word("i", key)),
-            _key("hid", word("NOCODE_", key)),
-            _key("latitude", latitude(k).cast("string")),
-            _key("longitude", longitude(k).cast("string")),
-            _key("macroareas", _values(F.col("r_name"))),
-            _key(
-                "countries",
-                F.when(segment == "BUILDING", F.lit(""))
-                .when(balance < 0, _values(F.col("n_name"), F.lit("ZZ")))
-                .otherwise(_values(F.col("n_name"))),
-            ),
-            _key(
-                "links",
-                _values(
-                    word("https://example.org/c/", key, "?q=%20a"),
-                    word("[", name, "](https://h", (k % 7).cast("string"), ".example.net/", key, ")"),
-                ),
-            ),
-            _key(
-                "timespan",
-                word(_year(span_start(k)), "-01-01/", _year(span_end(k)), "-01-01"),
-            ),
-        ),
-        _section("sources", _key("main", _values(first_ref, word(second_ref, ":12-34")))),
-        _section(
-            "altnames",
-            _key("alpha", _values(word(name, " [en]"), word("Alt ", key), word(name, " [en]"))),
-            _key("beta (1987)", _values(name)),
-        ),
-        _section(
-            "identifier",
-            _key("alpha", word("a", key, ";b", (k % 1000).cast("string"))),
-            _key("web", word("https://example.org/%C3%A9%20", key)),
-        ),
-        _section(
-            "classification",
-            _key("family", word("Linked to ", F.col("n_name"), _values(word("by ", second_ref, ", as is said.")))),
-            _key("sub", word(first_ref, ":46-48, after ", second_ref, ".")),
-            _key(
-                "subrefs",
-                F.when(segment == "MACHINERY", _values(first_ref)).otherwise(_values(first_ref, second_ref)),
-            ),
-        ),
-        _section(
-            "endangerment",
-            _key("status", status_name(segment, balance)),
-            _key("source", F.lit("E28")),
-            _key(
-                "date",
-                word("2020-", _two(k % 12 + 1), "-", _two(k % 28 + 1), "T", _two(k % 24), ":00:00"),
-            ),
-            _key(
-                "comment",
-                word(
-                    name, " (", kid, "-x) = ", grade,
-                    F.when(k % 2 == 0, "*").otherwise(""), " (", F.initcap(segment), ").",
-                ),
-            ),
-        ),
-        _section(
-            "iso_retirement",
-            _key(
-                "remedy",
-                F.when(n_targets == 0, F.lit("No successor"))
-                .when(n_targets == 1, F.lit("Merge into [abc]"))
-                .otherwise(F.lit("Split into [abc] and [def]")),
-            ),
-            _key("code", word("i", key)),
-            _key("name", name),
-            _key("effective", word("2017-", _two(k % 12 + 1), "-", _two(k % 28 + 1))),
-            _key(
-                "reason",
-                F.when(n_targets == 0, "non-existent").when(n_targets == 1, "merge").otherwise("split"),
-            ),
-            _key(
-                "change_to",
-                F.when(n_targets == 0, F.lit(""))
-                .when(n_targets == 1, _values(word("i", (k + 1).cast("string"))))
-                .otherwise(
-                    _values(word("i", (k + 2).cast("string")), word("i", (k + 1).cast("string")))
-                ),
-            ),
-            when=retired,
-        ),
-        _section(
-            "hh_ethnologue_comment",
-            _key("comment", word(name, " is missing")),
-            _key("comment_type", F.when(k % 3 == 0, "Spurious").otherwise("Missing")),
-            _key("ethnologue_versions", F.when(k % 2 == 0, F.lit("E16/E17/E18")).otherwise(F.lit("E20"))),
-            _key("isohid", word("NOCODE_", key)),
-            when=segment == "FURNITURE",
-        ),
+    text = (
+        f"concat({fill_in(_CUSTOMER)}, if(c_acctbal < 0, {fill_in(_RETIREMENT)}, ''), "
+        f"if(c_mktsegment = 'FURNITURE', {fill_in(_COMMENT)}, '')) AS text"
     )
-    path = word(
-        "file:/data/tree/r", F.col("r_regionkey").cast("string"), "/n",
-        F.col("n_nationkey").cast("string"), "/", kid, "/md.ini",
+    path = fill_in("file:/data/tree/r<<r_regionkey>>/n<<n_nationkey>>/c<<c_custkey>>/md.ini")
+    return (
+        table(spark, sf_dir, "customer")
+        .join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
+        .selectExpr(f"{path} AS path", text)
     )
-    return c.select(path.alias("path"), text.alias("text"))
 
 
 def nation_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations, as families. Each has the words of one part name as a trigger."""
-    n = table(spark, sf_dir, "nation")
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name")
-    rows = n.join(p, F.col("n_nationkey") == F.col("p_partkey"), "left")
-    key = F.col("n_nationkey").cast("string")
-    trigger = F.replace(F.col("p_name"), F.lit(" "), F.lit(" AND "))
-    text = F.concat_ws(
-        "",
-        F.lit(HEADER),
-        _section("core", _key("name", F.col("n_name")), _key("level", F.lit("family"))),
-        _section("triggers", _key("lgcode", _values(trigger)), when=trigger.isNotNull()),
-    )
-    path = F.concat(
-        F.lit("file:/data/tree/r"), F.col("n_regionkey").cast("string"), F.lit("/n"), key, F.lit("/md.ini")
+    core = fill_in("# -*- coding: utf-8 -*-\n[core]\nname = <<n_name>>\nlevel = family\n")
+    trigger = fill_in("\n[triggers]\nlgcode =\n\t<<replace(p_name, ' ', ' AND ')>>\n")
+    path = fill_in("file:/data/tree/r<<n_regionkey>>/n<<n_nationkey>>/md.ini")
+    return (
+        table(spark, sf_dir, "nation")
+        .join(p, F.col("n_nationkey") == F.col("p_partkey"), "left")
+        .selectExpr(f"{path} AS path", f"concat({core}, coalesce({trigger}, '')) AS text")
     )
-    return rows.select(path.alias("path"), text.alias("text"))
 
 
 def order_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders, as dialects of their customer; pending ones claim to be languages."""
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     n = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
-    o = (
+    text = fill_in(
+        "# -*- coding: utf-8 -*-\n[core]\nname = Order <<o_orderkey>>\n"
+        "level = <<if(o_orderstatus = 'P', 'language', 'dialect')>>\n"
+    )
+    path = fill_in("file:/data/tree/r<<n_regionkey>>/n<<n_nationkey>>/c<<c_custkey>>/o<<o_orderkey>>/md.ini")
+    return (
         table(spark, sf_dir, "orders")
         .select("o_orderkey", "o_custkey", "o_orderstatus")
         .join(c, F.col("o_custkey") == F.col("c_custkey"))
         .join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+        .selectExpr(f"{path} AS path", f"{text} AS text")
     )
-    key = F.col("o_orderkey").cast("string")
-    level = F.when(F.col("o_orderstatus") == "P", "language").otherwise("dialect")
-    text = F.concat_ws(
-        "",
-        F.lit(HEADER),
-        _section("core", _key("name", F.concat(F.lit("Order "), key)), _key("level", level)),
-    )
-    path = F.concat(
-        F.lit("file:/data/tree/r"), F.col("n_regionkey").cast("string"), F.lit("/n"),
-        F.col("n_nationkey").cast("string"), F.lit("/c"), F.col("c_custkey").cast("string"),
-        F.lit("/o"), key, F.lit("/md.ini"),
-    )
-    return o.select(path.alias("path"), text.alias("text"))
 
 
 def supplier_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers, as roots: families if in debt, dialects if rich, else languages."""
-    s = table(spark, sf_dir, "supplier")
-    key, balance = F.col("s_suppkey"), F.col("s_acctbal")
-    level = F.when(balance < 0, "family").when(balance > 9000, "dialect").otherwise("language")
-    text = F.concat_ws(
-        "",
-        F.lit(HEADER),
-        _section(
-            "core",
-            _key("level", level),
-            _key("name", F.col("s_name")),
-            _key("longitude", longitude(key * 31).cast("string")),
-            _key("latitude", latitude(key * 31).cast("string")),
-            _key("timespan", F.concat(_year(span_start(key)), F.lit("-01-01/"), _year(span_end(key)), F.lit("-01-01"))),
-        ),
+    k = "(s_suppkey * 31)"
+    text = fill_in(
+        "# -*- coding: utf-8 -*-\n[core]\n"
+        "level = <<case when s_acctbal < 0 then 'family' when s_acctbal > 9000 then 'dialect' else 'language' end>>\n"
+        f"name = <<s_name>>\nlongitude = <<{LONGITUDE.format(k=k)}>>\nlatitude = <<{LATITUDE.format(k=k)}>>\n"
+        f"timespan = <<{_span('s_suppkey')}>>\n"
     )
-    path = F.concat(F.lit("file:/data/tree/s"), key.cast("string"), F.lit("/md.ini"))
-    return s.select(path.alias("path"), text.alias("text"))
+    path = fill_in("file:/data/tree/s<<s_suppkey>>/md.ini")
+    return table(spark, sf_dir, "supplier").selectExpr(f"{path} AS path", f"{text} AS text")
 
 
-def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse_records(customer_texts(spark, sf_dir))
+def customers(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return parse_records(customer_texts(spark, sf_dir), columns)
 
 
-def suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse_records(supplier_texts(spark, sf_dir))
+def suppliers(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return parse_records(supplier_texts(spark, sf_dir), columns)
 
 
-def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+def catalog(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """All records of the stand-in catalogue."""
     texts = nation_texts(spark, sf_dir)
     for part in (customer_texts, order_texts, supplier_texts):
         texts = texts.unionByName(part(spark, sf_dir))
-    return parse_records(texts)
+    return parse_records(texts, columns)
 
 
 def knowledge_base(spark: SparkSession, sf_dir: str) -> KnowledgeBase:

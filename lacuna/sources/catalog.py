@@ -6,6 +6,8 @@ parsed in the JVM and written as Parquet; queries run on the Parquet table.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,7 +37,8 @@ def lineage_of_path(path: Column) -> Column:
 def with_lineage(df: DataFrame, lineage: Column | str = "lineage") -> DataFrame:
     """Add id, parent, root and depth, all from the lineage array."""
     line = F.col(lineage) if isinstance(lineage, str) else lineage
-    df = df.withColumn("lineage", line)
+    if not isinstance(lineage, str):
+        df = df.withColumn("lineage", line)
     line = F.col("lineage")
     return df.withColumns(
         {
@@ -62,85 +65,111 @@ def _split_ids(entry: Column) -> Column:
     return F.filter(trimmed, lambda v: v != "")
 
 
-def record_columns(ini: Column) -> dict[str, Column]:
-    """Typed columns of a record, from its parsed INI map."""
-
-    def text(section: str, key: str) -> Column:
-        return I.ini_text(ini, section, key)
-
-    def items(section: str, key: str) -> Column:
-        return I.ini_list(ini, section, key)
-
-    def section(section_name: str, /, **fields: Column) -> Column:
-        present = F.try_element_at(ini, F.lit(section_name)).isNotNull()
-        return F.when(present, F.struct(*[c.alias(k) for k, c in fields.items()]))
-
-    return {
-        "name": text("core", "name"),
-        "level": text("core", "level"),
-        "macroareas": items("core", "macroareas"),
-        "countries": items("core", "countries"),
-        "latitude": text("core", "latitude").try_cast("double"),
-        "longitude": text("core", "longitude").try_cast("double"),
-        "hid": text("core", "hid"),
-        "iso639_3": text("core", "iso639-3"),
-        "timespan": intervals.timespan(text("core", "timespan")),
-        "name_comment": text("core", "name_comment"),
-        "name_pronunciation": text("core", "name_pronunciation"),
-        "links": F.transform(items("core", "links"), refs.link_struct),
-        "altnames": F.transform_values(
-            F.try_element_at(ini, F.lit("altnames")), lambda _, v: I.entry_list(v)
-        ),
-        "identifier": F.transform_values(
-            F.try_element_at(ini, F.lit("identifier")), lambda _, v: _split_ids(v)
-        ),
-        "sources": refs.ref_list(_all_values(ini, "sources")),
-        "classification": section(
-            "classification",
-            sub=text("classification", "sub"),
-            family=text("classification", "family"),
-            subrefs=refs.ref_list(items("classification", "subrefs")),
-            familyrefs=refs.ref_list(items("classification", "familyrefs")),
-        ),
-        "triggers": refs.triggers(_all_values(ini, "triggers")),
-        "endangerment": section(
-            "endangerment",
-            status=text("endangerment", "status"),
-            source=text("endangerment", "source"),
-            date=text("endangerment", "date").try_cast("timestamp_ntz"),
-            comment=text("endangerment", "comment"),
-        ),
-        "iso_retirement": section(
-            "iso_retirement",
-            code=text("iso_retirement", "code"),
-            name=text("iso_retirement", "name"),
-            effective=text("iso_retirement", "effective").try_cast("date"),
-            reason=text("iso_retirement", "reason"),
-            change_to=items("iso_retirement", "change_to"),
-            change_request=text("iso_retirement", "change_request"),
-            remedy=text("iso_retirement", "remedy"),
-            comment=text("iso_retirement", "comment"),
-        ),
-        "hh_ethnologue_comment": section(
-            "hh_ethnologue_comment",
-            comment=text("hh_ethnologue_comment", "comment"),
-            comment_type=text("hh_ethnologue_comment", "comment_type"),
-            ethnologue_versions=refs.version_list(
-                text("hh_ethnologue_comment", "ethnologue_versions")
-            ),
-            isohid=text("hh_ethnologue_comment", "isohid"),
-        ),
-    }
-
-
-def parse_records(records: DataFrame) -> DataFrame:
-    """(path, text) to typed records. No shuffle: each record is parsed where it is read."""
-    parsed = records.select("path", I.parse_ini(F.col("text")).alias("ini"))
-    typed = parsed.select(
-        lineage_of_path(F.col("path")).alias("lineage"),
-        *[c.alias(k) for k, c in record_columns(F.col("ini")).items()],
+def _text(ini: Column, section: str, key: str) -> Column:
+    return I.ini_text(ini, section, key)
+
+
+def _items(ini: Column, section: str, key: str) -> Column:
+    return I.ini_list(ini, section, key)
+
+
+def _section(ini: Column, section_name: str, /, **fields: Column) -> Column:
+    """A struct, NULL for records without the section."""
+    present = F.try_element_at(ini, F.lit(section_name)).isNotNull()
+    return F.when(present, F.struct(*[c.alias(k) for k, c in fields.items()]))
+
+
+def _classification(ini: Column) -> Column:
+    name = "classification"
+    return _section(
+        ini, name,
+        sub=_text(ini, name, "sub"),
+        family=_text(ini, name, "family"),
+        subrefs=refs.ref_list(_items(ini, name, "subrefs")),
+        familyrefs=refs.ref_list(_items(ini, name, "familyrefs")),
+    )
+
+
+def _endangerment(ini: Column) -> Column:
+    name = "endangerment"
+    return _section(
+        ini, name,
+        status=_text(ini, name, "status"),
+        source=_text(ini, name, "source"),
+        date=_text(ini, name, "date").try_cast("timestamp_ntz"),
+        comment=_text(ini, name, "comment"),
     )
-    return with_lineage(typed)
+
+
+def _retirement(ini: Column) -> Column:
+    name = "iso_retirement"
+    return _section(
+        ini, name,
+        code=_text(ini, name, "code"),
+        name=_text(ini, name, "name"),
+        effective=_text(ini, name, "effective").try_cast("date"),
+        reason=_text(ini, name, "reason"),
+        change_to=_items(ini, name, "change_to"),
+        change_request=_text(ini, name, "change_request"),
+        remedy=_text(ini, name, "remedy"),
+        comment=_text(ini, name, "comment"),
+    )
+
+
+def _listing_comment(ini: Column) -> Column:
+    name = "hh_ethnologue_comment"
+    return _section(
+        ini, name,
+        comment=_text(ini, name, "comment"),
+        comment_type=_text(ini, name, "comment_type"),
+        ethnologue_versions=refs.version_list(_text(ini, name, "ethnologue_versions")),
+        isohid=_text(ini, name, "isohid"),
+    )
+
+
+def _map_of(ini: Column, section: str, values: Callable[[Column], Column]) -> Column:
+    return F.transform_values(F.try_element_at(ini, F.lit(section)), lambda _, v: values(v))
+
+
+# How each column of a record is made from the parsed INI map.
+RECORD_COLUMNS: dict[str, Callable[[Column], Column]] = {
+    "name": lambda ini: _text(ini, "core", "name"),
+    "level": lambda ini: _text(ini, "core", "level"),
+    "macroareas": lambda ini: _items(ini, "core", "macroareas"),
+    "countries": lambda ini: _items(ini, "core", "countries"),
+    "latitude": lambda ini: _text(ini, "core", "latitude").try_cast("double"),
+    "longitude": lambda ini: _text(ini, "core", "longitude").try_cast("double"),
+    "hid": lambda ini: _text(ini, "core", "hid"),
+    "iso639_3": lambda ini: _text(ini, "core", "iso639-3"),
+    "timespan": lambda ini: intervals.timespan(_text(ini, "core", "timespan")),
+    "name_comment": lambda ini: _text(ini, "core", "name_comment"),
+    "name_pronunciation": lambda ini: _text(ini, "core", "name_pronunciation"),
+    "links": lambda ini: F.transform(_items(ini, "core", "links"), refs.link_struct),
+    "altnames": lambda ini: _map_of(ini, "altnames", I.entry_list),
+    "identifier": lambda ini: _map_of(ini, "identifier", _split_ids),
+    "sources": lambda ini: refs.ref_list(_all_values(ini, "sources")),
+    "classification": _classification,
+    "triggers": lambda ini: refs.triggers(_all_values(ini, "triggers")),
+    "endangerment": _endangerment,
+    "iso_retirement": _retirement,
+    "hh_ethnologue_comment": _listing_comment,
+}
+
+
+def parse_records(records: DataFrame, columns: Sequence[str] = ()) -> DataFrame:
+    """(path, text) to typed records, with all columns or only the named ones.
+
+    No shuffle: each record is parsed where it is read. The columns come out of a
+    generator, so filters on them act on finished values; through a plain
+    projection Spark would push them down and parse the text once more for
+    each filter.
+    """
+    lineage = lineage_of_path(F.col("path")).alias("lineage")
+    parsed = records.select(lineage, I.parse_ini(F.col("text")).alias("ini"))
+    ini = F.col("ini")
+    wanted = columns or list(RECORD_COLUMNS)
+    typed = F.struct(*[RECORD_COLUMNS[c](ini).alias(c) for c in wanted])
+    return with_lineage(parsed.select("lineage", F.inline_outer(F.array(typed))))
 
 
 def write_catalog(records: DataFrame, out: str) -> None:
