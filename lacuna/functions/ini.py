@@ -24,12 +24,19 @@ def _let(value: Column, body) -> Column:
 
 
 def _first_wins_map(entries: Column) -> Column:
-    keys = F.transform(entries, lambda e: e["key"])
-    firsts = _let(
-        keys,
-        lambda ks: F.filter(entries, lambda e, i: F.array_position(ks, e["key"]) == i + 1),
-    )
-    return F.map_from_entries(firsts)
+    """Map of (key, value) structs; the first of equal keys stays.
+
+    Entries are bound once: they hold the whole parse, and every further mention
+    would run it again.
+    """
+
+    def distinct(es: Column) -> Column:
+        return _let(
+            F.transform(es, lambda e: e["key"]),
+            lambda keys: F.filter(es, lambda e, i: F.array_position(keys, e["key"]) == i + 1),
+        )
+
+    return F.map_from_entries(_let(entries, distinct))
 
 
 def _entry(item: Column) -> Column:
@@ -61,8 +68,9 @@ def parse_ini(text: Column) -> Column:
     """MAP<section, MAP<key, STRUCT<inline STRING, lines ARRAY<STRING>>>>."""
     clean = F.regexp_replace(text, "\r\n?", "\n")
     clean = F.regexp_replace(clean, r"(?m)^[#;].*$", "")
-    chunks = F.split(F.concat(F.lit("\n"), clean), r"\n\[")
-    sections = F.slice(chunks, 2, F.greatest(F.size(chunks), F.lit(1)))
+    # What stands before the first section belongs to none.
+    chunks = F.split(F.regexp_replace(F.concat(F.lit("\n"), clean), r"^(?s).*?(?:\n\[|$)", ""), r"\n\[")
+    sections = F.filter(chunks, lambda c: c != "")
     return _first_wins_map(F.transform(sections, _section))
 
 

@@ -2,17 +2,15 @@
 
 The nearest-place search works on cubes around the unit sphere, from one cube for
 everything down to cubes of a few hundred metres, so neither the poles nor the
-date line are special. A query looks at the smallest cube of its own that holds
-enough places. Those bound how far the k-th place can be, and the cubes
-within that bound are joined by key. Where places are dense the cubes
-are small, so a crowded region does not turn into all pairs of its places, and
-no result is cut off.
+date line are special. A query first looks at the smallest cube around it that
+holds enough places. The k-th nearest of those bounds how far the search has to
+reach, and the cubes within that reach are joined by key. Where places are dense
+the cubes are small, so a crowded region does not turn into all pairs of its
+places, and no result is cut off.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,25 +75,41 @@ def nearest_places(queries: DataFrame, places: DataFrame, k: int) -> DataFrame:
         .groupBy("lat", "lon", *_AXES)
         .agg(F.max("cube_level").alias("cube_level"))
     )
-    # The own cube holds more than k places, all within its diagonal.
-    side = F.pow(F.lit(2.0), 1 - F.col("cube_level"))
-    reach = side * (math.sqrt(3) * (1 + 1e-9))
-    around = own
+    spot = leveled.select(
+        F.col("id").alias("neighbour_id"), F.col("lat").alias("nlat"), F.col("lon").alias("nlon"),
+        *[F.col(a).alias(f"n{a}") for a in _AXES], *cubes,
+    )
+    by_chord = Window.partitionBy("lat", "lon").orderBy("chord")
+    chord = F.sqrt(sum((F.pow(F.col(a) - F.col(f"n{a}"), 2) for a in _AXES), F.lit(0.0)))
+    reached = (
+        own.withColumns({f"c{a}": _cube(F.col(a), F.col("cube_level")) for a in _AXES})
+        .join(spot, cubes)
+        .select("lat", "lon", *_AXES, chord.alias("chord"))
+        .withColumn("n", F.row_number().over(by_chord))
+        .where(F.col("n") <= k + 1)
+        .groupBy("lat", "lon", *_AXES)
+        .agg(F.max("chord").alias("chord"), F.max("n").alias("n"))
+    )
+    # A margin covers rounding. Fewer places than asked for means that there are no more.
+    reach = F.when(F.col("n") > k, F.col("chord") + 1e-8).otherwise(2.0)
+    fitting = F.floor(F.log2(2.0 / F.col("reach"))).cast("int")
+    around = reached.withColumn("reach", reach).withColumn(
+        "cube_level", F.greatest(F.lit(0), F.least(F.lit(_LEVELS), fitting))
+    )
     for a in _AXES:
         around = around.withColumn(
             f"c{a}",
             F.explode(
                 F.sequence(
-                    _cube(F.col(a) - reach, F.col("cube_level")),
-                    _cube(F.col(a) + reach, F.col("cube_level")),
+                    _cube(F.col(a) - F.col("reach"), F.col("cube_level")),
+                    _cube(F.col(a) + F.col("reach"), F.col("cube_level")),
                 )
             ),
         )
-    found = around.select("lat", "lon", *cubes).join(
-        leveled.select(
-            F.col("id").alias("neighbour_id"), F.col("lat").alias("nlat"), F.col("lon").alias("nlon"), *cubes
-        ),
-        cubes,
+    found = (
+        around.select("lat", "lon", *_AXES, "reach", *cubes)
+        .join(spot, cubes)
+        .where(chord <= F.col("reach"))
     )
     km = F.round(haversine_km(F.col("lat"), F.col("lon"), F.col("nlat"), F.col("nlon")), 6)
     by_spot = Window.partitionBy("lat", "lon").orderBy("distance_km", "neighbour_id")

@@ -14,27 +14,23 @@ from pyspark.sql import functions as F
 from lacuna.sources.catalog import with_lineage
 
 
-def nodes_from_paths(records: DataFrame) -> DataFrame:
+def nodes_from_paths(records: DataFrame, *keep: str) -> DataFrame:
     """Every prefix of every lineage is a node; ``has_record`` tells if it has a file.
 
+    ``keep`` names record columns to carry along, NULL for nodes without a file.
     Each record emits one row per ancestor, and the partial aggregation folds
     the many copies of a big root before the shuffle.
     """
     prefixes = records.select(
-        F.explode(
-            F.transform(
-                F.sequence(F.lit(1), F.size("lineage")),
-                lambda d: F.struct(
-                    F.slice("lineage", 1, d).alias("lineage"),
-                    (d == F.size("lineage")).alias("has_record"),
-                ),
-            )
-        ).alias("n")
+        *keep,
+        "lineage",
+        F.explode(F.sequence(F.lit(1), F.size("lineage"))).alias("_d"),
     )
-    nodes = prefixes.groupBy(F.col("n.lineage").alias("lineage")).agg(
-        F.max("n.has_record").alias("has_record")
+    own = F.col("_d") == F.size("lineage")
+    nodes = prefixes.groupBy(F.slice("lineage", 1, F.col("_d")).alias("_node")).agg(
+        F.max(own).alias("has_record"), *[F.max(F.when(own, F.col(c))).alias(c) for c in keep]
     )
-    return with_lineage(nodes)
+    return with_lineage(nodes.withColumnRenamed("_node", "lineage"))
 
 
 def closure(records: DataFrame, include_self: bool = True) -> DataFrame:

@@ -294,12 +294,8 @@ def level_infer(spark: SparkSession, sf_dir: str) -> DataFrame:
     withheld = table(spark, sf_dir, "customer").where("c_mktsegment = 'HOUSEHOLD'").select(
         F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("languoid_id")
     )
-    shown = cut_lineage(
-        spark,
-        catalog(spark, sf_dir, "level").select("languoid_id", "lineage", "level")
-        .join(withheld, "languoid_id", "left_anti"),
-    )
-    nodes = tree.nodes_from_paths(shown).join(shown.select("languoid_id", "level"), "languoid_id", "left")
+    shown = catalog(spark, sf_dir, "level").join(withheld, "languoid_id", "left_anti")
+    nodes = cut_lineage(spark, tree.nodes_from_paths(shown, "level"))
     return levels.infer_levels(nodes).where("level IS NULL").select("languoid_id", "inferred_level")
 
 
@@ -579,6 +575,8 @@ def _places(df: DataFrame) -> DataFrame:
   SELECT id, CAST(rank AS INTEGER) AS rank, neighbour_id, round(distance_km, 3) AS distance_km FROM ranked WHERE rank <= 3""")
 def geo_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three suppliers nearest to each customer."""
-    return places.nearest_places(
-        _places(customers(spark, sf_dir, "latitude", "longitude")), _places(suppliers(spark, sf_dir, "latitude", "longitude")), 3
-    ).withColumn("distance_km", F.round("distance_km", 3))
+    asked, found = (
+        cut_lineage(spark, _places(part(spark, sf_dir, "latitude", "longitude")))
+        for part in (customers, suppliers)
+    )
+    return places.nearest_places(asked, found, 3).withColumn("distance_km", F.round("distance_km", 3))
