@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 # The order of the graded intergenerational disruption scale.
 GRADE_ORDER = ("0", "1", "2", "3", "4", "5", "6a", "6b", "7", "8a", "8b", "9", "10")
 
-_GRADE = r"^\s*(\d{1,2}[ab]?)\*?(?=\s|\.|\(|$)"
+_GRADE = r"^\s*(\d{1,2}[ab]?)\*?\s*\("
 _PREDICATE = r"^\s*(<=|>=|=)?\s*(\d{1,2}[ab]?)\s*$"
 _CLAUSE = r"^\s*(.*?)\s*\(([^()]*)\)\s*=\s*(.*?)\s*$"
 _LABEL = r"^([^(\[]*?)\s*\.?\s*(?:[(\[].*)?$"

@@ -39,14 +39,7 @@ class MeanImputer:
         """The table of means has one row per feature; Spark broadcasts it if it is
         small and otherwise shuffles, splitting hot features."""
         means = self.means(cells)
-        overall = means.agg(
-            F.coalesce(F.try_divide(F.sum("total"), F.sum("n_known").cast("double")), F.lit(0.5))
-            .alias("overall")
-        )
-        score = F.coalesce(F.col("total") / F.col("n_known"), F.col("overall"))
-        # One row against all: the scalar goes along as a broadcast literal.
-        return (
-            targets.join(means, "feature", "left")
-            .join(F.broadcast(overall))
-            .select(*prediction_columns("mean", score))
-        )
+        known = F.sum("n_known").cast("double")
+        overall = means.agg(F.coalesce(F.try_divide(F.sum("total"), known), F.lit(0.5)))
+        score = F.coalesce(F.col("total") / F.col("n_known"), overall.scalar())
+        return targets.join(means, "feature", "left").select(*prediction_columns("mean", score))
