@@ -97,10 +97,15 @@ class KnowledgeBase:
         )
 
     def wide(self, features: Sequence[str] | None = None) -> DataFrame:
-        """One row per entity, one column per feature."""
+        """One row per entity, one column per feature.
+
+        A pivot groups twice, by cell and by entity; dealt out by entity first,
+        both find their rows in place and the cells are shuffled once.
+        """
         names = list(features) if features is not None else self.features()
         return (
             self.cells.where(F.col("feature").isin(names))
+            .repartition("entity_id")
             .groupBy("entity_id")
             .pivot("feature", names)
             .agg(F.first("value", ignorenulls=True))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.functions import refs
@@ -36,25 +36,32 @@ def distinct_names(records: DataFrame) -> DataFrame:
     return records.select("languoid_id", F.explode(F.array_distinct(bare)).alias("name"))
 
 
+def _codes(entries: Column) -> Column:
+    """Map entries (scheme, ids) to an array of (scheme, identifier), URLs decoded."""
+
+    def one(scheme: Column, value: Column) -> Column:
+        decoded = F.when(value.contains("://"), refs.percent_decode(value)).otherwise(value)
+        return F.struct(scheme.alias("scheme"), decoded.alias("identifier"))
+
+    return F.flatten(
+        F.transform(entries, lambda e: F.transform(e["value"], lambda v: one(e["key"], v)))
+    )
+
+
 def identifiers(records: DataFrame) -> DataFrame:
     """(languoid_id, scheme, identifier), URL identifiers decoded."""
-    return (
-        records.select("languoid_id", F.explode("identifier").alias("scheme", "ids"))
-        .select("languoid_id", "scheme", F.explode("ids").alias("identifier"))
-        .withColumn(
-            "identifier",
-            F.when(F.col("identifier").contains("://"), refs.percent_decode(F.col("identifier")))
-            .otherwise(F.col("identifier")),
-        )
-    )
+    return records.select("languoid_id", F.inline(_codes(F.map_entries("identifier"))))
 
 
 def id_crosswalk(records: DataFrame) -> DataFrame:
-    """Every external code of a record, ISO codes included. A code may fan out."""
-    iso = records.where("iso639_3 IS NOT NULL").select(
-        "languoid_id", F.lit("iso639-3").alias("scheme"), F.col("iso639_3").alias("identifier")
+    """Every external code of a record, ISO codes included, in one pass. A code may fan out."""
+    none = F.array().cast("array<struct<scheme:string,identifier:string>>")
+    iso = F.array(F.struct(F.lit("iso639-3").alias("scheme"), F.col("iso639_3").alias("identifier")))
+    codes = F.concat(
+        F.coalesce(_codes(F.map_entries("identifier")), none),
+        F.when(F.col("iso639_3").isNotNull(), iso).otherwise(none),
     )
-    return identifiers(records).unionByName(iso)
+    return records.select("languoid_id", F.inline(codes))
 
 
 def resolve_ids(codes: DataFrame, records: DataFrame) -> DataFrame:

@@ -22,14 +22,17 @@ def status_lookup(records: DataFrame, statuses: DataFrame, status: str = "status
 
 
 def status_from_grade(graded: DataFrame, statuses: DataFrame, grade: str = "grade") -> DataFrame:
-    """Range join of a grade with the ranges of the statuses."""
-    r = status_ranges(statuses).select(
-        F.col("name").alias("grade_status"), F.col("ordinal").alias("grade_ordinal"), "lo", "hi"
+    """The status whose range of grades holds the grade.
+
+    The scale has few steps, so each range is written out step by step and the
+    range join becomes an equi-join.
+    """
+    steps = status_ranges(statuses).select(
+        F.col("name").alias("grade_status"), F.col("ordinal").alias("grade_ordinal"),
+        F.explode(F.sequence("lo", "hi")).alias("_rank"),
     )
     ranked = graded.withColumn("_rank", grade_rank(F.col(grade)))
-    return ranked.join(
-        F.broadcast(r), (F.col("_rank") >= F.col("lo")) & (F.col("_rank") <= F.col("hi")), "left"
-    ).drop("_rank", "lo", "hi")
+    return ranked.join(F.broadcast(steps), "_rank", "left").drop("_rank")
 
 
 def status_from_label(

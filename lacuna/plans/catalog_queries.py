@@ -176,7 +176,9 @@ def percent_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
   JOIN part p ON list_has_all(string_split(p.p_name, ' '), string_split(t.p_name, ' '))""")
 def trigger_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     titles = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("title"))
-    return records.trigger_hits(titles, catalog(spark, sf_dir, "triggers")).select("p_partkey", "languoid_id")
+    triggers = catalog(spark, sf_dir, "triggers").where("triggers IS NOT NULL")
+    triggers = cut_lineage(spark, triggers.select("languoid_id", "triggers"))
+    return records.trigger_hits(titles, triggers).select("p_partkey", "languoid_id")
 
 
 @query(f"""WITH {CUST} SELECT id AS languoid_id, y0 AS start_year, y1 AS end_year, y1 - y0 + 1 AS years FROM cust""")
@@ -188,6 +190,10 @@ def timespan_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Inputs that an operator reads more than once are stored first, so that their
+# texts are parsed once; a compiled catalogue makes this needless.
+
+
 def _spans(df: DataFrame) -> DataFrame:
     return df.select(F.col("languoid_id").alias("id"), "timespan.start_year", "timespan.end_year")
 
@@ -280,7 +286,8 @@ def lowest_common_ancestor(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT id AS languoid_id, level, NULL AS parent_level, 'top-level dialect' AS rule FROM supp WHERE level = 'dialect'
   UNION ALL SELECT id, level, 'language', 'language not under family' FROM ord WHERE level = 'language'""")
 def level_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return levels.level_violations(catalog(spark, sf_dir, "level"))
+    nodes = catalog(spark, sf_dir, "level").select("languoid_id", "parent_id", "level")
+    return levels.level_violations(cut_lineage(spark, nodes))
 
 
 @query(f"""WITH {NODES}, hidden AS (
@@ -341,7 +348,12 @@ def index_build(spark: SparkSession, sf_dir: str) -> DataFrame:
   FROM cust WHERE c_acctbal < 0 OR c_mktsegment = 'BUILDING'""")
 def index_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries of an index of all records, checked against records that have since changed."""
-    all_records = catalog(spark, sf_dir, "level", "name").withColumn("iso639_3", F.lit(None).cast("string"))
+    all_records = cut_lineage(
+        spark,
+        catalog(spark, sf_dir, "level", "name").select(
+            "languoid_id", "level", "name", "lineage", F.lit(None).cast("string").alias("iso639_3")
+        ),
+    )
     lines = index_pages.build_index(all_records).select(F.col("line").alias("value"))
     entries = index_pages.parse_index_lines(lines)
     state = table(spark, sf_dir, "customer").select(
@@ -449,7 +461,10 @@ _TARGETS = f"""{CUST}, targets AS (
 @query(f"""WITH {_TARGETS} SELECT t.languoid_id, code, reason, CAST(position AS INTEGER) AS position, target, cust.id AS target_id
   FROM targets t LEFT JOIN cust ON t.target = 'i' || cust.c_custkey""")
 def iso_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retirement.resolve_once(customers(spark, sf_dir, "iso639_3", "iso_retirement")).select(
+    coded = customers(spark, sf_dir, "iso639_3", "iso_retirement").select(
+        "languoid_id", "iso639_3", "iso_retirement"
+    )
+    return retirement.resolve_once(cut_lineage(spark, coded)).select(
         "languoid_id", "code", "reason", "position", "target", "target_id"
     )
 
