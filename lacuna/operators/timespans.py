@@ -42,6 +42,25 @@ def overlap_pairs(left: DataFrame, right: DataFrame, bucket_years: int = 10) ->
     )
 
 
+def overlap_spans(left: DataFrame, right: DataFrame, bucket_years: int = 10) -> DataFrame:
+    """Pairs of distinct year ranges that overlap, and how many pairs of rows each stands for.
+
+    Equal ranges are folded first, so however many rows share a range, the join
+    sees it once; the rows of a range are an equi-join away.
+    """
+
+    def folded(df: DataFrame) -> DataFrame:
+        ranges = df.groupBy("start_year", "end_year").agg(F.count(F.lit(1)).alias("n"))
+        return ranges.withColumn("id", F.struct("start_year", "end_year", "n"))
+
+    a, b = F.col("left_id"), F.col("right_id")
+    return overlap_pairs(folded(left), folded(right), bucket_years).select(
+        a["start_year"].alias("left_start"), a["end_year"].alias("left_end"),
+        b["start_year"].alias("right_start"), b["end_year"].alias("right_end"),
+        (a["n"] * b["n"]).alias("n_pairs"),
+    )
+
+
 def overlap_counts(left: DataFrame, right: DataFrame) -> DataFrame:
     """For each left range, how many right ranges overlap it; no pairs are made.
 

@@ -198,10 +198,13 @@ def _spans(df: DataFrame) -> DataFrame:
     return df.select(F.col("languoid_id").alias("id"), "timespan.start_year", "timespan.end_year")
 
 
-@query(f"""WITH {CUST}, {SUPP} SELECT s.id AS left_id, c.id AS right_id FROM supp s JOIN cust c
-  ON s.y0 <= c.y1 AND c.y0 <= s.y1""")
+@query(f"""WITH {CUST}, {SUPP} SELECT s.y0 AS left_start, s.y1 AS left_end, c.y0 AS right_start, c.y1 AS right_end,
+  count(*) AS n_pairs FROM supp s JOIN cust c ON s.y0 <= c.y1 AND c.y0 <= s.y1 GROUP BY 1, 2, 3, 4""")
 def timespan_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return timespans.overlap_pairs(_spans(suppliers(spark, sf_dir, "timespan")), _spans(customers(spark, sf_dir, "timespan")))
+    """Overlapping spans of suppliers and customers."""
+    return timespans.overlap_spans(
+        _spans(suppliers(spark, sf_dir, "timespan")), _spans(customers(spark, sf_dir, "timespan"))
+    )
 
 
 @query(f"""WITH {CUST}, n AS (SELECT y0, y1, count(*) AS n FROM cust GROUP BY y0, y1)

@@ -141,6 +141,8 @@ def test_overlaps_against_brute_force(spark):
     brute = {(a[0], b[0]) for a in spans for b in spans if a[1] <= b[2] and b[1] <= a[2]}
     pairs = timespans.overlap_pairs(df, df, bucket_years=7).collect()
     assert len(pairs) == len(brute) and {tuple(p) for p in pairs} == brute
+    spans_of = timespans.overlap_spans(df, df).agg(F.sum("n_pairs")).first()[0]
+    assert spans_of == len(brute)
     counts = {r.id: r.n_overlaps for r in timespans.overlap_counts(df, df).collect()}
     assert counts == {a[0]: sum(1 for x, _ in brute if x == a[0]) for a in spans}
 
