@@ -12,7 +12,7 @@ from lacuna.plans import all_queries
 
 HEADLINE = (
     "ini_parse", "typed_values", "nodes_from_paths", "tree_closure", "level_infer", "family_rollup",
-    "lowest_common_ancestor", "index_check", "trigger_match", "status_from_grade", "iso_resolve_chains",
+    "lowest_common_ancestor", "index_check", "trigger_match", "status_from_egids", "iso_resolve_chains",
     "timespan_overlap_counts", "geo_distance", "geo_nearest", "kb_wide", "mean_impute_metrics", "knn_impute",
     "knn_impute_metrics", "soft_impute", "prompting_impute", "kg_prompt", "evaluator_compare",
     "evaluator_calibration", "family_area_cube", "feature_errors_topk",

@@ -396,7 +396,7 @@ def status_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {CUST}, {STATUSES} SELECT cust.id AS languoid_id, cust.status, grade, s.status AS grade_status,
   CAST(s.status_ordinal AS INTEGER) AS grade_ordinal FROM cust LEFT JOIN statuses s ON grade_pos BETWEEN lo AND hi""")
-def status_from_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
+def status_from_egids(spark: SparkSession, sf_dir: str) -> DataFrame:
     graded = records.status_comments(customers(spark, sf_dir, "endangerment")).select("languoid_id", "status", "grade")
     return status.status_from_grade(graded, lookups.default_statuses(spark))
 

@@ -327,16 +327,16 @@ def reliability_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {LABELLED}, b AS (SELECT lang, least(floor(score * 15), 14)::INTEGER AS bin, count(*) AS n, avg(score) AS p, avg(gold) AS a
   FROM labelled GROUP BY 1, 2) SELECT lang, sum(n)::BIGINT AS n, round(sum(n * abs(a - p)) / sum(n), 6) AS ece FROM b GROUP BY lang""")
-def calibration_error(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ece = expected_calibration_error(labelled_documents(spark, sf_dir), 15, "score", "gold", ["lang"])
-    return ece.withColumn("ece", F.round("ece", 6))
+def ece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    error = expected_calibration_error(labelled_documents(spark, sf_dir), 15, "score", "gold", ["lang"])
+    return error.withColumn("ece", F.round("ece", 6))
 
 
 @query("""WITH said AS (SELECT event_type, CASE event_type WHEN 'click' THEN 'low' WHEN 'view' THEN ' HIGH ' WHEN 'error' THEN 'Medium'
     WHEN 'purchase' THEN 'certain' END AS label, value FROM events)
   SELECT label, (CASE lower(trim(label)) WHEN 'low' THEN 0.55 WHEN 'medium' THEN 0.75 WHEN 'high' THEN 0.95 END)::DOUBLE AS probability,
   count(*) AS n FROM said GROUP BY 1, 2""")
-def confidence_label_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
+def confidence_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         _said(spark, sf_dir)
         .groupBy("label", confidence_label_to_probability(F.col("label")).alias("probability"))

@@ -152,13 +152,14 @@ def test_haversine(spark):
     assert km == pytest.approx(267.5467, abs=1e-4)
 
 
-@pytest.mark.parametrize("k", [1, 4])
-def test_nearest_places_against_brute_force(spark, k):
+@pytest.mark.parametrize("k, cube_places", [(1, 64), (4, 3)])
+def test_nearest_places_against_brute_force(spark, k, cube_places):
     rng = random.Random(2)
     places = [(f"p{n:03d}", math.degrees(math.asin(rng.uniform(-1, 1))), rng.uniform(-180, 180)) for n in range(80)]
     places += [(f"c{n:03d}", 10 + rng.uniform(0, 0.02), 179.99 + rng.uniform(0, 0.01)) for n in range(40)]
     places += [(f"d{n:03d}", 52.5, 13.4) for n in range(40)]
     places += [("north", 90.0, 0.0), ("n2", 89.9, 170.0), ("n3", 89.9, -10.0), ("date", 10.0, -179.99)]
+    places += [(f"far{n}", -60.0 - n / 10, -120.0) for n in range(3)]
     df = spark.createDataFrame(places, "id string, lat double, lon double")
 
     def km(a, b):
@@ -171,7 +172,7 @@ def test_nearest_places_against_brute_force(spark, k):
         near = sorted((km(a, b), b[0]) for b in places if b[0] != a[0])[:k]
         brute[a[0]] = [n for _, n in near]
     got = {}
-    for r in sorted(geo.nearest_places(df, df, k).collect(), key=lambda r: (r.id, r.rank)):
+    for r in sorted(geo.nearest_places(df, df, k, cube_places).collect(), key=lambda r: (r.id, r.rank)):
         got.setdefault(r.id, []).append(r.neighbour_id)
     assert got == brute
 
