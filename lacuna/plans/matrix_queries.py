@@ -12,7 +12,6 @@ from lacuna.eval import (
     Evaluator,
     FamilyAreaAnalysis,
     FeatureErrorAnalysis,
-    GoldItem,
     ResourceSplitAnalysis,
     Split,
     compute_binary_metrics,
