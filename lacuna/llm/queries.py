@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.llm import exact, langid
+from lacuna.llm import exact, langid, near
+from lacuna.llm.store import Store
 from lacuna.plans.registry import Query, QueryFunction
 
 QUERIES: dict[str, Query] = {}
@@ -49,3 +50,9 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Group and survivor of every document, by an index that starts empty."""
     index, store = exact.new_index(spark)
     return exact.dedup(table(spark, sf_dir, "documents"), index, store)
+
+
+@query()
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document. No SQL: an exact join is too slow on whole tables; tested against brute force."""
+    return near.near_duplicates(table(spark, sf_dir, "documents"), Store(spark, "near"))
