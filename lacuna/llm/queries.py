@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.llm import exact, langid, near
+from lacuna.llm import exact, langid, latent, near
 from lacuna.llm.store import Store
 from lacuna.plans.registry import Query, QueryFunction
 
@@ -56,3 +56,11 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component of every document. No SQL: an exact join is too slow on whole tables; tested against brute force."""
     return near.near_duplicates(table(spark, sf_dir, "documents"), Store(spark, "near"))
+
+
+@query()
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items held by documents. No SQL: tested against a brute-force search."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = latent.with_leaks(docs, table(spark, sf_dir, "benchmark"), Store(spark, "leaks"))
+    return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
