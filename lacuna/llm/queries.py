@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.llm import exact, langid, latent, near
+from lacuna.llm import exact, langid, latent, near, packing
 from lacuna.llm.store import Store
 from lacuna.plans.registry import Query, QueryFunction
 
@@ -64,3 +65,17 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = latent.with_leaks(docs, table(spark, sf_dir, "benchmark"), Store(spark, "leaks"))
     return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
+
+
+def word_bpe() -> str:
+    """The tokenizer of the contract. Every executor has the same installation."""
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query()
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 2048 tokens. No SQL: tested by an exact round trip."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    pieces = packing.pack(docs, word_bpe(), Store(spark, "packing"))
+    crc = F.crc32("ids").alias("ids_crc32")
+    return pieces.select("doc_id", "start", "length", crc, "doc_tokens", "sequence_id", "offset", "curve_key")
