@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.llm import exact, langid, latent, near, packing
+from lacuna.llm import exact, langid, latent, lm, near, packing
 from lacuna.llm.store import Store
 from lacuna.plans.registry import Query, QueryFunction
 
@@ -79,3 +79,12 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(docs, word_bpe(), Store(spark, "packing"))
     crc = F.crc32("ids").alias("ids_crc32")
     return pieces.select("doc_id", "start", "length", crc, "doc_tokens", "sequence_id", "offset", "curve_key")
+
+
+@query()
+def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents. No SQL: the base is tested against counts, the model by held-out scores."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(langid.crc_remainder(F.col("doc_id"), 10) == 0, F.lit(False))
+    found = lm.score_texts(docs, docs.where(~held_out), Store(spark, "lm"))
+    return found.withColumn("held_out", held_out)
