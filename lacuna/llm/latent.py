@@ -7,7 +7,7 @@ SVD by subspace iteration gives the latent space: every pass multiplies the rows
 features-by-rank matrix, and only sums of that shape leave the tasks. Item passages weigh in
 total as much as all documents, so that the space keeps the directions asked about.
 
-Windows of 48 words (two passages) whose latent cosine to an item passage is at least
+Windows of 48 words (two passages) that hold three features or more and whose latent cosine to an item passage is at least
 ``COSINE`` are candidates. Around each the longest common subsequence with the whole item is taken,
 and the item's last words, where its answer stands, are looked for in one piece. An item
 is in a document if the subsequence has 80 % of its words, or 60 % and the answer.
@@ -16,7 +16,8 @@ Items are handled in blocks of bounded size: a block of the stated query set mee
 rows, whatever the number of items.
 
 Defined cases: null and empty texts, of documents or items, match nothing; of repeated item
-ids each row counts; without items nothing is found. Words are compared by 64-bit hashes.
+ids each row counts; without items nothing is found. Words are lower-cased, in all scripts, and compared
+by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,8 +36,10 @@ from lacuna.llm.store import Store
 from lacuna.llm.words import hash_words, small_batches
 
 PASSAGE = 24
-COMMON = 0.005
-RAREST = 4
+COMMON = 0.001
+RAREST = 6
+TOGETHER = 3
+"""Features that a window must hold at least, or as many as the item passage with the fewest."""
 RANK = 512
 OVERSAMPLING = 10
 COSINE = 0.45
@@ -56,8 +60,12 @@ class Items:
     item_of_passage: np.ndarray
 
 
+def _hashed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    return hash_words(pc.utf8_lower(column))
+
+
 def _items(rows: pd.DataFrame) -> Items:
-    hashes, bounds = hash_words(pa.array(rows["text"], pa.string(), from_pandas=True))
+    hashes, bounds = _hashed(pa.array(rows["text"], pa.string(), from_pandas=True))
     words = [hashes[bounds[i] : bounds[i + 1]] for i in range(len(rows))]
     vocabulary = np.unique(hashes)
     passages, owner = [], []
@@ -110,7 +118,7 @@ def _passage_words(docs: DataFrame, vocabulary) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup = _Lookup(vocabulary.value)
         for batch in small_batches(batches):
-            hashes, bounds = hash_words(batch.column("text"))
+            hashes, bounds = _hashed(batch.column("text"))
             at, feature = lookup(hashes)
             # A word counts once in a passage.
             pairs = np.unique(_cells(bounds, at) * len(vocabulary.value) + feature)
@@ -239,6 +247,7 @@ class LatentSpace:
     weights: np.ndarray
     vectors: np.ndarray
     queries: np.ndarray
+    together: int
 
 
 def fit(docs: DataFrame, items: Items, store: Store) -> LatentSpace:
@@ -277,7 +286,8 @@ def fit(docs: DataFrame, items: Items, store: Store) -> LatentSpace:
     vectors = (basis @ turn[:, np.argsort(-values)[:rank]]).astype(np.float32)
     queries = asked.astype(np.float32) @ vectors
     queries /= np.maximum(np.linalg.norm(queries, axis=1, keepdims=True), 1e-12)
-    return LatentSpace(weights, vectors, queries)
+    together = min(TOGETHER, *[int((weights[p] > 0).sum()) for p in items.passages])
+    return LatentSpace(weights, vectors, queries, together)
 
 
 def _diagonal(rare: DataFrame, weights) -> np.ndarray:
@@ -324,21 +334,25 @@ def _candidates(hashes, bounds, lookup, space) -> Iterator[tuple[int, int, int]]
         # The passage before the first and after the last of a piece belong to its windows too.
         low, high = np.searchsorted(cells, cells[s][0] - 1), np.searchsorted(cells, cells[s][-1] + 1, side="right")
         c, f = cells[low:high], feature[low:high]
-        latent, first = _sums(c, space.weights[f], f, space.vectors)
-        begin, own = start[low:high][first], row[low:high][first]
-        follows = np.flatnonzero(np.diff(c[first]) == 1)
-        window = latent.copy()
-        window[follows] += latent[follows + 1]
-        window = np.concatenate([window, latent[follows + 1]])
-        begin = np.concatenate([begin, begin[follows + 1]])
-        own = np.concatenate([own, own[follows + 1]])
+        first = np.flatnonzero(np.diff(c, prepend=c[0] - 1))
+        n = np.diff(first, append=len(c))
+        follows = np.diff(c[first], append=c[-1] + 2) == 1
+        # A window is a passage with the next one; where the next or the one before has no feature, it is alone.
+        both = np.flatnonzero(follows & (n + np.append(n[1:], 0) >= space.together))
+        alone = np.flatnonzero(~(follows & np.insert(follows[:-1], 0, False)) & (n >= space.together))
+        if not len(both) + len(alone):
+            continue
+        latent, _ = _sums(c, space.weights[f], f, space.vectors)
+        window = np.concatenate([latent[both] + latent[both + 1], latent[alone]])
+        at_cell = first[np.concatenate([both, alone])]
+        begin, own = start[low:high][at_cell], row[low:high][at_cell]
         window /= np.maximum(np.linalg.norm(window, axis=1, keepdims=True), 1e-12)
         i, q = np.nonzero(window @ space.queries.T >= COSINE)
         yield from zip(own[i].tolist(), begin[i].tolist(), q.tolist(), strict=True)
 
 
 def _leaks(column: pa.Array, items: Items, lookup: _Lookup, space: LatentSpace) -> list[list[dict]]:
-    hashes, bounds = hash_words(column)
+    hashes, bounds = _hashed(column)
     places: dict[tuple[int, int], set[int]] = {}
     for row, begin, passage in _candidates(hashes, bounds, lookup, space):
         places.setdefault((row, int(items.item_of_passage[passage])), set()).add(begin)
