@@ -15,7 +15,6 @@ documents; equal keys are ordered by id, then by row. Without rows there are no
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -57,14 +56,17 @@ def hilbert_keys(points: np.ndarray, bits: int) -> np.ndarray:
 
 def project(ids: list[bytes]) -> np.ndarray:
     """Four coordinates of each document, about normally distributed."""
-    out = np.zeros((len(ids), DIMENSIONS))
-    for row, raw in enumerate(ids):
-        token, count = np.unique(np.frombuffer(raw, "<u4"), return_counts=True)
-        weight = 1 + np.log(count)
-        signs = mix(token.astype(np.uint64) + np.uint64(1 << 40))
-        for d in range(DIMENSIONS):
-            out[row, d] = np.where(signs >> np.uint64(d) & np.uint64(1), weight, -weight).sum()
-        out[row] /= sqrt((weight**2).sum())
+    row = np.repeat(np.arange(len(ids)), [len(x) // 4 for x in ids])
+    pairs = np.sort(row << 32 | np.frombuffer(b"".join(ids), "<u4"))
+    first = np.flatnonzero(np.diff(pairs, prepend=-1))
+    weight = 1 + np.log(np.diff(first, append=len(pairs)))
+    row, token = pairs[first] >> 32, pairs[first] & 0xFFFFFFFF
+    signs = mix(token.astype(np.uint64) + np.uint64(1 << 40))
+    length = np.sqrt(np.bincount(row, weight**2, minlength=len(ids)))
+    out = np.empty((len(ids), DIMENSIONS))
+    for d in range(DIMENSIONS):
+        signed = np.where(signs >> np.uint64(d) & np.uint64(1), weight, -weight)
+        out[:, d] = np.bincount(row, signed, minlength=len(ids)) / length
     return out
 
 
