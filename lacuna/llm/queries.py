@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.llm import exact, langid, latent, lm, near, packing
+from lacuna.llm import exact, langid, latent, lm, near, packing, urls
 from lacuna.llm.store import Store
+from lacuna.llm.url_sql import verdict_sql
 from lacuna.plans.registry import Query, QueryFunction
 
 QUERIES: dict[str, Query] = {}
@@ -88,3 +89,15 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(langid.crc_remainder(F.col("doc_id"), 10) == 0, F.lit(False))
     found = lm.score_texts(docs, docs.where(~held_out), Store(spark, "lm"))
     return found.withColumn("held_out", held_out)
+
+
+URL_RULES = [
+    ("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"), ("com", "/de/", "block"),
+]
+
+
+@query(verdict_sql(URL_RULES))
+def op3_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's URL."""
+    return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES, Store(spark, "urls"))
