@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.llm import exact, langid, latent, lm, near, packing, urls
+from lacuna.llm import exact, langid, latent, lm, near, packing, urls, warc
 from lacuna.llm.store import Store
 from lacuna.llm.url_sql import verdict_sql
 from lacuna.plans.registry import Query, QueryFunction
@@ -101,3 +101,29 @@ URL_RULES = [
 def op3_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every page's URL."""
     return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES, Store(spark, "urls"))
+
+
+@query(
+    """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+    d AS (
+      SELECT page_id, html, hex, min(page_id) OVER (PARTITION BY hex) AS first,
+        list_transform(range(8), lambda i: ('0x' || hex[5 * i + 1:5 * i + 5])::INT) AS groups FROM p)
+    SELECT page_id, strlen(html) AS payload_bytes,
+      array_to_string(list_transform(groups, lambda g:
+        array_to_string(list_transform([15, 10, 5, 0], lambda b: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((g >> b) & 31) + 1, 1)), '')), '')
+        AS payload_digest,
+      CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+      CASE WHEN page_id <> first THEN first END AS refers_to
+    FROM d
+    """
+)
+def op2_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages, written to archives and read back."""
+    store = Store(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), store.path("archives"))
+    found = warc.read_archives(spark, store.path("archives"), blocks=False).where("kind = 'record'")
+    return found.select(
+        warc.page_of(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        warc.page_of(F.col("refers_to")).alias("refers_to"),
+    )
