@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.llm import exact, langid, latent, lm, near, packing, training_order, urls, warc
+from lacuna.llm import exact, langid, latent, lm, near, packing, passages, training_order, urls, warc
 from lacuna.llm.store import Store
 from lacuna.llm.url_sql import verdict_sql
 from lacuna.plans.registry import Query, QueryFunction
@@ -137,3 +137,10 @@ def op5_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = training_order.read_shards(spark, folder, layout)
     back = back.select("slot", "shard", "byte_offset", F.crc32("ids").alias("ids_crc32"))
     return back.join(order, "slot")
+
+
+@query()
+def op4_shared_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more in several documents. No SQL: tested against planted and brute-force passages."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return passages.shared_passages(docs, Store(spark, "passages"))
