@@ -53,7 +53,7 @@ def link_struct(item: Column) -> Column:
 
 
 def tagged_name(name: Column) -> Column:
-    """``Tambora [en]`` to (name, lang); names without a tag have lang NULL."""
+    """``Quillar [en]`` to (name, lang); names without a tag have lang NULL."""
     return F.struct(
         F.regexp_replace(name, LANG_TAG, "").alias("name"),
         _blank_to_null(F.regexp_extract(name, LANG_TAG, 1)).alias("lang"),
@@ -61,22 +61,47 @@ def tagged_name(name: Column) -> Column:
 
 
 def percent_decode(c: Column) -> Column:
-    """URL-decode; a value that is no valid encoding is kept as it is."""
-    return F.coalesce(F.try_url_decode(c), c)
+    """Percent-decode; a value that is no valid encoding is kept as it is.
+
+    A plus sign stands for itself, as it does outside of forms.
+    """
+    return F.coalesce(F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), c)
+
+
+NOT = r"^(?i:not)\s+"
 
 
 def triggers(items: Column) -> Column:
-    """Alternatives (outer array) of words that must all occur (inner array)."""
-    return F.transform(items, lambda i: F.split(i, r"\s+AND\s+"))
+    """Alternatives (outer array) of terms that must all hold (inner array). A term is a word, or ``NOT`` and a word."""
+    return F.transform(items, lambda i: F.split(i, r"\s+(?i:and)\s+"))
+
+
+def text_words(text: Column) -> Column:
+    """Distinct words: runs of letters and digits, lower-cased."""
+    return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
+
+
+def required_words(alternative: Column) -> Column:
+    """Words that a title needs; terms are taken apart like titles."""
+    terms = F.filter(alternative, lambda t: ~t.rlike(NOT))
+    return F.array_distinct(F.flatten(F.transform(terms, text_words)))
+
+
+def holds(words: Column, alternative: Column) -> Column:
+    """Whether a title with these words has all that is required and nothing that is excluded.
+
+    An alternative that requires nothing holds nowhere.
+    """
+    required = required_words(alternative)
+    excluded = F.filter(alternative, lambda t: t.rlike(NOT))
+    clear = F.forall(excluded, lambda t: F.size(F.array_except(text_words(F.regexp_replace(t, NOT, "")), words)) > 0)
+    return (F.size(required) > 0) & (F.size(F.array_except(required, words)) == 0) & clear
 
 
 def trigger_match(title: Column, alternatives: Column) -> Column:
-    """True if for some alternative every word is a word of the title."""
-    words = F.split(F.lower(title), r"[^\p{L}\p{N}]+")
-    return F.exists(
-        alternatives,
-        lambda alt: F.forall(alt, lambda w: F.array_contains(words, F.lower(w))),
-    )
+    """True if some alternative holds for the title."""
+    words = text_words(title)
+    return F.exists(alternatives, lambda alternative: holds(words, alternative))
 
 
 def derived_ref_difference(prose: Column, listed: Column) -> Column:

@@ -109,35 +109,27 @@ def versions(records: DataFrame) -> DataFrame:
     )
 
 
-def trigger_hits(titles: DataFrame, records: DataFrame, title: str = "title") -> DataFrame:
-    """(title columns, languoid_id) for titles that hold all words of an alternative.
-
-    Alternatives are joined to titles on their rarest word, so only titles
-    that hold that word are looked at; the other words are then checked in
-    place. Words are counted first to know which is rarest, which keeps a word
-    that is in a third of all titles from being a join key when any other
-    word of the alternative is rarer.
+def trigger_hits(titles: DataFrame, records: DataFrame, key: str, title: str = "title") -> DataFrame:
+    """(key, languoid_id) of the titles for which an alternative of a record holds.
+
+    ``key`` names a column that tells titles apart. An alternative is looked up by the rarest word it requires. Only
+    keys and words that are looked up are shuffled; the titles of the candidates are joined back and tested whole.
     """
-    words = F.array_distinct(F.split(F.lower(F.col(title)), r"[^\p{L}\p{N}]+"))
-    tokens = titles.withColumn("_words", words)
-    alternatives = records.select("languoid_id", F.explode("triggers").alias("_alt")).select(
-        "languoid_id", F.transform("_alt", lambda w: F.lower(w)).alias("_alt")
-    ).distinct()
-    counts = (
-        tokens.select(F.explode("_words").alias("_word"))
-        .join(alternatives.select(F.explode("_alt").alias("_word")).distinct(), "_word", "left_semi")
-        .groupBy("_word")
-        .agg(F.count(F.lit(1)).alias("_n"))
+    alternatives = records.select("languoid_id", F.explode("triggers").alias("_alt")).distinct()
+    alternatives = alternatives.withColumn("_required", refs.required_words(F.col("_alt")))
+    wanted = alternatives.select(F.explode("_required").alias("_word")).distinct()
+    tokens = titles.select(F.col(key).alias("_key"), F.explode(refs.text_words(F.col(title))).alias("_word")).join(
+        wanted, "_word", "left_semi"
     )
+    counts = tokens.groupBy("_word").agg(F.count(F.lit(1)).alias("_n"))
+    rarest = F.min_by("_word", F.struct("_n", "_word")).alias("_word")
+    # A word that no title has makes its alternative hold nowhere.
     keyed = (
-        alternatives.select("languoid_id", "_alt", F.explode("_alt").alias("_word"))
-        .join(counts, "_word")
-        .groupBy("languoid_id", "_alt")
-        .agg(F.min_by("_word", F.struct("_n", "_word")).alias("_word"))
-    )
-    hits = (
-        tokens.select("*", F.explode("_words").alias("_word"))
-        .join(keyed, "_word")
-        .where("size(array_except(_alt, _words)) = 0")
+        alternatives.select("languoid_id", "_alt", F.explode("_required").alias("_word"))
+        .join(counts, "_word", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+        .groupBy("languoid_id", "_alt").agg(rarest)
     )
-    return hits.select(*titles.columns, "languoid_id").distinct()
+    candidates = tokens.join(keyed, "_word").select("_key", "languoid_id", "_alt")
+    whole = titles.select(F.col(key).alias("_key"), refs.text_words(F.col(title)).alias("_words"))
+    hits = candidates.join(whole, "_key").where(refs.holds(F.col("_words"), F.col("_alt")))
+    return hits.select(F.col("_key").alias(key), "languoid_id").distinct()

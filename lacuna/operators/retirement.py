@@ -26,43 +26,44 @@ def resolve_once(records: DataFrame) -> DataFrame:
     return retirement_targets(records).join(now, "target", "left")
 
 
-def resolve_codes(spark: SparkSession, changes: DataFrame, max_hops: int = 20) -> DataFrame:
-    """Follow (code, target) edges to codes that are not retired themselves.
+def resolve_codes(spark: SparkSession, changes: DataFrame) -> DataFrame:
+    """Follow (code, target) edges to codes that are not retired themselves: code, final, hops, status.
 
-    Each round is one join that advances the codes whose target is retired;
-    the rest is done and leaves the loop. ``status`` is ``current`` for a final
-    code, ``none`` for a retirement without successor, ``open`` for chains longer
-    than ``max_hops`` (cycles among them), which stay visible.
+    Each round doubles the number of edges a path covers, so a chain of n codes takes log2(n) rounds. ``status``
+    is ``current`` for a final code, ``none`` for a retirement without successor. A code from which a path leads into a
+    cycle has a row with ``cycle`` and no final code; such paths are found when, after as many
+    rounds as the codes allow, they still lead on.
     """
     edges = cut_lineage(spark, changes.select("code", "target").distinct())
-    moving = edges.where("target IS NOT NULL").select(
-        "code", F.col("target").alias("final"), F.lit(1).alias("hops")
+    retired = edges.select(F.col("code").alias("target")).distinct().withColumn("leads_on", F.lit(True))
+    ends = edges.join(retired, "target", "left").select(
+        "code", "target", F.when(F.col("target").isNull(), 0).otherwise(1).alias("hops"),
+        F.when(F.col("target").isNull(), "none").when(F.col("leads_on"), "moving").otherwise("current").alias("status"),
     )
-    done = edges.where("target IS NULL").select(
-        "code", F.lit(None).cast("string").alias("final"), F.lit(0).alias("hops"),
-        F.lit("none").alias("status"),
-    )
-    retired = edges.select(F.col("code").alias("final"), F.col("target").alias("next"))
-    for hop in range(2, max_hops + 2):
-        stepped = cut_lineage(
-            spark,
-            moving.join(retired, "final", "left_anti")
-            .withColumn("status", F.lit("current"))
-            .unionByName(
-                moving.join(retired, "final").select(
-                    "code",
-                    F.coalesce("next", "final").alias("final"),
-                    F.when(F.col("next").isNull(), F.col("hops")).otherwise(F.lit(hop)).alias("hops"),
-                    F.when(F.col("next").isNull(), "none").otherwise("moving").alias("status"),
-                )
-            )
-            .distinct(),
+    # All paths of 1 edge; then of up to 2, 4, 8 ... edges from a code.
+    paths = cut_lineage(spark, ends)
+    n_codes, covered = edges.select("code").distinct().count(), 1
+    while covered <= n_codes and not paths.where("status = 'moving'").isEmpty():
+        onward = paths.select(
+            F.col("code").alias("target"), F.col("target").alias("next"), F.col("hops").alias("more"), F.col("status").alias("then")
+        )
+        moved = paths.where("status = 'moving'").drop("status").join(onward, "target").select(
+            "code", F.coalesce("next", "target").alias("target"), (F.col("hops") + F.col("more")).alias("hops"),
+            F.col("then").alias("status"),
         )
-        done = done.unionByName(stepped.where("status <> 'moving'"))
-        moving = stepped.where("status = 'moving'").drop("status")
-        if moving.isEmpty():
-            return done
-    return done.unionByName(moving.withColumn("status", F.lit("open")))
+        # What moves on is cut by its end alone: around a cycle it would else pile up by hops.
+        still = moved.where("status = 'moving'").groupBy("code", "target", "status").agg(F.max("hops").alias("hops"))
+        settled = paths.where("status <> 'moving'").unionByName(moved.where("status <> 'moving'")).distinct()
+        paths = cut_lineage(spark, settled.unionByName(still.select(settled.columns)))
+        covered *= 2
+    none = F.col("status") == "none"
+    done = paths.where("status <> 'moving'").select(
+        "code", F.when(~none | (F.col("hops") > 0), F.col("target")).alias("final"), "hops", "status"
+    )
+    circling = paths.where("status = 'moving'").select("code").distinct().select(
+        "code", F.lit(None).cast("string").alias("final"), F.lit(None).cast("int").alias("hops"), F.lit("cycle").alias("status")
+    )
+    return done.distinct().unionByName(circling)
 
 
 def arity_report(records: DataFrame) -> DataFrame:

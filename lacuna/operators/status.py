@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from lacuna.functions.status import grade_rank
 from lacuna.sources.lookups import status_labels, status_ranges
 
-# The lookup tables have a fixed handful of rows (one per status), which is
-# why they are broadcast without a further check.
-
 
 def status_lookup(records: DataFrame, statuses: DataFrame, status: str = "status") -> DataFrame:
     """Records name the display name of a status; add its id and ordinal."""
@@ -18,7 +15,7 @@ def status_lookup(records: DataFrame, statuses: DataFrame, status: str = "status
         F.col("name").alias(status), F.col("id").alias("status_id"),
         F.col("ordinal").alias("status_ordinal"),
     )
-    return records.join(F.broadcast(s), status, "left")
+    return records.join(s, status, "left")
 
 
 def status_from_grade(graded: DataFrame, statuses: DataFrame, grade: str = "grade") -> DataFrame:
@@ -32,7 +29,7 @@ def status_from_grade(graded: DataFrame, statuses: DataFrame, grade: str = "grad
         F.explode(F.sequence("lo", "hi")).alias("_rank"),
     )
     ranked = graded.withColumn("_rank", grade_rank(F.col(grade)))
-    return ranked.join(F.broadcast(steps), "_rank", "left").drop("_rank")
+    return ranked.join(steps, "_rank", "left").drop("_rank")
 
 
 def status_from_label(
@@ -45,7 +42,7 @@ def status_from_label(
     )
     return (
         labelled.withColumn("_word", F.lower(F.col(label)))
-        .join(F.broadcast(words), "_word", "left")
+        .join(words, "_word", "left")
         .drop("_word")
     )
 
@@ -58,11 +55,12 @@ def status_disagreements(graded: DataFrame, statuses: DataFrame) -> DataFrame:
 
 
 def best_document(documents: DataFrame, types: DataFrame, entity: str, document: str, kind: str) -> DataFrame:
-    """Per entity the document of the best (lowest) rank; ties by document id."""
-    ranked = documents.join(
-        F.broadcast(types.select(F.col("id").alias(kind), "rank")), kind, "inner"
-    )
-    best = F.min(F.struct("rank", document))
+    """Per entity the document of the best (lowest) rank; ties by document id.
+
+    Documents of an unknown kind have no rank and come last.
+    """
+    ranked = documents.join(types.select(F.col("id").alias(kind), "rank"), kind, "left")
+    best = F.min(F.struct(F.col("rank").isNull().alias("unranked"), "rank", document))
     return ranked.groupBy(entity).agg(best.alias("b")).select(
         entity, F.col(f"b.{document}").alias(document), F.col("b.rank").alias("rank")
     )

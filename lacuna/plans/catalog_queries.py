@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,9 +13,10 @@ from lacuna.functions.citation import citation_title
 from lacuna.functions.status import comment_clauses
 from lacuna.operators import geo as places
 from lacuna.operators import levels, records, retirement, status, timespans, tree
-from lacuna.plans.inputs import LATITUDE, LONGITUDE, catalog, customers, suppliers, table
+from lacuna.plans.inputs import LATITUDE, LONGITUDE, catalog, customers, nation_texts, suppliers, table
 from lacuna.plans.registry import query
 from lacuna.sources import index_pages, lookups
+from lacuna.sources.catalog import parse_records
 
 # SQL views of the stand-in catalogue, computed from the tables without any text.
 CUST = """cust AS (
@@ -162,13 +165,17 @@ def derived_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("SELECT page_id, url_decode(url) AS decoded, url_decode(url_encode(html)) = html AS intact FROM pages")
+@query("""SELECT page_id, url_decode(url) AS decoded, url_decode(url_encode(html)) = html AS intact,
+  url_decode(url || '+x%20' || url_encode(substr(html, 1, 40)) || '%2B') AS plus FROM pages""")
 def percent_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return pages.select(
         "page_id",
         refs.percent_decode(F.col("url")).alias("decoded"),
-        (refs.percent_decode(F.url_encode("html")) == F.col("html")).alias("intact"),
+        (refs.percent_decode(F.replace(F.url_encode("html"), F.lit("+"), F.lit("%20"))) == F.col("html")).alias("intact"),
+        refs.percent_decode(
+            F.concat("url", F.lit("+x%20"), F.replace(F.url_encode(F.substring("html", 1, 40)), F.lit("+"), F.lit("%20")), F.lit("%2B"))
+        ).alias("plus"),
     )
 
 
@@ -176,9 +183,39 @@ def percent_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
   JOIN part p ON list_has_all(string_split(p.p_name, ' '), string_split(t.p_name, ' '))""")
 def trigger_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     titles = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("title"))
-    triggers = catalog(spark, sf_dir, "triggers").where("triggers IS NOT NULL")
-    triggers = cut_lineage(spark, triggers.select("languoid_id", "triggers"))
-    return records.trigger_hits(titles, triggers).select("p_partkey", "languoid_id")
+    triggers = parse_records(nation_texts(spark, sf_dir), ("triggers",)).where("triggers IS NOT NULL")
+    return records.trigger_hits(titles, triggers.select("languoid_id", "triggers").persist(), "p_partkey")
+
+
+def _given_triggers(rows: DataFrame, key: str, text: str, pattern: str) -> DataFrame:
+    """Triggers made of words of a text; ``pattern`` has {0}, {1} ... for the words."""
+    words = F.split(F.lower(text), r"[^\p{L}\p{N}]+")
+    parts = re.split(r"\{(\d)\}", pattern)
+    line = F.concat(*[words[int(x)] if n % 2 else F.lit(x) for n, x in enumerate(parts)])
+    made = rows.select(F.col(key).cast("string").alias("languoid_id"), F.array(line).alias("lines"))
+    return made.select("languoid_id", refs.triggers(F.col("lines")).alias("triggers")).where("triggers[0][0] IS NOT NULL")
+
+
+@query("""WITH t AS (SELECT n_nationkey AS id, string_split(p_name, ' ') AS w FROM nation JOIN part ON p_partkey = n_nationkey)
+  SELECT p.p_partkey, t.id::VARCHAR AS languoid_id FROM t JOIN part p ON list_contains(string_split(p.p_name, ' '), t.w[1])
+  AND NOT list_contains(string_split(p.p_name, ' '), t.w[2])""")
+def trigger_match_negated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Triggers that exclude a word, over part names."""
+    titles = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("title"))
+    nations = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "part"), F.col("p_partkey") == F.col("n_nationkey"))
+    triggers = _given_triggers(nations, "n_nationkey", "p_name", "{0} and NOT {1}")
+    return records.trigger_hits(titles, triggers, "p_partkey")
+
+
+@query("""WITH b AS (SELECT item_id, regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+') AS w FROM benchmark),
+  d AS (SELECT doc_id, regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+') AS w FROM documents)
+  SELECT doc_id, item_id::VARCHAR AS languoid_id FROM b JOIN d ON list_contains(d.w, b.w[3]) AND list_contains(d.w, b.w[5])
+  AND NOT list_contains(d.w, b.w[8])""")
+def trigger_match_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Triggers of benchmark words, one of them excluded, over whole texts."""
+    titles = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("title"))
+    triggers = _given_triggers(table(spark, sf_dir, "benchmark"), "item_id", "text", "{2} AND {4} AND not {7}")
+    return records.trigger_hits(titles, triggers, "doc_id")
 
 
 @query(f"""WITH {CUST} SELECT id AS languoid_id, y0 AS start_year, y1 AS end_year, y1 - y0 + 1 AS years FROM cust""")

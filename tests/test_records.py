@@ -177,18 +177,33 @@ def test_trigger_match(spark):
     assert [r.m for r in got] == [True, False]
 
 
+@pytest.mark.parametrize(
+    ("line", "title", "match"),
+    [
+        ("NOT with AND brick", "Brick houses", True), ("NOT with AND brick", "brick with stone", False),
+        ("low AND mid and stone", "Stone, mid-low", True), ("low AND mid and stone", "stone low", False),
+        ("qa'poro", "On Qa'poro", True), ("na-na", "the na-na", True), ("not na-ro AND the", "the na", True),
+        ("NOT brick", "stone", False), ("nothing AND brick", "brick", False), ("brick", None, None),
+    ],
+)
+def test_trigger_terms(spark, line, title, match):
+    df = spark.createDataFrame([([line], title)], "lines array<string>, title string")
+    assert df.select(refs.trigger_match(F.col("title"), refs.triggers(F.col("lines"))).alias("m")).first().m == match
+
+
 def test_trigger_hits_equal_the_direct_test(spark):
     titles = spark.createDataFrame(
         [(1, "red old gear"), (2, "old ring"), (3, "gear of red"), (4, "")], "id int, title string"
     )
     records = spark.createDataFrame(
-        [("a", [["red", "gear"], ["ring"]]), ("b", [["old"]]), ("c", [["blue", "gear"]])],
+        [("a", [["red", "gear"], ["ring"]]), ("b", [["old"]]), ("c", [["blue", "gear"]]), ("d", [["gear", "NOT red"], ["NOT old"]]),
+         ("e", [["old", "not ring"]])],
         "languoid_id string, triggers array<array<string>>",
     )
-    got = {(r.id, r.languoid_id) for r in rec.trigger_hits(titles, records).collect()}
+    got = {(r.id, r.languoid_id) for r in rec.trigger_hits(titles, records, "id").collect()}
     direct = titles.crossJoin(records).where(refs.trigger_match(F.col("title"), F.col("triggers")))
     assert got == {(r.id, r.languoid_id) for r in direct.collect()} == {
-        (1, "a"), (3, "a"), (2, "a"), (1, "b"), (2, "b")
+        (1, "a"), (3, "a"), (2, "a"), (1, "b"), (2, "b"), (1, "e")
     }
 
 
@@ -265,4 +280,5 @@ def test_best_document(spark):
         "e string, d string, kind string",
     )
     got = status_ops.best_document(docs, lookups.default_document_types(spark), "e", "d", "kind").collect()
-    assert [tuple(r) for r in got] == [("a", "d1", 1)]
+    # A document of unknown kind is better than none.
+    assert sorted(tuple(r) for r in got) == [("a", "d1", 1), ("b", "d9", None)]

@@ -128,10 +128,20 @@ def test_resolve_codes(spark):
         [("a", "b"), ("b", "c"), ("s", "x"), ("s", "a"), ("n", None), ("m", "n"), ("p", "q"), ("q", "p")],
         "code string, target string",
     )
-    got = {tuple(r) for r in retirement.resolve_codes(spark, changes, max_hops=4).select("code", "final", "status").collect()}
+    got = {tuple(r) for r in retirement.resolve_codes(spark, changes).select("code", "final", "status").collect()}
     assert got >= {("a", "c", "current"), ("b", "c", "current"), ("s", "x", "current"), ("s", "c", "current"),
                    ("n", None, "none"), ("m", "n", "none")}
-    assert {s for c, _, s in got if c in "pq"} == {"open"}
+    assert {(f, s) for c, f, s in got if c in "pq"} == {(None, "cycle")}
+
+
+def test_resolve_long_chains(spark):
+    edges = [(f"c{i:02}", f"c{i + 1:02}") for i in range(50)] + [("in", "c00"), ("in", "x"), ("x", "y"), ("y", "z"), ("z", "x")]
+    found = retirement.resolve_codes(spark, spark.createDataFrame(edges, "code string, target string")).collect()
+    ends = {(r.code, r.status): (r.final, r.hops) for r in found}
+    assert len(ends) == len(found)
+    assert all(ends[f"c{i:02}", "current"] == ("c50", 50 - i) for i in range(50))
+    assert ends["in", "current"] == ("c50", 51)
+    assert {c for c, s in ends if s == "cycle"} == {"in", "x", "y", "z"}
 
 
 def test_overlaps_against_brute_force(spark):
