@@ -1,12 +1,13 @@
 """WARC archives: written from pages, and read back whatever is left of them.
 
 Written archives are plain WARC/1.1 text, a record a row, through Spark's text sink, so a task that is repeated
-leaves one file. Of records with equal payloads the one with the smallest id is a response, the others revisit it
+leaves one file. Each file is one gzip member. Of records with equal payloads the one with the smallest id is a response, the others revisit it
 without a payload of their own. Payloads under ``min_bytes`` are not compared.
 
 The reader takes plain archives and such with one gzip member or one for each record. A record counts if
 its version line, header, length and, where given, block digest hold. Where they do not, the
-reader goes on to the next version line, or the next gzip member that opens, and reports the bytes between as a gap.
+reader goes on to the next version line, or the next gzip member that opens, and reports the bytes between as a gap. Of a broken
+member the records that come out whole count too, those with a digest that is right or missing.
 
 Defined cases: a null payload is empty. A null id is no one's smallest unless all are null, and is written as an empty
 name. Rows with equal ids are separate records; those with the smallest id are all responses. A file comes to its
@@ -82,7 +83,8 @@ def write_archives(pages: DataFrame, path: str, *, min_bytes: int = 0, date: str
     )
     record = F.concat(header, F.lit(END), block).alias("value")
     writer = _with_roles(pages, min_bytes).select(record).write
-    writer.option("lineSep", END).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    writer = writer.option("lineSep", END).option("maxRecordsPerFile", RECORDS_PER_FILE)
+    writer.option("compression", "gzip").text(path)
 
 
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
@@ -143,6 +145,18 @@ def _member(data: bytes, at: int) -> tuple[bytes | None, int]:
     return (out, len(data) - len(opener.unused_data)) if opener.eof else (None, at)
 
 
+def _part(data: bytes, at: int) -> bytes:
+    """What comes out of the gzip member at ``at`` before it breaks."""
+    opener, out = zlib.decompressobj(31), []
+    try:
+        while at < len(data) and not opener.eof:
+            out.append(opener.decompress(data[at : at + 4096]))
+            at += 4096
+    except zlib.error:
+        pass
+    return b"".join(out)
+
+
 def salvage(data: bytes) -> Iterator[tuple]:
     """All that holds in an archive, in order, and the gaps between; places are bytes of the file."""
     if not data.startswith(_GZIP[:2]) and (_VERSION.match(data) or _GZIP not in data):
@@ -156,6 +170,10 @@ def salvage(data: bytes) -> Iterator[tuple]:
                 yield kind, at, end, what
             at = end
             continue
+        if data.startswith(_GZIP, at):  # whole records before the damage
+            for kind, _, _, what in _records(_part(data, at), exact=False):
+                if kind == "record":
+                    yield kind, at, at, what
         stop = data.find(_GZIP, at + 1)
         # A member's signature within other data does not open.
         while stop >= 0 and _member(data, stop)[0] is None:

@@ -59,6 +59,16 @@ def test_a_damaged_record_costs_only_itself(pack, harm):
         assert [s for _, s, _, _ in rows] == [0, *[e for _, _, e, _ in rows[:-1]]] and rows[-1][2] == len(data)
 
 
+def test_a_broken_member_gives_what_comes_before_the_damage():
+    rng = random.Random(1)
+    records = [record(i, rng.randbytes(3000)) for i in range(20)]
+    data = gzip.compress(b"".join(records))
+    rows = list(warc.salvage(data[: len(data) // 2]))
+    names = [w["fields"]["warc-record-id"] for k, _, _, w in rows if k == "record"]
+    assert names == [f"<urn:page:{i}>" for i in range(len(names))] and 8 <= len(names) <= 10
+    assert rows[-1][0] == "gap"
+
+
 def test_without_any_record():
     assert found(b"nothing here") == [("gap", "no version line")]
     assert found(record(1, b"x")[:-1]) == [("gap", "no end of record")]
