@@ -14,7 +14,7 @@ HEADLINE = (
     "ini_parse", "typed_values", "nodes_from_paths", "tree_closure", "level_infer", "family_rollup",
     "lowest_common_ancestor", "index_check", "trigger_match", "status_from_egids", "iso_resolve_chains",
     "timespan_overlap_counts", "geo_distance", "geo_nearest", "kb_wide", "mean_impute_metrics", "knn_impute",
-    "knn_impute_metrics", "soft_impute", "prompting_impute", "kg_prompt", "evaluator_compare",
+    "knn_impute_metrics", "soft_impute", "reply_parsing", "kg_prompt", "evaluator_compare",
     "evaluator_calibration", "family_area_cube", "feature_errors_topk",
 )
 
@@ -40,7 +40,7 @@ def main() -> None:
         return round(time.perf_counter() - start, 3)
 
     # Start the JVM's and the Python workers' code once, outside the timings.
-    for name in ("typed_values", "prompting_impute"):
+    for name in ("typed_values", "knn_impute"):
         run(name)
     timings = {name: run(name) for name in HEADLINE}
     spark.stop()

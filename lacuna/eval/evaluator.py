@@ -45,7 +45,13 @@ class Evaluator:
         return predictions.join(self.gold.select(*KEY, "gold"), KEY, "inner")
 
     def metrics(self, predictions: DataFrame, by: Sequence[str] = ("imputer",)) -> DataFrame:
-        return compute_binary_metrics(self.scored(predictions), by)
+        """Metrics of the answered cells, with the numbers of gold cells and of those without an answer.
+
+        ``by`` names columns of the predictions that tell imputers apart.
+        """
+        gold = self.gold.agg(F.count(F.lit(1)).alias("n")).scalar()
+        found = compute_binary_metrics(self.scored(predictions), by).withColumn("n_gold", gold)
+        return found.withColumn("n_unanswered", F.col("n_gold") - F.col("n"))
 
     def calibration(self, predictions: DataFrame, by: Sequence[str] = ("imputer",)) -> DataFrame:
         return Calibration(self.bins, tuple(by)).error(self.scored(predictions))

@@ -1,78 +1,13 @@
-"""Model clients: ``complete(prompts) -> replies``, one reply per prompt.
+"""What a model client is: ``complete(prompts) -> replies``, one reply per prompt.
 
 A client is pickled to the tasks, so it must be cheap until its first call.
 """
 
 from __future__ import annotations
 
-import json
-import re
 from collections.abc import Sequence
-from dataclasses import dataclass, field
-from typing import Any, Protocol
+from typing import Protocol
 
 
 class Client(Protocol):
     def complete(self, prompts: Sequence[str]) -> list[str]: ...
-
-
-@dataclass
-class HFClient:
-    """A local text-generation model, loaded once per Python worker.
-
-    Needs the ``transformers`` package on the executors.
-    """
-
-    model: str
-    max_new_tokens: int = 64
-    batch_size: int = 16
-    options: dict = field(default_factory=dict)
-    _generate: Any = field(default=None, repr=False, compare=False)
-
-    def __getstate__(self) -> dict:
-        return {**self.__dict__, "_generate": None}
-
-    def _load(self):
-        try:
-            from transformers import pipeline
-        except ImportError as e:
-            raise ImportError("HFClient needs the transformers package on every executor") from e
-        return pipeline("text-generation", model=self.model, **self.options)
-
-    def complete(self, prompts: Sequence[str]) -> list[str]:
-        if self._generate is None:
-            self._generate = self._load()
-        outputs = self._generate(
-            list(prompts), max_new_tokens=self.max_new_tokens, batch_size=self.batch_size,
-            do_sample=False, return_full_text=False,
-        )
-        return [o[0]["generated_text"] for o in outputs]
-
-
-@dataclass
-class MajorityClient:
-    """Answers by the majority of the values shown in the prompt; needs no model.
-
-    Unanimous values give high confidence, at least two thirds medium. A tie
-    counts as 1; without any value the answer is 0 with low confidence.
-    """
-
-    def complete(self, prompts: Sequence[str]) -> list[str]:
-        return [self._answer(p) for p in prompts]
-
-    @staticmethod
-    def _answer(prompt: str) -> str:
-        shown = re.findall(r"^- .*: ([01])$", prompt, re.M)
-        votes = {"0": shown.count("0"), "1": shown.count("1")}
-        for value, n in re.findall(r"^- relatives with ([01]): (\d+)$", prompt, re.M):
-            votes[value] += int(n)
-        ones, total = votes["1"], votes["0"] + votes["1"]
-        value = int(total > 0 and 2 * ones >= total)
-        agreeing = ones if value else total - ones
-        if total and agreeing == total:
-            confidence = "high"
-        elif total and 3 * agreeing >= 2 * total:
-            confidence = "medium"
-        else:
-            confidence = "low"
-        return json.dumps({"value": value, "confidence": confidence})

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lacuna.kb.knowledge_base import KEY, KnowledgeBase
@@ -13,21 +13,24 @@ def entity_type(df: DataFrame) -> str:
     return df.schema["entity_id"].dataType.simpleString()
 
 
-def feature_index(cells: DataFrame, targets: DataFrame, max_features: int) -> tuple[DataFrame, int]:
-    """(feature, i) and the number of features.
+def feature_index(cells: DataFrame, targets: DataFrame) -> tuple[DataFrame, int]:
+    """(feature, i) and the number of features, in the order of their names.
 
-    The vocabulary is the list of columns of the matrix. Its size is checked, so it
-    may pass through the driver and be broadcast.
+    A name's number is how many names lie in the ranges before its own, and before it in its
+    range; only a count for each range comes to the driver.
     """
-    names = (
-        cells.select("feature").unionByName(targets.select("feature")).distinct()
-        .limit(max_features + 1).collect()
-    )
-    if len(names) > max_features:
-        raise ValueError(f"more than {max_features} features")
-    ordered = sorted(r["feature"] for r in names)
-    rows = list(zip(ordered, range(len(ordered))))
-    return cells.sparkSession.createDataFrame(rows, "feature string, i int"), len(rows)
+    spark = cells.sparkSession
+    names = cells.select("feature").unionByName(targets.select("feature")).distinct()
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = names.repartitionByRange(parts, "feature").withColumn("part", F.spark_partition_id()).persist()
+    total, before = 0, []
+    for part, n in sorted(map(tuple, ranged.groupBy("part").count().collect())):
+        before.append((part, total))
+        total += n
+    starts = spark.createDataFrame(before, "part int, start long")
+    within = F.row_number().over(Window.partitionBy("part").orderBy("feature")) - 1
+    index = ranged.join(starts, "part").select("feature", (F.col("start") + within).cast("int").alias("i"))
+    return index, total
 
 
 def entity_rows(known: DataFrame, targets: DataFrame, index: DataFrame) -> DataFrame:
@@ -40,7 +43,7 @@ def entity_rows(known: DataFrame, targets: DataFrame, index: DataFrame) -> DataF
     wanted = targets.select(*KEY).withColumns(
         {"value": F.lit(None).cast("double"), "target": F.lit(True)}
     )
-    both = cells.unionByName(wanted).join(F.broadcast(index), "feature")
+    both = cells.unionByName(wanted).join(index, "feature")
     rows = both.groupBy("entity_id").agg(
         F.array_sort(
             F.collect_list(F.when(~F.col("target"), F.struct("i", F.col("value").alias("v"))))

@@ -2,7 +2,7 @@
 
 The distance of two entities is the mean squared difference over the features
 both know (for 0/1 values the share of mismatches), scaled and floored to an
-integer so that ranks are exact. Neighbours of a cell are the k nearest
+whole number, which takes up rounding. Neighbours of a cell are the k nearest
 entities that know its feature, ties by entity id. Distances use known cells
 only, so a target never counts towards its own prediction.
 
@@ -41,7 +41,6 @@ from lacuna.impute.common import (
 )
 from lacuna.kb.knowledge_base import KEY
 
-_NO_NEIGHBOUR = np.iinfo(np.int64).max
 _TILE_CELLS = 4_000_000
 
 
@@ -50,12 +49,18 @@ def _pack(n_features: int):
 
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("id", kind="stable")
-        data = np.full((len(rows), n_features), np.nan, dtype=np.float32)
+
+        def spread(lists: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+            lists = [x if x is not None else () for x in lists]
+            row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+            return row, np.concatenate(lists) if len(row) else np.zeros(0)
+
+        data = np.full((len(rows), n_features), np.nan)
         need = np.zeros((len(rows), n_features), dtype=bool)
-        for r, (positions, values, wanted) in enumerate(zip(rows["i"], rows["v"], rows["need"])):
-            data[r, positions] = values
-            if wanted is not None and len(wanted):
-                need[r, wanted] = True
+        row, column = spread(rows["i"])
+        data[row, column.astype(int)] = spread(rows["v"])[1]
+        row, column = spread(rows["need"])
+        need[row, column.astype(int)] = True
         return pd.DataFrame(
             {
                 "block": [int(rows["block"].iloc[0])],
@@ -68,6 +73,20 @@ def _pack(n_features: int):
     return pack
 
 
+def _first(distance: np.ndarray, count: int) -> np.ndarray:
+    """Columns of the ``count`` least of each row, in order; of equal ones those further left."""
+    if count < distance.shape[1]:
+        edge = np.partition(distance, count - 1, axis=1)[:, count - 1 : count]
+        below, level = distance < edge, distance == edge
+        room = count - below.sum(axis=1, keepdims=True)
+        chosen = below | (level & (np.cumsum(level, axis=1) <= room))
+        columns = np.nonzero(chosen)[1].reshape(len(distance), count)
+    else:
+        columns = np.broadcast_to(np.arange(distance.shape[1]), distance.shape)
+    order = np.argsort(np.take_along_axis(distance, columns, axis=1), axis=1, kind="stable")
+    return np.take_along_axis(columns, order, axis=1)
+
+
 def nearest_in_block(
     query: np.ndarray, need: np.ndarray, block: np.ndarray, k: int, scale: int
 ) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -77,31 +96,29 @@ def nearest_in_block(
     """
     n, n_features = block.shape
     known = ~np.isnan(block)
-    values = np.nan_to_num(block).astype(np.float64)
+    values = np.nan_to_num(block)
     known_f = known.astype(np.float64)
     shortlist = min(n, max(8 * k, 64))
     step = max(1, min(_TILE_CELLS // n, 2 * _TILE_CELLS // (shortlist * n_features)))
     for start in range(0, len(query), step):
         part, wanted = query[start : start + step], need[start : start + step]
         q_known = (~np.isnan(part)).astype(np.float64)
-        q = np.nan_to_num(part).astype(np.float64)
+        q = np.nan_to_num(part)
         common = q_known @ known_f.T
         squares = (q * q) @ known_f.T + q_known @ (values * values).T - 2.0 * (q @ values.T)
         np.maximum(squares, 0.0, out=squares)
-        distance = np.floor_divide(squares * scale, np.maximum(common, 1.0)).astype(np.int64)
-        order = np.where(common > 0, distance * n + np.arange(n), _NO_NEIGHBOUR)
+        distance = np.where(common > 0, np.floor(squares * scale / np.maximum(common, 1.0)), np.inf)
 
         # Nearest rows once per query; enough for every feature most rows know.
-        top = order if shortlist == n else np.partition(order, shortlist - 1, axis=1)[:, :shortlist]
-        top = np.sort(top, axis=1)
-        real = top < _NO_NEIGHBOUR
-        position = np.where(real, top % n, 0)
-        usable = known[position] & real[:, :, None]
+        top = _first(distance, shortlist)
+        real = np.isfinite(np.take_along_axis(distance, top, axis=1))
+        usable = known[top] & real[:, :, None]
         running = np.cumsum(usable, axis=1, dtype=np.int32)
         complete = (running[:, -1, :] >= k) | (shortlist == n)
         chosen = usable & (running <= k) & (wanted & complete)[:, None, :]
         row, rank, feature = np.nonzero(chosen)
-        yield row + start, feature, top[row, rank] // n, position[row, rank]
+        column = top[row, rank]
+        yield row + start, feature, distance[row, column], column
 
         # The rest are looked up among all rows of the block that know the feature.
         open_cells = wanted & ~complete
@@ -110,12 +127,11 @@ def nearest_in_block(
             cols = np.nonzero(known[:, f])[0]
             if not len(cols):
                 continue
-            sub = order[np.ix_(rows, cols)]
-            if len(cols) > k:
-                sub = np.partition(sub, k - 1, axis=1)[:, :k]
-            r, c = np.nonzero(sub < _NO_NEIGHBOUR)
-            best = sub[r, c]
-            yield rows[r] + start, np.full(len(r), f), best // n, best % n
+            sub = distance[np.ix_(rows, cols)]
+            best = _first(sub, min(k, len(cols)))
+            r, c = np.nonzero(np.isfinite(np.take_along_axis(sub, best, axis=1)))
+            place = best[r, c]
+            yield rows[r] + start, np.full(len(r), f), sub[r, place], cols[place]
 
 
 def _score_pair(n_features: int, k: int, scale: int):
@@ -123,13 +139,13 @@ def _score_pair(n_features: int, k: int, scale: int):
         sides = {r["is_query"]: r for r in pair.to_dict("records")}
         empty = pd.DataFrame(
             {"pattern_id": [], "i": [], "distance": [], "entity_id": [], "value": []}
-        ).astype({"i": "int32", "distance": "int64", "value": "float64"})
+        ).astype({"i": "int32", "distance": "float64", "value": "float64"})
         if len(sides) < 2:
             return empty
         q, c = sides[True], sides[False]
         q_ids, c_ids = np.asarray(q["q_ids"], dtype=object), np.asarray(c["c_ids"])
-        query = np.frombuffer(q["data"], dtype=np.float32).reshape(len(q_ids), n_features)
-        block = np.frombuffer(c["data"], dtype=np.float32).reshape(len(c_ids), n_features)
+        query = np.frombuffer(q["data"], dtype=np.float64).reshape(len(q_ids), n_features)
+        block = np.frombuffer(c["data"], dtype=np.float64).reshape(len(c_ids), n_features)
         bits = np.unpackbits(
             np.frombuffer(q["need"], dtype=np.uint8), count=len(q_ids) * n_features
         )
@@ -138,7 +154,7 @@ def _score_pair(n_features: int, k: int, scale: int):
             pd.DataFrame(
                 {
                     "pattern_id": q_ids[row], "i": feature.astype("int32"), "distance": distance,
-                    "entity_id": c_ids[col], "value": block[col, feature].astype("float64"),
+                    "entity_id": c_ids[col], "value": block[col, feature],
                 }
             )
             for row, feature, distance, col in nearest_in_block(query, need, block, k, scale)
@@ -159,7 +175,6 @@ class KNNImputer:
 
     k: int = 5
     scale: int = 1_000_000
-    max_features: int = 100_000
     block_bytes: int = 16 << 20
     min_block_rows: int = 256
 
@@ -177,7 +192,7 @@ class KNNImputer:
         """The ranked neighbours per (pattern_id, feature), and the entities' patterns."""
         spark = cells.sparkSession
         known, targets = known_cells(cells), targets.select(*KEY)
-        index, n_features = feature_index(known, targets, self.max_features)
+        index, n_features = feature_index(known, targets)
         id_type = entity_type(known)
         entities = cut_lineage(spark, self._entities(known, targets, index))
 
@@ -199,7 +214,7 @@ class KNNImputer:
         )
 
         n_rows = max(1, entities.count())
-        largest = max(1, self.block_bytes // (4 * n_features))
+        largest = max(1, self.block_bytes // (8 * n_features))
         spread = math.ceil(n_rows / math.ceil(math.sqrt(2 * spark.sparkContext.defaultParallelism)))
         block_rows = min(largest, max(self.min_block_rows, spread))
         blocks = math.ceil(n_rows / block_rows)
@@ -231,14 +246,14 @@ class KNNImputer:
             .repartition(max(1, tasks), "qb", "cb")
             .groupBy("qb", "cb").applyInPandas(
                 _score_pair(n_features, self.k, self.scale),
-                f"pattern_id string, i int, distance long, entity_id {id_type}, value double",
+                f"pattern_id string, i int, distance double, entity_id {id_type}, value double",
             )
         )
         nearest = Window.partitionBy("pattern_id", "i").orderBy("distance", "entity_id")
         ranked = (
             found.withColumn("rank", F.row_number().over(nearest))
             .where(F.col("rank") <= self.k)
-            .join(F.broadcast(index), "i")
+            .join(index, "i")
             .select("pattern_id", "feature", "rank", "distance", "entity_id", "value")
         )
         return ranked, entities.select("entity_id", "pattern_id", F.size("need").alias("n_need"))

@@ -34,7 +34,7 @@ def parse_reply(reply: Column) -> Column:
 class PromptingImputer:
     """Sends prompts (entity_id, feature, prompt) to a client, batch by batch.
 
-    The client is built once per Python worker. A reply that cannot be read
+    The client comes to every task anew. A reply that cannot be read
     gives a prediction with NULL score and pred, so it stays visible.
     """
 

@@ -1,15 +1,15 @@
 """Low-rank completion by repeated soft-thresholded SVD.
 
 Each round replaces Z by the known cells of X and, elsewhere, by S_lambda(Z), the
-singular values of Z reduced by lambda. Rows stay where they are: the right
-singular vectors come from the Gram matrix of the features, and a row of
-S_lambda(Z) is that row times a small matrix. So a round is one pass over the rows
-that sums a features-by-features matrix, and no data of the size of the rows
-reaches the driver.
-
-With more than ``gram_features`` features the Gram matrix is too big for that;
-then ``max_rank`` directions are tracked by subspace iteration, and the sum has
-features x max_rank entries.
+singular values of Z reduced by lambda. A row of Z is kept as its known cells and a
+few coefficients: off the known cells Z is A V', with V shared by all rows. A round is one
+pass over the rows, where they lie, that multiplies Z'Z with a basis of features; sums
+of the size of the basis are all that leaves the tasks.
+
+The basis follows the leading right singular vectors by subspace iteration, and grows until the
+least singular value it finds is below lambda, so that every direction that
+survives the threshold is in it, whatever the number of features. It ends when Z
+moves by less than the tolerance and the directions are those of Z.
 """
 
 from __future__ import annotations
@@ -38,74 +38,107 @@ from lacuna.kb.knowledge_base import KEY
 _CHANGE_ROW = -1
 
 
-def _advance(pdf: pd.DataFrame, steps: list, n_features: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of Z after the steps, and the change of the last one: (now, before)."""
-    if pdf["z"].iloc[0] is None:
-        z = np.zeros((len(pdf), n_features))
-    else:
-        z = np.stack(pdf["z"].to_numpy())
-    counts = [len(i) for i in pdf["i"]]
-    row = np.repeat(np.arange(len(pdf)), counts)
-    col = np.concatenate(pdf["i"].to_numpy()) if sum(counts) else np.zeros(0, dtype=int)
-    val = np.concatenate(pdf["v"].to_numpy()) if sum(counts) else np.zeros(0)
-    if pdf["z"].iloc[0] is None:
-        z[row, col] = val
-    before = z
+class _Rows:
+    """A batch of rows: known cells, and coefficients for the shared vectors elsewhere."""
+
+    def __init__(self, pdf: pd.DataFrame):
+        counts = [len(i) for i in pdf["i"]]
+        self.row = np.repeat(np.arange(len(pdf)), counts)
+        self.col = np.concatenate(pdf["i"].to_numpy()) if sum(counts) else np.zeros(0, dtype=int)
+        self.val = np.concatenate(pdf["v"].to_numpy()) if sum(counts) else np.zeros(0)
+        self.starts = np.concatenate([[0], np.cumsum(counts)]).astype(int)
+        self.n = len(pdf)
+
+    def at(self, a: np.ndarray, vectors: np.ndarray, row: np.ndarray, col: np.ndarray) -> np.ndarray:
+        """Entries of A V'."""
+        out = np.empty(len(row))
+        for s in range(0, len(row), _AT_ONCE):
+            part = slice(s, s + _AT_ONCE)
+            out[part] = np.einsum("ij,ij->i", a[row[part]], vectors[col[part]])
+        return out
+
+    def times(self, a: np.ndarray, vectors: np.ndarray, basis: np.ndarray) -> np.ndarray:
+        """Z times a basis."""
+        rest = self.val - self.at(a, vectors, self.row, self.col)
+        out = a @ (vectors.T @ basis)
+        for s in range(0, len(rest), _AT_ONCE):
+            part = slice(s, s + _AT_ONCE)
+            np.add.at(out, self.row[part], rest[part, None] * basis[self.col[part]])
+        return out
+
+    def transposed(self, a: np.ndarray, vectors: np.ndarray, b: np.ndarray, out: np.ndarray) -> None:
+        """Add Z' B to ``out``."""
+        rest = self.val - self.at(a, vectors, self.row, self.col)
+        out += vectors @ (a.T @ b)
+        for s in range(0, len(rest), _AT_ONCE):
+            part = slice(s, s + _AT_ONCE)
+            np.add.at(out, self.col[part], rest[part, None] * b[self.row[part]])
+
+
+_AT_ONCE = 50_000
+
+
+def _advance(pdf: pd.DataFrame, rows: _Rows, start: np.ndarray, steps: list):
+    """(A, V) of the rows after the steps and before the last one; ``start`` are the vectors of the stored state."""
+    vectors = start
+    a = np.stack(pdf["a"].to_numpy()) if vectors.shape[1] else np.zeros((rows.n, 0))
+    before = a, vectors
     for step in steps:
-        vectors, shrink = step.value
-        before = z
-        z = (z @ vectors) * shrink @ vectors.T
-        z[row, col] = val
-    return z, before
+        new, shrink = step.value
+        before = a, vectors
+        a, vectors = rows.times(a, vectors, new) * shrink, new
+    return (a, vectors), before
 
 
-def _sums(steps: list, n_features: int, basis):
-    """Per partition: rows of Z^T Z (or of Z^T Z B), and squared change and size of Z."""
+def _sums(start, steps: list, n_features: int, basis):
+    """Per partition: rows of Z'Z times the basis, and the squared change and size of Z."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        width = n_features if basis is None else basis.value.shape[1]
-        total, change, size = np.zeros((n_features, width)), 0.0, 0.0
+        q = basis.value
+        total, change, size = np.zeros((n_features, q.shape[1])), 0.0, 0.0
         for pdf in batches:
             if not len(pdf):
                 continue
-            z, before = _advance(pdf, steps, n_features)
-            total += z.T @ (z if basis is None else z @ basis.value)
-            change += float(((z - before) ** 2).sum())
-            size += float((before**2).sum())
-        stats = np.zeros(max(width, 2))[:width] if width >= 2 else np.zeros(2)
-        stats[0], stats[1] = change, size
+            rows = _Rows(pdf)
+            (a, v), (b, w) = _advance(pdf, rows, start.value, steps)
+            rows.transposed(a, v, rows.times(a, v, q), total)
+            # |A V' - B W'|^2 of the whole rows, less what lies on known cells, which do not move.
+            known_new, known_old = rows.at(a, v, rows.row, rows.col), rows.at(b, w, rows.row, rows.col)
+            old = float((b * (b @ (w.T @ w))).sum())
+            whole = float((a * (a @ (v.T @ v))).sum()) + old - 2 * float((a * (b @ (w.T @ v))).sum())
+            change += max(0.0, whole - float(((known_new - known_old) ** 2).sum()))
+            size += float((rows.val**2).sum()) + max(0.0, old - float((known_old**2).sum()))
         yield pd.DataFrame(
-            {"row": [*range(n_features), _CHANGE_ROW], "sums": [*total.tolist(), stats.tolist()]}
+            {"row": [*range(n_features), _CHANGE_ROW], "sums": [*total.tolist(), [change, size] + [0.0] * (q.shape[1] - 2)]}
         )
 
     return run
 
 
-def _states(steps: list, n_features: int):
+def _states(start, steps: list):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
-                z, _ = _advance(pdf, steps, n_features)
-                yield pdf.assign(z=list(z))
+                (a, _), _ = _advance(pdf, _Rows(pdf), start.value, steps)
+                yield pdf.assign(a=list(a))
 
     return run
 
 
-def _answers(steps: list, n_features: int):
-    """Values of S_lambda(Z) at the wanted cells: the last step without the known cells."""
+def _answers(start, steps: list):
+    """Values of S_lambda(Z) at the wanted cells."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            if not len(pdf):
-                continue
-            z, _ = _advance(pdf, steps, n_features)
             counts = [len(w) for w in pdf["wanted"]]
             if not sum(counts):
                 continue
+            rows = _Rows(pdf)
+            (a, v), _ = _advance(pdf, rows, start.value, steps)
             row = np.repeat(np.arange(len(pdf)), counts)
             col = np.concatenate(pdf["wanted"].to_numpy()).astype(int)
             yield pd.DataFrame(
-                {"entity_id": pdf["entity_id"].to_numpy()[row], "i": col, "value": z[row, col]}
+                {"entity_id": pdf["entity_id"].to_numpy()[row], "i": col, "value": rows.at(a, v, row, col)}
             )
 
     return run
@@ -121,41 +154,28 @@ class SoftImputeImputer:
     """
 
     penalty: float = 1.0
-    max_iterations: int = 50
     tolerance: float = 1e-5
     center: bool = True
     checkpoint_every: int = 10
-    gram_features: int = 2048
-    max_rank: int = 64
-    max_features: int = 100_000
+    first_rank: int = 16
+    most_rounds: int = 10_000
 
-    def _collect_sums(self, state: DataFrame, steps: list, n: int, basis) -> tuple[np.ndarray, float]:
-        partial = state.mapInPandas(_sums(steps, n, basis), "row int, sums array<double>")
+    def _collect_sums(self, state: DataFrame, start, steps: list, n: int, basis) -> tuple[np.ndarray, float]:
+        partial = state.mapInPandas(_sums(start, steps, n, basis), "row int, sums array<double>")
         summed = partial.groupBy("row").agg(
             Summarizer.sum(array_to_vector("sums")).alias("sums")
         ).select("row", vector_to_array("sums").alias("sums"))
         rows = {r["row"]: r["sums"] for r in summed.toLocalIterator()}
+        if not rows:
+            return np.zeros((n, basis.value.shape[1])), 0.0
         change, size = rows.pop(_CHANGE_ROW)[:2]
-        matrix = np.array([rows[i] for i in range(n)])
-        return matrix, change / max(size, 1e-12)
-
-    def _directions(self, sums: np.ndarray, basis: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-        """Right singular vectors that survive the threshold, and their shrinkage."""
-        if basis is None:
-            squares, vectors = np.linalg.eigh((sums + sums.T) / 2)
-        else:
-            small = basis.T @ sums
-            squares, rotation = np.linalg.eigh((small + small.T) / 2)
-            vectors = basis @ rotation
-        singular = np.sqrt(np.maximum(squares, 0.0))
-        keep = singular > self.penalty
-        return vectors[:, keep], (singular[keep] - self.penalty) / singular[keep]
+        return np.array([rows[i] for i in range(n)]), change / max(size, 1e-12)
 
     def complete(self, cells: DataFrame, targets: DataFrame) -> DataFrame:
         """(entity_id, i, value) of the completed matrix at the targets, with the index."""
         spark: SparkSession = cells.sparkSession
         known, targets = known_cells(cells), targets.select(*KEY)
-        index, n = feature_index(known, targets, self.max_features)
+        index, n = feature_index(known, targets)
         id_type = entity_type(known)
         if self.center:
             means = MeanImputer().means(known).select(
@@ -166,31 +186,42 @@ class SoftImputeImputer:
             )
         rows = entity_rows(known, targets, index).select(
             "entity_id", F.col("known.i").alias("i"), F.col("known.v").alias("v"),
-            F.col("need").alias("wanted"), F.lit(None).cast("array<double>").alias("z"),
+            F.col("need").alias("wanted"), F.array().cast("array<double>").alias("a"),
         )
         state = cut_lineage(spark, rows)
-        state_schema = (
-            f"entity_id {id_type}, i array<int>, v array<double>, wanted array<int>, z array<double>"
-        )
-        basis = None
-        if n > self.gram_features:
-            start = np.random.default_rng(0).standard_normal((n, min(self.max_rank, n)))
-            basis = np.linalg.qr(start)[0]
-        steps: list = []
-        for iteration in range(1, self.max_iterations + 1):
-            shared = None if basis is None else spark.sparkContext.broadcast(basis)
-            sums, change = self._collect_sums(state, steps, n, shared)
-            if steps and change < self.tolerance:
+        state_schema = f"entity_id {id_type}, i array<int>, v array<double>, wanted array<int>, a array<double>"
+        random = np.random.default_rng(0)
+        share = spark.sparkContext.broadcast
+        basis = np.linalg.qr(random.standard_normal((n, min(n, self.first_rank))))[0] if n else np.zeros((0, 0))
+        start, steps = share(np.zeros((n, 0))), []
+        for iteration in range(1, self.most_rounds + 1):
+            if not n:
+                break
+            # Two columns at least, as the sums carry two numbers more.
+            wide = basis if basis.shape[1] > 1 else np.hstack([basis, np.zeros((n, 1))])
+            sums, change = self._collect_sums(state, start, steps, n, share(wide))
+            sums = sums[:, : basis.shape[1]]
+            small = basis.T @ sums
+            squares, turn = np.linalg.eigh((small + small.T) / 2)
+            singular, vectors = np.sqrt(np.maximum(squares, 0.0)), basis @ turn
+            full = basis.shape[1] < n and singular[0] > self.penalty
+            keep = singular > self.penalty
+            # How far the directions are from being singular vectors of this Z.
+            off = sums @ turn[:, keep] - vectors[:, keep] * squares[keep]
+            settled = (off**2).sum() <= self.tolerance * (squares[keep] ** 2).sum()
+            if steps and change < self.tolerance and settled and not full:
                 break
-            vectors, shrink = self._directions(sums, basis)
-            if basis is not None:
-                basis = np.linalg.qr(sums)[0]
-            steps.append(spark.sparkContext.broadcast((vectors, shrink)))
+            steps.append(share((vectors[:, keep], (singular[keep] - self.penalty) / singular[keep])))
+            more = random.standard_normal((n, min(n - basis.shape[1], basis.shape[1]))) if full else np.zeros((n, 0))
+            basis = np.linalg.qr(np.hstack([sums, more]))[0]
             if iteration % self.checkpoint_every == 0:
-                state = cut_lineage(spark, state.mapInPandas(_states(steps, n), state_schema))
-                steps = []
-        answers = state.mapInPandas(_answers(steps, n), f"entity_id {id_type}, i int, value double")
-        return answers.join(F.broadcast(index), "i").select(*KEY, "value")
+                last = steps[-1].value[0]
+                state = cut_lineage(spark, state.mapInPandas(_states(start, steps), state_schema))
+                start, steps = share(last), []
+        else:
+            raise RuntimeError(f"not converged after {self.most_rounds} rounds")
+        answers = state.mapInPandas(_answers(start, steps), f"entity_id {id_type}, i int, value double")
+        return answers.join(index, "i").select(*KEY, "value")
 
     def impute(self, cells: DataFrame, targets: DataFrame) -> DataFrame:
         completed = self.complete(cells, targets)

@@ -19,38 +19,36 @@ class KnowledgeBase:
 
     ``entity_id`` may have any type that can be ordered; ``feature`` is a string.
 
-    The feature vocabulary is a list of columns, so it may be held by the driver;
-    ``max_features`` is the checked bound.
+    Only ``wide`` and ``features`` bring the vocabulary to the driver, as a list of columns.
     """
 
-    def __init__(self, cells: DataFrame, max_features: int = 100_000):
+    def __init__(self, cells: DataFrame):
         self.cells = cells.select(*KEY, F.col("value").cast("double").alias("value"))
-        self.max_features = max_features
         self._features: list[str] | None = None
 
     @classmethod
-    def from_sources(cls, cells: DataFrame, how: str = "union", **kwargs) -> KnowledgeBase:
+    def from_sources(cls, cells: DataFrame, how: str = "union") -> KnowledgeBase:
         """Combine the sources of a cell: ``union`` (largest value) or ``average``."""
         combine = {"union": F.max, "average": F.avg}[how]
-        return cls(cells.groupBy(*KEY).agg(combine("value").alias("value")), **kwargs)
+        return cls(cells.groupBy(*KEY).agg(combine("value").alias("value")))
 
     @classmethod
-    def from_parquet(cls, spark: SparkSession, path: str, **kwargs) -> KnowledgeBase:
-        return cls(spark.read.parquet(path), **kwargs)
+    def from_parquet(cls, spark: SparkSession, path: str) -> KnowledgeBase:
+        return cls(spark.read.parquet(path))
 
     @classmethod
-    def from_wide(cls, wide: DataFrame, entity: str, features: Sequence[str], **kwargs) -> KnowledgeBase:
+    def from_wide(cls, wide: DataFrame, entity: str, features: Sequence[str]) -> KnowledgeBase:
         """One column per feature to one row per known cell."""
         long = wide.unpivot(
             [F.col(entity).alias("entity_id")],
             [F.col(f).cast("double").alias(f) for f in features],
             "feature", "value",
         )
-        return cls(long.where("value IS NOT NULL"), **kwargs)
+        return cls(long.where("value IS NOT NULL"))
 
     @classmethod
     def from_vectors(
-        cls, vectors: DataFrame, entity: str, vector: str, threshold: float | None = None, **kwargs
+        cls, vectors: DataFrame, entity: str, vector: str, threshold: float | None = None
     ) -> KnowledgeBase:
         """One array per entity; features are positions from 0.
 
@@ -65,7 +63,6 @@ class KnowledgeBase:
             value = F.when(F.col("raw") > threshold, 1.0).when(F.col("raw").isNotNull(), 0.0)
         return cls(
             cells.select("entity_id", F.col("pos").cast("string").alias("feature"), value.alias("value")),
-            **kwargs,
         )
 
     def known(self) -> DataFrame:
@@ -74,9 +71,7 @@ class KnowledgeBase:
     def features(self) -> list[str]:
         """The sorted vocabulary."""
         if self._features is None:
-            rows = self.cells.select("feature").distinct().limit(self.max_features + 1).collect()
-            if len(rows) > self.max_features:
-                raise ValueError(f"more than {self.max_features} features")
+            rows = self.cells.select("feature").distinct().collect()
             self._features = sorted(r["feature"] for r in rows)
         return self._features
 
@@ -90,7 +85,7 @@ class KnowledgeBase:
         product of entities and features is joined or shuffled. An entity of
         which no cell is known must have a row with a NULL value to be seen.
         """
-        vocabulary = F.array(*[F.lit(f) for f in self.features()])
+        vocabulary = self.cells.agg(F.collect_set("feature")).scalar()
         have = F.collect_set(F.when(F.col("value").isNotNull(), F.col("feature")))
         return self.cells.groupBy("entity_id").agg(have.alias("have")).select(
             "entity_id", F.explode(F.array_except(vocabulary, "have")).alias("feature")

@@ -21,14 +21,13 @@ from lacuna.eval import (
 from lacuna.eval.metrics import reliability
 from lacuna.impute import (
     KNNImputer,
-    MajorityClient,
     MeanImputer,
-    PromptingImputer,
     RandomImputer,
     SoftImputeImputer,
     confidence_to_prob,
 )
 from lacuna.impute.common import fill
+from lacuna.impute.prompting import parse_reply
 from lacuna.impute.prompts import ICLPrompt, KGPrompt
 from lacuna.impute.prompts.in_context import QUESTION
 from lacuna.kb import KnowledgeBase
@@ -60,23 +59,14 @@ ranked AS (SELECT t.entity_id, t.feature, t.gold, d, o, b.value,
   FROM test t JOIN pairs ON e = t.entity_id JOIN train b ON b.entity_id = o AND b.feature = t.feature),
 knn_pred AS (SELECT entity_id, feature, 'knn' AS imputer, sum(value) / count(*) AS score, any_value(gold) AS gold
   FROM ranked WHERE rank <= 5 GROUP BY entity_id, feature)"""
-# Votes of shown values to a score, as the majority client answers.
-_VOTE = """CASE WHEN total > 0 AND 2 * ones >= total THEN {p} ELSE 1 - {p} END"""
-_WORD = """CASE WHEN total > 0 AND greatest(ones, total - ones) = total THEN 'high'
-  WHEN total > 0 AND 3 * greatest(ones, total - ones) >= 2 * total THEN 'medium' ELSE 'low' END"""
-_PROB = f"(CASE {_WORD} WHEN 'high' THEN 0.95 WHEN 'medium' THEN 0.75 ELSE 0.55 END)::DOUBLE"
 ICL = f"""drawn AS (SELECT entity_id AS o, feature, value, row_number() OVER (PARTITION BY feature
     ORDER BY {_HASH.format(key="'0:' || entity_id || ':' || feature")}, entity_id) AS rank FROM train),
 shown AS (SELECT feature, sum(value) AS ones, count(*) AS total,
-    string_agg('- ' || o || ': ' || value::INTEGER, chr(10) ORDER BY rank) AS lines FROM drawn WHERE rank <= 3 GROUP BY feature),
-icl_pred AS (SELECT entity_id, feature, 'prompting' AS imputer, {_VOTE.format(p=_PROB)} AS score, {_WORD} AS confidence_label, gold
-  FROM test JOIN shown USING (feature))"""
+    string_agg('- ' || o || ': ' || value::INTEGER, chr(10) ORDER BY rank) AS lines FROM drawn WHERE rank <= 3 GROUP BY feature)"""
 GROUPS = """groups AS (SELECT vec_id AS entity_id, 'family ' || label AS family,
   CASE label % 3 WHEN 0 THEN 'north' WHEN 1 THEN 'south' END AS area FROM embeddings)"""
 KG = f"""{GROUPS}, relatives AS (SELECT family, feature, count(*) FILTER (WHERE value = 1) AS ones, count(*) AS total
-  FROM train JOIN groups USING (entity_id) GROUP BY 1, 2),
-kg_pred AS (SELECT entity_id, feature, 'graph prompting' AS imputer, {_VOTE.format(p=_PROB)} AS score, {_WORD} AS confidence_label, gold
-  FROM test JOIN groups USING (entity_id) LEFT JOIN relatives USING (family, feature))"""
+  FROM train JOIN groups USING (entity_id) GROUP BY 1, 2)"""
 LABELLED = f"""labelled AS (SELECT doc_id, lang, source, n_chars, quality AS gold, toxic,
   {_HASH.format(key="doc_id::VARCHAR")} / 4294967296.0::DOUBLE AS score FROM documents JOIN labels USING (doc_id))"""
 COUNTS = """count(*) FILTER (WHERE gold = 1 AND score >= 0.5) AS tp, count(*) FILTER (WHERE gold = 0 AND score >= 0.5) AS fp,
@@ -92,6 +82,12 @@ def _metrics(source: str, by: str) -> str:
     return f"SELECT {RATES} FROM (SELECT {by}, {COUNTS} FROM {source} GROUP BY {by})"
 
 
+def _evaluated(source: str) -> str:
+    """Metrics by imputer, with the cells that have no answer."""
+    gold = "(SELECT count(*) FROM test)"
+    return f"SELECT *, {gold} AS n_gold, {gold} - n AS n_unanswered FROM ({_metrics(source, 'imputer')})"
+
+
 def _binned(source: str) -> str:
     """Rows of (bin, n, mean probability, accuracy) of a prediction."""
     return f"""SELECT imputer, least(floor(prob * 10), 9)::INTEGER AS bin, count(*) AS n, avg(prob) AS p, avg(hit) AS a
@@ -125,7 +121,7 @@ def kb_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 def kb_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Training cells, one column per feature; held-out cells are NULL."""
     train, _, _ = parts(spark, sf_dir)
-    return KnowledgeBase(train).wide([str(i) for i in range(64)])
+    return KnowledgeBase(train).wide()
 
 
 @query(f"WITH {CELLS} SELECT entity_id, feature FROM test")
@@ -209,7 +205,7 @@ def random_impute(spark: SparkSession, sf_dir: str) -> DataFrame:
     return RandomImputer().impute(train, targets).select(PREDICTION)
 
 
-@query(f"WITH {CELLS}, {RANDOM} {_metrics('random_pred', 'imputer')}")
+@query(f"WITH {CELLS}, {RANDOM} {_evaluated('random_pred')}")
 def random_impute_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _metrics_of(spark, sf_dir, RandomImputer())
 
@@ -220,7 +216,7 @@ def mean_impute(spark: SparkSession, sf_dir: str) -> DataFrame:
     return MeanImputer().impute(train, targets).select(PREDICTION)
 
 
-@query(f"WITH {CELLS}, {MEAN} {_metrics('mean_pred', 'imputer')}")
+@query(f"WITH {CELLS}, {MEAN} {_evaluated('mean_pred')}")
 def mean_impute_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _metrics_of(spark, sf_dir, MeanImputer())
 
@@ -231,7 +227,7 @@ def knn_impute(spark: SparkSession, sf_dir: str) -> DataFrame:
     return KNNImputer().impute(train, targets).select(PREDICTION)
 
 
-@query(f"WITH {CELLS}, {KNN} {_metrics('knn_pred', 'imputer')}")
+@query(f"WITH {CELLS}, {KNN} {_evaluated('knn_pred')}")
 def knn_impute_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _metrics_of(spark, sf_dir, KNNImputer())
 
@@ -240,14 +236,26 @@ def knn_impute_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
   FROM ranked WHERE rank <= 5""")
 def knn_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, targets, _ = parts(spark, sf_dir)
-    return KNNImputer().neighbour_examples(train, targets)
+    found = KNNImputer().neighbour_examples(train, targets)
+    return found.withColumn("distance", F.col("distance").cast("long"))
+
+
+# Above every singular value of centred 0/1 matrices of any size that fits a table.
+_ABOVE_ALL = 1e12
 
 
 @query()
 def soft_impute(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Iterated SVD, which SQL cannot say."""
+    """Soft-thresholded SVD to convergence. No SQL: tested against a dense iteration."""
+    train, targets, _ = parts(spark, sf_dir)
+    return SoftImputeImputer(penalty=10.0).impute(train, targets).select(PREDICTION)
+
+
+@query(f"WITH {CELLS}, {MEAN} SELECT entity_id, feature, 'softimpute' AS imputer, score, (score >= 0.5)::INTEGER AS pred FROM mean_pred")
+def soft_impute_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With a penalty above all singular values nothing but the means is left."""
     train, targets, _ = parts(spark, sf_dir)
-    return SoftImputeImputer(penalty=10.0, max_iterations=10).impute(train, targets).select(PREDICTION)
+    return SoftImputeImputer(penalty=_ABOVE_ALL).impute(train, targets).select(PREDICTION)
 
 
 @query(f"""WITH {CELLS}, {MEAN} SELECT entity_id, feature, value, FALSE AS imputed FROM train
@@ -288,19 +296,24 @@ def kg_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return KGPrompt().build(targets, train, vector_facts(spark, sf_dir))
 
 
-def _icl_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return PromptingImputer(MajorityClient()).impute(icl_prompt(spark, sf_dir))
-
-
-@query(f"WITH {CELLS}, {ICL} SELECT entity_id, feature, imputer, score, (score >= 0.5)::INTEGER AS pred, confidence_label FROM icl_pred")
-def prompting_impute(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prompts, a client that needs no model, and its parsed replies."""
-    return _icl_predictions(spark, sf_dir)
+# Replies as a model gives them: prose around one JSON object.
+_WORDS = "CASE event_type WHEN 'click' THEN 'low' WHEN 'view' THEN 'HIGH' WHEN 'error' THEN 'medium' WHEN 'purchase' THEN 'certain' END"
 
 
-@query(f"WITH {CELLS}, {KG} SELECT entity_id, feature, imputer, score, (score >= 0.5)::INTEGER AS pred, confidence_label FROM kg_pred")
-def prompting_impute_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return PromptingImputer(MajorityClient(), name="graph prompting").impute(kg_prompt(spark, sf_dir))
+@query(f"""WITH said AS (SELECT event_id, (user_id % 2)::INTEGER AS value, {_WORDS} AS word FROM events),
+    p AS (SELECT *, (CASE lower(word) WHEN 'low' THEN 0.55 WHEN 'medium' THEN 0.75 WHEN 'high' THEN 0.95 END)::DOUBLE AS p FROM said)
+  SELECT event_id, CASE WHEN word IS NOT NULL THEN value END AS value, word AS confidence,
+    CASE WHEN value = 1 THEN p ELSE 1 - p END AS probability FROM p""")
+def reply_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers and confidence out of reply texts made of events; some hold no answer."""
+    word = F.expr(_WORDS)
+    body = F.concat(F.lit(': {"value": '), F.col("user_id") % 2, F.lit(', "confidence": "'), word, F.lit('"} and more: '), "props")
+    reply = F.concat("event_type", F.coalesce(body, F.lit(" has no answer")))
+    answer = F.col("answer")
+    return table(spark, sf_dir, "events").select("event_id", parse_reply(reply).alias("answer")).select(
+        "event_id", answer["value"].alias("value"), answer["confidence"].alias("confidence"),
+        confidence_to_prob(answer["value"], answer["confidence"]).alias("probability"),
+    )
 
 
 # Metrics
@@ -364,22 +377,28 @@ def confidence_to_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _baselines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Predictions of the random, mean and prompting imputers, and the gold rows."""
+    """Predictions of the imputers, and the gold rows.
+
+    The penalty of soft-thresholded SVD is above all singular values, where it is the mean and SQL can say it.
+    """
     train, targets, gold = parts(spark, sf_dir)
     made = [
         RandomImputer().impute(train, targets),
         MeanImputer().impute(train, targets),
-        _icl_predictions(spark, sf_dir),
+        KNNImputer().impute(train, targets),
+        SoftImputeImputer(penalty=_ABOVE_ALL).impute(train, targets),
     ]
     return reduce(DataFrame.unionByName, made), gold
 
 
-_ALL = f"""{CELLS}, {RANDOM}, {MEAN}, {ICL}, every AS (SELECT imputer, score, gold, entity_id, feature FROM random_pred
-  UNION ALL SELECT imputer, score, gold, entity_id, feature FROM mean_pred
-  UNION ALL SELECT imputer, score, gold, entity_id, feature FROM icl_pred)"""
+_EVERY = " UNION ALL ".join(
+    f"SELECT {imputer} AS imputer, score, gold, entity_id, feature FROM {name}"
+    for imputer, name in (("imputer", "random_pred"), ("imputer", "mean_pred"), ("imputer", "knn_pred"), ("'softimpute'", "mean_pred"))
+)
+_ALL = f"{CELLS}, {RANDOM}, {MEAN}, {KNN}, every AS ({_EVERY})"
 
 
-@query(f"WITH {_ALL} {_metrics('every', 'imputer')}")
+@query(f"WITH {_ALL} {_evaluated('every')}")
 def evaluator_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     predictions, gold = _baselines(spark, sf_dir)
     return Evaluator(gold).metrics(predictions)
