@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names; a folder of our own only where none is set.
+    """Use the folder the cluster names; only a local session without one gets a folder, for the life of the process.
 
     On a cluster the folder must be shared, or a lost executor takes the
     checkpoint with it.
@@ -19,7 +21,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None and not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    context.setCheckpointDir(named or tempfile.mkdtemp(prefix="lacuna-checkpoint-"))
+    if named is None:
+        named = tempfile.mkdtemp(prefix="lacuna-checkpoint-")
+        atexit.register(shutil.rmtree, named, True)
+    context.setCheckpointDir(named)
 
 
 def cut_lineage(spark: SparkSession, df: DataFrame) -> DataFrame:

@@ -36,9 +36,12 @@ def level_violations(records: DataFrame) -> DataFrame:
             F.when(level_ordinal(level) < level_ordinal(parent), "level above its parent"),
         )
     )
+    # Roots have no parent to look up, and would all be one key.
+    rows = records.select("languoid_id", "parent_id", "level")
+    roots = rows.where("parent_id IS NULL").withColumn("parent_level", F.lit(None).cast("string"))
+    below = rows.where("parent_id IS NOT NULL").join(parents, "parent_id", "left")
     return (
-        records.select("languoid_id", "parent_id", "level")
-        .join(parents, "parent_id", "left")
+        below.unionByName(roots)
         .select("languoid_id", "level", "parent_level", F.explode(broken).alias("rule"))
     )
 

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from lacuna.functions.intervals import contains_year
 
 
+_BLOCK_YEARS = 1024
+
+
 def as_of(records: DataFrame, year: int) -> DataFrame:
     """Records whose timespan contains the year."""
     return records.where(contains_year(F.col("timespan"), F.lit(year)))
@@ -66,8 +69,8 @@ def overlap_counts(left: DataFrame, right: DataFrame) -> DataFrame:
 
     Right ranges that overlap are those that start by the end of the left one,
     less those that ended before it begins. Both are running totals over the
-    distinct years, a table no longer than the span of history, so the one
-    ordered pass is small however many ranges there are; the rest are equi-joins.
+    distinct years: within blocks of years, and over the totals of the blocks, of which
+    there are 2^22 at most for whole-number years. The rest are equi-joins.
     """
     zero, one = F.lit(0), F.lit(1)
     ranges = left.where("start_year <= end_year").select("start_year", "end_year").distinct()
@@ -80,9 +83,18 @@ def overlap_counts(left: DataFrame, right: DataFrame) -> DataFrame:
         .groupBy("year")
         .agg(F.sum("s").alias("s"), F.sum("e").alias("e"))
     )
-    running = Window.orderBy("year").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    years = years.withColumn("block", F.floor(F.col("year") / _BLOCK_YEARS))
+    earlier = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = years.groupBy("block").agg(F.sum("s").alias("s"), F.sum("e").alias("e")).select(
+        "block",
+        F.coalesce(F.sum("s").over(earlier), zero).alias("started_before"),
+        F.coalesce(F.sum("e").over(earlier), zero).alias("ended_before"),
+    )
+    within = Window.partitionBy("block").orderBy("year").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     totals = years.select(
-        "year", F.sum("s").over(running).alias("started"), F.sum("e").over(running).alias("ended")
+        "year", "block", F.sum("s").over(within).alias("s"), F.sum("e").over(within).alias("e")
+    ).join(blocks, "block").select(
+        "year", (F.col("started_before") + F.col("s")).alias("started"), (F.col("ended_before") + F.col("e")).alias("ended")
     )
     started = totals.select(F.col("year").alias("end_year"), "started")
     ended = totals.select(F.col("year").alias("start_year"), "ended")

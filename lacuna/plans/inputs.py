@@ -22,17 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, scan: DataFrame) -> DataFrame:
-    """Use all cores for work that is heavy per row.
-
-    If ``scan``, the table behind ``df``, is read in fewer splits than there are
-    cores, rows are dealt out anew; with enough splits, as any large table has,
-    they stay as they lie.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if scan.rdd.getNumPartitions() < cores else df
-
-
 def _literal(text: str) -> str:
     escaped = text.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n").replace("\t", "\\t")
     return f"'{escaped}'"
@@ -139,7 +128,7 @@ def customer_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fill_in("file:/data/tree/r<<r_regionkey>>/n<<n_nationkey>>/c<<c_custkey>>/md.ini")
     c = table(spark, sf_dir, "customer")
     placed = c.join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
-    return spread(placed, c).selectExpr(f"{path} AS path", text)
+    return placed.selectExpr(f"{path} AS path", text)
 
 
 def nation_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,7 +157,7 @@ def order_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(
         n, F.col("c_nationkey") == F.col("n_nationkey")
     )
-    return spread(placed, o).selectExpr(f"{path} AS path", f"{text} AS text")
+    return placed.selectExpr(f"{path} AS path", f"{text} AS text")
 
 
 def supplier_texts(spark: SparkSession, sf_dir: str) -> DataFrame:

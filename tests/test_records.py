@@ -16,8 +16,8 @@ FULL = """# -*- coding: utf-8 -*-
 level = language
 hid = zzx
 name = Ünlü (West)
-latitude = -8.25
-longitude = 118.0
+latitude = 12.75
+longitude = -40.5
 iso639-3 = zzx
 macroareas = 
 \tPapunesia
@@ -27,12 +27,12 @@ countries =
 links = 
 \thttps://example.org/a
 \t[Label](https://example.net/x?y=1)
-timespan = -0500-01-01/-0100-01-01
+timespan = -0730-01-01/-0210-01-01
 
 [sources]
 main = 
-\t**hh:s:Mouse:Grammar**:293-294
-\t**iso6393:2008-029**
+\t**hh:s:Mouse:Grammar**:71-77
+\t**iso6393:1902-991**
 
 [altnames]
 wide (1987) = 
@@ -63,7 +63,7 @@ subrefs =
 [endangerment]
 status = not endangered
 source = E1
-date = 2018-01-05T17:27:48
+date = 2031-07-09T03:04:05
 comment = Ünlü (zzx-zzx) = 6a* (Vigorous).
 
 [iso_retirement]
@@ -105,22 +105,22 @@ def row(parsed, key):
 def test_full_record(parsed):
     r = row(parsed, "unlu1234")
     assert (r.name, r.level, r.hid, r.iso639_3) == ("Ünlü (West)", "language", "zzx", "zzx")
-    assert (r.latitude, r.longitude) == (-8.25, 118.0)
+    assert (r.latitude, r.longitude) == (12.75, -40.5)
     assert (r.parent_id, r.top_id, r.depth) == ("root1234", "root1234", 2)
     assert r.countries == ["ID", "TL"]
     assert [tuple(x) for x in r.links] == [
         (None, "https://example.org/a", "example.org"),
         ("Label", "https://example.net/x?y=1", "example.net"),
     ]
-    assert tuple(r.timespan) == (-500, -100)
+    assert tuple(r.timespan) == (-730, -210)
     assert [tuple(x) for x in r.sources] == [
-        ("hh", "s:Mouse:Grammar", "293-294"), ("iso6393", "2008-029", None)
+        ("hh", "s:Mouse:Grammar", "71-77"), ("iso6393", "1902-991", None)
     ]
     assert r.altnames["wide (1987)"] == ["Name One"]
     assert r.identifier == {"multi": ["aa", "bb"], "web": ["http://example.org/%C3%A9;x"]}
     assert r.triggers == [["alpha"], ["beta", "gamma"]]
     assert r.classification.family == "There is **hh:v:Cat:Comp** of many words, joined."
-    assert r.endangerment.date == datetime.datetime(2018, 1, 5, 17, 27, 48)
+    assert r.endangerment.date == datetime.datetime(2031, 7, 9, 3, 4, 5)
     assert r.iso_retirement.effective == datetime.date(2017, 1, 31)
     assert r.iso_retirement.change_to == ["bbb", "aaa"]
     assert r.hh_ethnologue_comment.comment == "100% missing = yes"
@@ -221,8 +221,8 @@ def test_timespan(spark, text, span):
         ("A (a-a) = 9 (Second language only).", [("A", "9", "9", "Second language only")]),
         ("B (b-b) = 6a* (Vigorous). More text.", [("B", "6a", "6a*", "Vigorous")]),
         (
-            "K (2725-) = Severely endangered; L (18-gwc, xka) = Vulnerable (20 percent certain) ['b']",
-            [("K", None, "Severely endangered", None), ("L", None, "Vulnerable", "20 percent certain")],
+            "Quor (41-) = Vulnerable; Ressu (7-qqa, qqb) = Severely endangered (perhaps 3 speakers) ['q']",
+            [("Quor", None, "Vulnerable", None), ("Ressu", None, "Severely endangered", "perhaps 3 speakers")],
         ),
         ("nothing here", []),
     ],
