@@ -72,12 +72,13 @@ def write_index(index: DataFrame, out: str) -> None:
 def index_problems(entries: DataFrame, records: DataFrame) -> DataFrame:
     """Entries without a record, or whose name or lineage differs from it."""
     r = records.select(
-        "languoid_id", F.col("name").alias("record_name"), F.col("lineage").alias("record_lineage")
+        "languoid_id", F.col("name").alias("record_name"), F.col("lineage").alias("record_lineage"),
+        F.lit(True).alias("has_record"),
     )
     joined = entries.join(r, "languoid_id", "left")
     problem = (
-        F.when(F.col("record_name").isNull(), "missing")
-        .when(F.col("name") != F.col("record_name"), "name")
+        F.when(F.col("has_record").isNull(), "missing")
+        .when(~F.col("name").eqNullSafe(F.col("record_name")), "name")
         .when(F.col("lineage") != F.col("record_lineage"), "path")
     )
     return joined.withColumn("problem", problem).where("problem IS NOT NULL").select(

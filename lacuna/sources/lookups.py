@@ -33,6 +33,12 @@ PUBLICATION = {
     "version": "string",
     "doi": "string",
     "title_format": "string",
+    "place": "string",
+    "description": "string",
+    "contact": "string",
+    "license_id": "string",
+    "keywords": "string",
+    "communities": "string",
 }
 
 # Statuses (id, ordinal, display name, grades, unesco label, elcat label).

@@ -282,3 +282,25 @@ def test_best_document(spark):
     got = status_ops.best_document(docs, lookups.default_document_types(spark), "e", "d", "kind").collect()
     # A document of unknown kind is better than none.
     assert sorted(tuple(r) for r in got) == [("a", "d1", 1), ("b", "d9", None)]
+
+
+def test_lookup_files(spark, tmp_path):
+    text = "[DEFAULT]\nicon = dot\n\n[press]\nname = Some Press\nplace = Here\n\n[deposit]\nversion = 0.1\nlicense_id = L-1\nkeywords = k\n"
+    (tmp_path / "publication.ini").write_text(text)
+    got = {r.id: r for r in lookups.read_lookup(spark, str(tmp_path / "publication.ini"), lookups.PUBLICATION).collect()}
+    assert (got["press"].name, got["press"].place, got["press"].version) == ("Some Press", "Here", None)
+    assert (got["deposit"].license_id, got["deposit"].keywords) == ("L-1", "k")
+    (tmp_path / "levels.ini").write_text("[low]\nordinal = 3\ndescription = Lowest\n[top]\nordinal = none\n")
+    got = {tuple(r) for r in lookups.read_lookup(spark, str(tmp_path / "levels.ini"), lookups.LEVELS).collect()}
+    assert got == {("low", 3, "Lowest"), ("top", None, None)}
+
+
+def test_index_pages_are_read(spark, tmp_path):
+    (tmp_path / "page.md").write_text("# Page\n\n- [Abc [abcd1234][qqq]](tree/root1234/abcd1234/md.ini)\n- [Def [defg1234]](tree/defg1234/md.ini)\n")
+    got = [(r.name, r.languoid_id, r.iso639_3, r.lineage) for r in index_pages.read_index(spark, str(tmp_path / "page.md")).collect()]
+    assert got == [("Abc", "abcd1234", "qqq", ["root1234", "abcd1234"]), ("Def", "defg1234", None, ["defg1234"])]
+    records = spark.createDataFrame(
+        [("abcd1234", None, ["root1234", "abcd1234"])], "languoid_id string, name string, lineage array<string>"
+    )
+    found = index_pages.index_problems(index_pages.read_index(spark, str(tmp_path / "page.md")), records).collect()
+    assert {(r.languoid_id, r.problem) for r in found} == {("abcd1234", "name"), ("defg1234", "missing")}
