@@ -207,7 +207,7 @@ def trigger_match_negated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.trigger_hits(titles, triggers, "p_partkey")
 
 
-@query("""WITH b AS (SELECT item_id, regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+') AS w FROM benchmark),
+@query(r"""WITH b AS (SELECT item_id, regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+') AS w FROM benchmark),
   d AS (SELECT doc_id, regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+') AS w FROM documents)
   SELECT doc_id, item_id::VARCHAR AS languoid_id FROM b JOIN d ON list_contains(d.w, b.w[3]) AND list_contains(d.w, b.w[5])
   AND NOT list_contains(d.w, b.w[8])""")
