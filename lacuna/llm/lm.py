@@ -4,8 +4,8 @@ Words are counted over all training texts. The ``WORDS`` most frequent, the end
 words of the recurrent model (see gru.py); all others share one class, in which a word has its
 smoothed share of the counts, so the model is a distribution over all words.
 
-Training reads the share ``TRAIN_SHARE`` of the training texts, chosen by the hash of their id, so it
-grows with the corpus. Workers go through their part of it in each of ``ROUNDS`` rounds
+Training reads all training texts, each once, so it grows with the corpus (``TRAIN_SHARE`` is for trials on
+fewer, chosen by the hash of their id). Workers go through their part of it in each of ``ROUNDS`` rounds
 and start each from the mean of their parameters; sums are made on the executors.
 
 Counts of the ``LOCAL_COUNTS`` most frequent words go to every worker; those of all other words
@@ -30,7 +30,7 @@ from lacuna.llm.words import hash_words, small_batches, stream
 
 WORDS = 4096
 LOCAL_COUNTS = 1 << 17
-TRAIN_SHARE = 1 / 16
+TRAIN_SHARE = 1.0
 ROUNDS = 2
 WORKER_TOKENS = 400_000
 """Tokens that a worker reads, about, in all rounds; there are as many workers as that takes."""

@@ -67,6 +67,19 @@ def test_held_out_texts_are_likelier_than_by_single_words(spark, monkeypatch):
     assert sum(r.score for r in found) / n > sum(r.base_score for r in found) / n + 0.15
 
 
+def test_all_training_texts_reach_the_weights(spark):
+    """At the share that queries use."""
+    training = corpus(2000, 5)
+    found = scored(spark, corpus(100, 6), training)
+    n = sum(r.n_tokens for r in found)
+    assert sum(r.score for r in found) / n > sum(r.base_score for r in found) / n + 0.15
+    docs = spark.createDataFrame(training, "doc_id long, text string")
+    store = Store(spark, "lm-all")
+    lm.train(docs, lm._vocabulary(lm.count_words(docs)), store)
+    read = spark.read.parquet(store.path("training")).collect()
+    assert len(read) == 2000 and sum(len(r.ids) for r in read) // 4 == sum(len(t.split()) + 1 for _, t in training)
+
+
 def test_words_beyond_the_local_counts(spark, monkeypatch):
     monkeypatch.setattr(lm, "LOCAL_COUNTS", 12)
     monkeypatch.setattr(lm, "WORDS", 5)
