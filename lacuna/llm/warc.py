@@ -6,7 +6,7 @@ without a payload of their own. Payloads under ``min_bytes`` are not compared.
 
 The reader takes plain archives and such with one gzip member or one for each record. A record counts if
 its version line, header, length and, where given, block digest hold. Where they do not, the
-reader goes on to the next version line, or the next gzip member that opens, and reports the bytes between as a gap. Of a broken
+reader goes on to the next version line, or the next gzip member that opens, whichever comes first, and reports the bytes between as a gap. Of a broken
 member the records that come out whole count too, those with a digest that is right or missing.
 
 Defined cases: a null payload is empty. A null id is no one's smallest unless all are null, and is written as an empty
@@ -145,41 +145,63 @@ def _member(data: bytes, at: int) -> tuple[bytes | None, int]:
     return (out, len(data) - len(opener.unused_data)) if opener.eof else (None, at)
 
 
-def _part(data: bytes, at: int) -> bytes:
-    """What comes out of the gzip member at ``at`` before it breaks."""
+def _part(data: bytes, at: int) -> tuple[bytes, int]:
+    """What comes out of the gzip member at ``at`` before it breaks, up to the last byte before the damage, and its place."""
     opener, out = zlib.decompressobj(31), []
-    try:
-        while at < len(data) and not opener.eof:
+    while at < len(data) and not opener.eof:
+        before = opener.copy()
+        try:
             out.append(opener.decompress(data[at : at + 4096]))
-            at += 4096
-    except zlib.error:
-        pass
-    return b"".join(out)
+        except zlib.error:
+            try:
+                for i in range(at, min(at + 4096, len(data))):
+                    out.append(before.decompress(data[i : i + 1]))
+            except zlib.error:
+                at = i
+                break
+        at += 4096
+    return b"".join(out), at
+
+
+def _next(data: bytes, at: int, line: int) -> int:
+    """Where the next version line from ``line`` on or the next gzip member with one begins, whichever comes first."""
+    following = _VERSION.search(data, line)
+    end = following.start() if following else len(data)
+    stop = data.find(_GZIP, at, end)
+    # A member's signature within other data does not open.
+    while stop >= 0:
+        if _VERSION.search(_member(data, stop)[0] or b""):
+            return stop
+        stop = data.find(_GZIP, stop + 1, end)
+    return end
 
 
 def salvage(data: bytes) -> Iterator[tuple]:
     """All that holds in an archive, in order, and the gaps between; places are bytes of the file."""
-    if not data.startswith(_GZIP[:2]) and (_VERSION.match(data) or _GZIP not in data):
-        yield from _records(data)
-        return
     at = 0
     while at < len(data):
-        out, end = _member(data, at) if data.startswith(_GZIP, at) else (None, at)
-        if out is not None:
-            for kind, _, _, what in _records(out, exact=False):
-                yield kind, at, end, what
-            at = end
-            continue
-        if data.startswith(_GZIP, at):  # whole records before the damage
-            for kind, _, _, what in _records(_part(data, at), exact=False):
+        if data.startswith(_GZIP, at):
+            out, end = _member(data, at)
+            if out is not None:
+                for kind, _, _, what in _records(out, exact=False):
+                    yield kind, at, end, what
+                at = end
+                continue
+            wrong = "no whole member"
+            # Stored blocks show version lines of records that came out already.
+            part, line = _part(data, at)
+            for kind, _, _, what in _records(part, exact=False):  # whole records before the damage
                 if kind == "record":
                     yield kind, at, at, what
-        stop = data.find(_GZIP, at + 1)
-        # A member's signature within other data does not open.
-        while stop >= 0 and _member(data, stop)[0] is None:
-            stop = data.find(_GZIP, stop + 1)
-        stop = stop if stop >= 0 else len(data)
-        yield "gap", at, stop, "no whole member"
+        else:
+            found, end, wrong = _record(data, at)
+            line = at + 1
+            if found:
+                yield "record", at, end, found
+                at = end
+                continue
+        stop = _next(data, at + 1, max(at + 1, line))
+        yield "gap", at, stop, wrong
         at = stop
 
 

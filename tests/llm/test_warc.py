@@ -4,6 +4,7 @@ import base64
 import gzip
 import hashlib
 import random
+import zlib
 
 import pytest
 from hypothesis import given, settings
@@ -125,3 +126,26 @@ def test_no_pages(spark):
     store = Store(spark, "warc-test")
     warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), store.path("a"))
     assert warc.read_archives(spark, store.path("a")).count() == 0
+
+
+def plain(i, block):
+    return b"WARC/1.1\r\nWARC-Record-ID: <urn:page:%d>\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (i, len(block), block)
+
+
+def test_plain_records_after_a_broken_first_version_line():
+    signature = b"\x1f\x8b\x08"
+    data = b"X" + b"".join(plain(i, b"page " + signature * (i % 2) + bytes(50)) for i in range(6))[1:]
+    found = list(warc.salvage(data))
+    first = len(plain(0, b"page " + bytes(50)))
+    assert found[0][:3] == ("gap", 0, first)
+    assert [x[3]["fields"]["warc-record-id"] for x in found[1:]] == [f"<urn:page:{i}>" for i in range(1, 6)]
+
+
+def test_records_up_to_the_damage_of_a_member():
+    rng = random.Random(3)
+    records = [plain(i, rng.randbytes(300)) for i in range(40)]
+    packer = zlib.compressobj(9, zlib.DEFLATED, 31)
+    data = b"".join(packer.compress(r) + packer.flush(zlib.Z_FULL_FLUSH) for r in records[:20])
+    broken = data + b"\xff" * 64  # a block of no kind
+    found = list(warc.salvage(broken + packer.compress(records[20])))
+    assert [x[3]["fields"]["warc-record-id"] for x in found if x[0] == "record"] == [f"<urn:page:{i}>" for i in range(20)]
