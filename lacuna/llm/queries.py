@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.llm import exact, langid, latent, lm, near, packing, passages, training_order, urls, warc
+from lacuna.llm import exact, langid, latent, lm, near, packing, passages, training_order, urls, warc, whitening
 from lacuna.llm.store import Store
 from lacuna.llm.url_sql import verdict_sql
 from lacuna.plans.registry import Query, QueryFunction
@@ -144,3 +144,9 @@ def op4_shared_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of 50 words or more in several documents. No SQL: tested against planted and brute-force passages."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return passages.shared_passages(docs, Store(spark, "passages"))
+
+
+@query()
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened components of all vectors. No SQL: eigenvectors are beyond it; tested against a dense decomposition."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", Store(spark, "whitening"))
