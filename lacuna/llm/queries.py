@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.llm import exact, langid, latent, lm, near, packing, passages, training_order, urls, warc, whitening
+from lacuna.llm import exact, langid, latent, lm, near, packing, passages, spelling, training_order, urls, warc, whitening
 from lacuna.llm.store import Store
 from lacuna.llm.url_sql import verdict_sql
 from lacuna.plans.registry import Query, QueryFunction
@@ -150,3 +150,9 @@ def op4_shared_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whitened components of all vectors. No SQL: eigenvectors are beyond it; tested against a dense decomposition."""
     return whitening.whiten(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", Store(spark, "whitening"))
+
+
+@query()
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forms of all words. No SQL: DuckDB has no crc32 and pairs of all words are too slow; tested against brute force."""
+    return spelling.variants(table(spark, sf_dir, "documents").select("doc_id", "text"), Store(spark, "spelling"))
