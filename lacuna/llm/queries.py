@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.llm import exact, langid, latent, lm, near, packing, passages, spelling, training_order, urls, warc, whitening
+from lacuna.llm import exact, langid, latent, licenses, lm, near, packing, passages, spelling, training_order, urls, warc, whitening
+from lacuna.llm.license_sql import scan_sql
 from lacuna.llm.store import Store
 from lacuna.llm.url_sql import verdict_sql
 from lacuna.plans.registry import Query, QueryFunction
@@ -156,3 +157,10 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forms of all words. No SQL: DuckDB has no crc32 and pairs of all words are too slow; tested against brute force."""
     return spelling.variants(table(spark, sf_dir, "documents").select("doc_id", "text"), Store(spark, "spelling"))
+
+
+@query(scan_sql())
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licenses named in every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licenses.digest(licenses.scan(docs), ["doc_id"])
