@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,3 +32,11 @@ def cut_lineage(spark: SparkSession, df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the checkpoint folder."""
     ensure_checkpoint_dir(spark)
     return df.checkpoint(eager=True)
+
+
+def stored(spark: SparkSession, df: DataFrame, purpose: str, **options: object) -> DataFrame:
+    """``df`` written as a Parquet table of its own in the checkpoint folder, and read from there."""
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{purpose}-{uuid.uuid4().hex}"
+    df.write.options(**options).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lacuna.checkpoints import cut_lineage
 from lacuna.kb.knowledge_base import KEY, KnowledgeBase
+from lacuna.operators.ordered import numbered
 
 
 def entity_type(df: DataFrame) -> str:
@@ -14,23 +16,11 @@ def entity_type(df: DataFrame) -> str:
 
 
 def feature_index(cells: DataFrame, targets: DataFrame) -> tuple[DataFrame, int]:
-    """(feature, i) and the number of features, in the order of their names.
-
-    A name's number is how many names lie in the ranges before its own, and before it in its
-    range; only a count for each range comes to the driver.
-    """
-    spark = cells.sparkSession
+    """(feature, i) and the number of features, in the order of their names; stored, so that numbers last."""
     names = cells.select("feature").unionByName(targets.select("feature")).distinct()
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = names.repartitionByRange(parts, "feature").withColumn("part", F.spark_partition_id()).persist()
-    total, before = 0, []
-    for part, n in sorted(map(tuple, ranged.groupBy("part").count().collect())):
-        before.append((part, total))
-        total += n
-    starts = spark.createDataFrame(before, "part int, start long")
-    within = F.row_number().over(Window.partitionBy("part").orderBy("feature")) - 1
-    index = ranged.join(starts, "part").select("feature", (F.col("start") + within).cast("int").alias("i"))
-    return index, total
+    index = numbered(names, ["feature"], "i").select("feature", F.col("i").cast("int").alias("i"))
+    index = cut_lineage(cells.sparkSession, index)
+    return index, index.count()
 
 
 def entity_rows(known: DataFrame, targets: DataFrame, index: DataFrame) -> DataFrame:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lacuna.functions.intervals import contains_year
 
 
 _BLOCK_YEARS = 1024
+_SIZES = 34
+"""Sizes of dyadic intervals, from one year to all years of 32 bits and one more."""
+_NODES = "array<struct<size:int,number:bigint>>"
 
 
 def as_of(records: DataFrame, year: int) -> DataFrame:
@@ -16,36 +19,70 @@ def as_of(records: DataFrame, year: int) -> DataFrame:
     return records.where(contains_year(F.col("timespan"), F.lit(year)))
 
 
-def overlap_pairs(left: DataFrame, right: DataFrame, bucket_years: int = 10) -> DataFrame:
+def _nodes(start: Column, end: Column) -> Column:
+    """The fewest dyadic intervals that cover the closed range, two of a size at most: (size, number) structs.
+
+    A range is taken off at its ends while they do not fill the next larger size; what is
+    left in the middle is covered there.
+    """
+
+    def step(state: Column, size: Column) -> Column:
+        lo, hi, found = state["lo"], state["hi"], state["found"]
+        low = F.when((lo <= hi) & (lo % 2 == 1), F.array(F.struct(size.alias("size"), lo.alias("number"))))
+        lo = F.when(low.isNotNull(), lo + 1).otherwise(lo)
+        high = F.when((lo <= hi) & (hi % 2 == 0), F.array(F.struct(size.alias("size"), hi.alias("number"))))
+        hi = F.when(high.isNotNull(), hi - 1).otherwise(hi)
+        nothing = F.array().cast(_NODES)
+        more = F.concat(found, F.coalesce(low.cast(_NODES), nothing), F.coalesce(high.cast(_NODES), nothing))
+        # Numbers at the next size; an empty middle stays empty.
+        return F.struct(F.when(lo <= hi, F.shiftright(lo, 1)).otherwise(F.lit(1).cast("long")).alias("lo"),
+                        F.when(lo <= hi, F.shiftright(hi, 1)).otherwise(F.lit(0).cast("long")).alias("hi"), more.alias("found"))
+
+    first = F.struct(
+        _place(start).alias("lo"), _place(end).alias("hi"), F.array().cast(_NODES).alias("found")
+    )
+    return F.aggregate(F.sequence(F.lit(0), F.lit(_SIZES - 1)), first, step, lambda state: state["found"])
+
+
+def _place(year: Column) -> Column:
+    return year.cast("long") + (1 << (_SIZES - 2))
+
+
+def overlap_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     """Pairs of (left_id, right_id) whose closed year ranges overlap.
 
-    Both sides need id, start_year, end_year. The join key is a bucket of
-    years, so it is an equi-join that Spark can shuffle and split; a pair that
-    shares several buckets is produced only in the bucket where the overlap
-    begins, so no distinct is needed.
+    Both sides need id, start_year, end_year, any whole years of 32 bits. Of two ranges that overlap, exactly one
+    begins within the other, or both begin together: ranges are joined with the begins that lie in them. A range becomes the few dyadic intervals
+    that cover it, two of each size at most, and a begin the intervals around it, one of each size that
+    ranges have; so rows are bounded by the bits of a year, however long the ranges, and the join is an equi-join
+    in which every row is a pair of the result.
     """
 
-    def bucketed(df: DataFrame, side: str) -> DataFrame:
-        first = F.floor(F.col("start_year") / bucket_years)
-        last = F.floor(F.col("end_year") / bucket_years)
+    def ranges(df: DataFrame, side: str) -> DataFrame:
         return df.where("start_year <= end_year").select(
-            F.col("id").alias(f"{side}_id"),
-            F.col("start_year").alias(f"{side}_start"),
-            F.col("end_year").alias(f"{side}_end"),
-            F.explode(F.sequence(first, last)).alias("bucket"),
+            F.col("id").alias(f"{side}_id"), F.explode(_nodes(F.col("start_year"), F.col("end_year"))).alias("node")
         )
 
-    starts = F.greatest("left_start", "right_start")
-    return (
-        bucketed(left, "left")
-        .join(bucketed(right, "right"), "bucket")
-        .where("left_start <= right_end AND right_start <= left_end")
-        .where(F.floor(starts / bucket_years) == F.col("bucket"))
-        .select("left_id", "right_id")
-    )
+    def begins(df: DataFrame, side: str, sizes: list[int]) -> DataFrame:
+        place = _place(F.col("start_year"))
+        node = F.transform(
+            F.array(*[F.lit(s) for s in sizes]), lambda s: F.struct(s.alias("size"), F.call_function("shiftright", place, s).alias("number"))
+        )
+        return df.where("start_year <= end_year").select(F.col("id").alias(f"{side}_id"), F.explode(node.cast(_NODES)).alias("node"))
+
+    def later(df: DataFrame) -> DataFrame:
+        # Begins that are equal were met on the other side.
+        return df.withColumn("start_year", F.col("start_year").cast("long") + 1)
+
+    def met(inner: DataFrame, inner_side: str, outer: DataFrame, outer_side: str) -> DataFrame:
+        covers = ranges(outer, outer_side)
+        sizes = sorted(r[0] for r in covers.select("node.size").distinct().collect())  # one for each bit at most
+        return begins(inner, inner_side, sizes or [0]).join(covers, "node").select("left_id", "right_id")
+
+    return met(right, "right", left, "left").unionByName(met(left, "left", later(right), "right"))
 
 
-def overlap_spans(left: DataFrame, right: DataFrame, bucket_years: int = 10) -> DataFrame:
+def overlap_spans(left: DataFrame, right: DataFrame) -> DataFrame:
     """Pairs of distinct year ranges that overlap, and how many pairs of rows each stands for.
 
     Equal ranges are folded first, so however many rows share a range, the join
@@ -57,7 +94,7 @@ def overlap_spans(left: DataFrame, right: DataFrame, bucket_years: int = 10) ->
         return ranges.withColumn("id", F.struct("start_year", "end_year", "n"))
 
     a, b = F.col("left_id"), F.col("right_id")
-    return overlap_pairs(folded(left), folded(right), bucket_years).select(
+    return overlap_pairs(folded(left), folded(right)).select(
         a["start_year"].alias("left_start"), a["end_year"].alias("left_end"),
         b["start_year"].alias("right_start"), b["end_year"].alias("right_end"),
         (a["n"] * b["n"]).alias("n_pairs"),

@@ -149,7 +149,7 @@ def test_overlaps_against_brute_force(spark):
     spans = [(f"i{n}", s := rng.randrange(-60, 60), s + rng.randrange(0, 30)) for n in range(60)]
     df = spark.createDataFrame(spans, "id string, start_year int, end_year int")
     brute = {(a[0], b[0]) for a in spans for b in spans if a[1] <= b[2] and b[1] <= a[2]}
-    pairs = timespans.overlap_pairs(df, df, bucket_years=7).collect()
+    pairs = timespans.overlap_pairs(df, df).collect()
     assert len(pairs) == len(brute) and {tuple(p) for p in pairs} == brute
     spans_of = timespans.overlap_spans(df, df).agg(F.sum("n_pairs")).first()[0]
     assert spans_of == len(brute)
