@@ -46,8 +46,8 @@ class _Rows:
         self.row = np.repeat(np.arange(len(pdf)), counts)
         self.col = np.concatenate(pdf["i"].to_numpy()) if sum(counts) else np.zeros(0, dtype=int)
         self.val = np.concatenate(pdf["v"].to_numpy()) if sum(counts) else np.zeros(0)
-        self.starts = np.concatenate([[0], np.cumsum(counts)]).astype(int)
         self.n = len(pdf)
+        self.by_col = np.argsort(self.col, kind="stable")
 
     def at(self, a: np.ndarray, vectors: np.ndarray, row: np.ndarray, col: np.ndarray) -> np.ndarray:
         """Entries of A V'."""
@@ -63,7 +63,7 @@ class _Rows:
         out = a @ (vectors.T @ basis)
         for s in range(0, len(rest), _AT_ONCE):
             part = slice(s, s + _AT_ONCE)
-            np.add.at(out, self.row[part], rest[part, None] * basis[self.col[part]])
+            _add_runs(out, self.row[part], rest[part, None] * basis[self.col[part]])
         return out
 
     def transposed(self, a: np.ndarray, vectors: np.ndarray, b: np.ndarray, out: np.ndarray) -> None:
@@ -71,13 +71,19 @@ class _Rows:
         rest = self.val - self.at(a, vectors, self.row, self.col)
         out += vectors @ (a.T @ b)
         for s in range(0, len(rest), _AT_ONCE):
-            part = slice(s, s + _AT_ONCE)
-            np.add.at(out, self.col[part], rest[part, None] * b[self.row[part]])
+            part = self.by_col[s : s + _AT_ONCE]
+            _add_runs(out, self.col[part], rest[part, None] * b[self.row[part]])
 
 
 _AT_ONCE = 50_000
 
 
+def _add_runs(out: np.ndarray, at: np.ndarray, values: np.ndarray) -> None:
+    """Add rows of ``values`` to the rows ``at`` of ``out``; equal places stand together."""
+    starts = np.flatnonzero(np.diff(at, prepend=-1))
+    out[at[starts]] += np.add.reduceat(values, starts, axis=0)
+
+
 def _advance(pdf: pd.DataFrame, rows: _Rows, start: np.ndarray, steps: list):
     """(A, V) of the rows after the steps and before the last one; ``start`` are the vectors of the stored state."""
     vectors = start
