@@ -11,7 +11,7 @@ from lacuna.eval.balanced import BalancedSplit
 from lacuna.eval.intervals import COUNTS as COUNT_NAMES
 from lacuna.eval.intervals import MetricIntervals, poisson_steps
 from lacuna.impute import MeanImputer
-from lacuna.operators import sketches, timespans, tree
+from lacuna.operators import releases, sketches, timespans, tree
 from lacuna.operators.nested import NestedTree, with_intervals
 from lacuna.plans.catalog_queries import NODES
 from lacuna.plans.inputs import catalog, knowledge_base, labelled_documents, parts, table, vector_groups
@@ -132,3 +132,36 @@ def imputer_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, targets, gold = parts(spark, sf_dir)
     scored = Evaluator(gold).scored(MeanImputer().impute(train, targets))
     return MetricIntervals(_REPLICATES, 1 - 2 * _CUT, "entity_id", ["imputer"]).run(scored)
+
+
+# The second release: some orders are gone, some renamed, some under the next customer, and there are new ones.
+_OLD_RELEASE = """SELECT ['r' || n_regionkey, 'n' || n_nationkey, 'c' || c_custkey, 'o' || o_orderkey] AS lineage, o_orderpriority AS name
+    FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey"""
+_NEW_RELEASE = """SELECT ['r' || n_regionkey, 'n' || n_nationkey, 'c' || c_custkey, 'o' || key] AS lineage, CASE WHEN key % 89 = 0 THEN 'renamed' ELSE o_orderpriority END AS name
+    FROM (SELECT CASE WHEN o_orderkey % 101 = 0 THEN -o_orderkey ELSE o_orderkey END AS key, o_orderpriority,
+        CASE WHEN o_orderkey % 97 = 0 THEN o_custkey + 1 ELSE o_custkey END AS cust FROM orders WHERE o_orderkey % 83 <> 0)
+    JOIN customer ON cust = c_custkey JOIN nation ON c_nationkey = n_nationkey"""
+
+
+def _release(spark: SparkSession, sf_dir: str, new: bool) -> DataFrame:
+    key, cust, name = F.col("o_orderkey"), F.col("o_custkey"), F.col("o_orderpriority")
+    orders = table(spark, sf_dir, "orders")
+    if new:
+        orders = orders.where(key % 83 != 0)
+        name, cust = F.when(key % 89 == 0, "renamed").otherwise(name), F.when(key % 97 == 0, cust + 1).otherwise(cust)
+        key = F.when(key % 101 == 0, -key).otherwise(key)
+    orders = orders.select(key.alias("key"), cust.alias("c_custkey"), name.alias("name"))
+    customers = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("n_nationkey"))
+    nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
+    lineage = F.expr("array('r' || n_regionkey, 'n' || n_nationkey, 'c' || c_custkey, 'o' || key)")
+    return orders.join(customers, "c_custkey").join(nations, "n_nationkey").select(lineage.alias("lineage"), "name")
+
+
+@query(f"""WITH old AS ({_OLD_RELEASE}), new AS ({_NEW_RELEASE}),
+    gone AS (SELECT lineage FROM (SELECT * FROM old EXCEPT ALL SELECT * FROM new)), come AS (SELECT lineage FROM (SELECT * FROM new EXCEPT ALL SELECT * FROM old))
+  SELECT coalesce(gone.lineage[-1], come.lineage[-1]) AS languoid_id, CASE WHEN gone.lineage IS NULL THEN 'added' WHEN come.lineage IS NULL THEN 'removed'
+    WHEN gone.lineage = come.lineage THEN 'changed' ELSE 'moved' END AS change FROM gone FULL JOIN come ON gone.lineage[-1] = come.lineage[-1]""")
+def release_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records that were added, removed, moved or changed between two releases."""
+    old, new = (releases.store_digests(_release(spark, sf_dir, n), ["name"]) for n in (False, True))
+    return releases.compare(old, new).changes.select("languoid_id", "change")
