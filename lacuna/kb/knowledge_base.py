@@ -11,7 +11,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lacuna.checkpoints import cut_lineage
+from lacuna.operators.ordered import numbered
+
 KEY = ["entity_id", "feature"]
+MOST_COLUMNS = 10_000
+BLOCK = 4096
 
 
 class KnowledgeBase:
@@ -69,9 +74,11 @@ class KnowledgeBase:
         return self.cells.where("value IS NOT NULL")
 
     def features(self) -> list[str]:
-        """The sorted vocabulary."""
+        """The sorted vocabulary, as the columns of :meth:`wide`; more than ``MOST_COLUMNS`` are an error."""
         if self._features is None:
-            rows = self.cells.select("feature").distinct().collect()
+            rows = self.cells.select("feature").distinct().limit(MOST_COLUMNS + 1).collect()
+            if len(rows) > MOST_COLUMNS:
+                raise ValueError(f"more than {MOST_COLUMNS} features; name those that are wanted")
             self._features = sorted(r["feature"] for r in rows)
         return self._features
 
@@ -81,15 +88,20 @@ class KnowledgeBase:
     def missing(self) -> DataFrame:
         """(entity_id, feature) of the cells without a value.
 
-        Complements each entity's own feature set against the vocabulary; no
-        product of entities and features is joined or shuffled. An entity of
-        which no cell is known must have a row with a NULL value to be seen.
+        Complements each entity's own features against the vocabulary, a block of ``BLOCK`` features at a time, so no row is longer
+        than that. An entity of which no cell is known must have a row with a NULL value to be seen.
         """
-        vocabulary = self.cells.agg(F.collect_set("feature")).scalar()
-        have = F.collect_set(F.when(F.col("value").isNotNull(), F.col("feature")))
-        return self.cells.groupBy("entity_id").agg(have.alias("have")).select(
-            "entity_id", F.explode(F.array_except(vocabulary, "have")).alias("feature")
-        )
+        index = numbered(self.cells.select("feature").distinct(), ["feature"], "i")
+        index = cut_lineage(self.cells.sparkSession, index.withColumn("block", F.floor(F.col("i") / BLOCK)))
+        blocks = index.groupBy("block").agg(F.collect_list("feature").alias("all"))
+        last = index.agg(F.max("block")).first()[0]
+        if last is None:
+            return self.cells.select("entity_id", "feature")
+        of_each = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last))).alias("block")
+        every = self.entities().select("entity_id", of_each).join(blocks, "block")
+        have = self.known().join(index, "feature").groupBy("entity_id", "block").agg(F.collect_set("feature").alias("have"))
+        rest = F.array_except("all", F.coalesce("have", F.array().cast("array<string>")))
+        return every.join(have, ["entity_id", "block"], "left").select("entity_id", F.explode(rest).alias("feature"))
 
     def wide(self, features: Sequence[str] | None = None) -> DataFrame:
         """One row per entity, one column per feature.

@@ -13,10 +13,10 @@ from lacuna.functions.citation import citation_title
 from lacuna.functions.status import comment_clauses
 from lacuna.operators import geo as places
 from lacuna.operators import levels, records, retirement, status, timespans, tree
-from lacuna.plans.inputs import LATITUDE, LONGITUDE, catalog, customers, nation_texts, suppliers, table
+from lacuna.plans.inputs import LATITUDE, LONGITUDE, catalog, catalog_texts, customers, nation_texts, suppliers, table
 from lacuna.plans.registry import query
 from lacuna.sources import index_pages, lookups
-from lacuna.sources.catalog import parse_records
+from lacuna.sources.catalog import lineages, parse_records
 
 # SQL views of the stand-in catalogue, computed from the tables without any text.
 CUST = """cust AS (
@@ -260,18 +260,18 @@ def timespan_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {NODES}, flat AS (SELECT id, len(lineage) AS d, unnest(lineage) AS a, generate_subscripts(lineage, 1) AS p FROM rec)
   SELECT id AS languoid_id, a AS ancestor_id, CAST(d - p AS INTEGER) AS distance FROM flat""")
 def tree_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tree.closure(catalog(spark, sf_dir, "level"))
+    return tree.closure(lineages(catalog_texts(spark, sf_dir)))
 
 
 @query(f"""WITH {NODES} SELECT id AS languoid_id FROM rec WHERE list_contains(lineage, 'n3') AND id <> 'n3'""")
 def tree_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tree.descendants(catalog(spark, sf_dir, "level"), "n3").select("languoid_id")
+    return tree.descendants(lineages(catalog_texts(spark, sf_dir)), "n3").select("languoid_id")
 
 
 @query(f"""WITH {NODES}, flat AS (SELECT unnest(lineage) AS a, generate_subscripts(lineage, 1) AS p, len(lineage) AS d FROM rec)
   SELECT a AS languoid_id, CAST(p AS INTEGER) AS depth, bool_or(p = d) AS has_record FROM flat GROUP BY a, p""")
 def nodes_from_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tree.nodes_from_paths(catalog(spark, sf_dir, "level")).select("languoid_id", "depth", "has_record")
+    return tree.nodes_from_paths(lineages(catalog_texts(spark, sf_dir))).select("languoid_id", "depth", "has_record")
 
 
 def _order_parties(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -384,28 +384,29 @@ def index_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index_pages.build_index(customers(spark, sf_dir, "level", "name", "iso639_3"))
 
 
-@query(f"""WITH {NODES} SELECT id AS languoid_id, CASE WHEN c_acctbal < 0 THEN 'missing' ELSE 'name' END AS problem
-  FROM cust WHERE c_acctbal < 0 OR c_mktsegment = 'BUILDING'""")
+_CODE = "translate(lpad({key} % 1000, 3, '0'), '0123456789', 'abcdefghij')"
+
+
+@query(f"""WITH {CUST} SELECT id AS languoid_id, CASE WHEN c_acctbal < 0 THEN 'missing' WHEN c_mktsegment = 'BUILDING' THEN 'name'
+    WHEN c_mktsegment = 'FURNITURE' THEN 'level' ELSE 'code' END AS problem
+  FROM cust WHERE c_acctbal < 0 OR c_mktsegment IN ('BUILDING', 'FURNITURE', 'MACHINERY')""")
 def index_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries of an index of all records, checked against records that have since changed."""
+    customer = F.col("languoid_id").startswith("c")
+    code = F.when(customer, F.expr(_CODE.format(key="cast(substring(languoid_id, 2) AS bigint)")))
     all_records = cut_lineage(
-        spark,
-        catalog(spark, sf_dir, "level", "name").select(
-            "languoid_id", "level", "name", "lineage", F.lit(None).cast("string").alias("iso639_3")
-        ),
+        spark, catalog(spark, sf_dir, "level", "name").select("languoid_id", "level", "name", "lineage", code.alias("iso639_3"))
     )
-    lines = index_pages.build_index(all_records).select(F.col("line").alias("value"))
+    lines = index_pages.build_index(all_records).select("level", F.col("line").alias("value"))
     entries = index_pages.parse_index_lines(lines)
     state = table(spark, sf_dir, "customer").select(
-        F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("languoid_id"),
-        (F.col("c_acctbal") < 0).alias("gone"),
-        (F.col("c_mktsegment") == "BUILDING").alias("renamed"),
-    )
-    now = (
-        all_records.select("languoid_id", "name", "lineage")
-        .join(state, "languoid_id", "left")
-        .where(~F.coalesce("gone", F.lit(False)))
-        .withColumn("name", F.when(F.col("renamed"), F.lit("New name")).otherwise(F.col("name")))
+        F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("languoid_id"), "c_acctbal", F.col("c_mktsegment").alias("segment")
+    )
+    now = all_records.join(state, "languoid_id", "left").where(~F.coalesce(F.col("c_acctbal") < 0, F.lit(False))).select(
+        "languoid_id", "lineage",
+        F.when(F.col("segment") == "BUILDING", "New name").otherwise(F.col("name")).alias("name"),
+        F.when(F.col("segment") == "FURNITURE", "dialect").otherwise(F.col("level")).alias("level"),
+        F.when(~F.coalesce(F.col("segment") == "MACHINERY", F.lit(False)), F.col("iso639_3")).alias("iso639_3"),
     )
     return index_pages.index_problems(entries, now).select("languoid_id", "problem")
 

@@ -181,12 +181,17 @@ def suppliers(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return parse_records(supplier_texts(spark, sf_dir), columns)
 
 
-def catalog(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    """All records of the stand-in catalogue."""
+def catalog_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, text) of all records of the stand-in catalogue."""
     texts = nation_texts(spark, sf_dir)
     for part in (customer_texts, order_texts, supplier_texts):
         texts = texts.unionByName(part(spark, sf_dir))
-    return parse_records(texts, columns)
+    return texts
+
+
+def catalog(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """All records of the stand-in catalogue."""
+    return parse_records(catalog_texts(spark, sf_dir), columns)
 
 
 def knowledge_base(spark: SparkSession, sf_dir: str) -> KnowledgeBase:

@@ -14,9 +14,10 @@ from lacuna.impute import MeanImputer
 from lacuna.operators import releases, sketches, timespans, tree
 from lacuna.operators.nested import NestedTree, with_intervals
 from lacuna.plans.catalog_queries import NODES
-from lacuna.plans.inputs import catalog, knowledge_base, labelled_documents, parts, table, vector_groups
+from lacuna.plans.inputs import catalog_texts, knowledge_base, labelled_documents, parts, table, vector_groups
 from lacuna.plans.matrix_queries import _HASH, CELLS, COUNTS, GROUPS, LABELLED, MEAN, RATES
 from lacuna.plans.registry import query
+from lacuna.sources.catalog import lineages
 
 _ALL_NODES = f"""{NODES}, prefixes AS (SELECT lineage[:i] AS lineage FROM (SELECT lineage, unnest(range(1, len(lineage) + 1)) AS i FROM rec)),
   nodes AS (SELECT lineage, row_number() OVER (ORDER BY lineage) - 1 AS enter FROM (SELECT DISTINCT lineage FROM prefixes)),
@@ -26,7 +27,7 @@ _ALL_NODES = f"""{NODES}, prefixes AS (SELECT lineage[:i] AS lineage FROM (SELEC
 
 def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Lineages come from the paths alone; no text is parsed.
-    return cut_lineage(spark, tree.nodes_from_paths(catalog(spark, sf_dir).select("lineage")).select("languoid_id", "lineage", "has_record"))
+    return cut_lineage(spark, tree.nodes_from_paths(lineages(catalog_texts(spark, sf_dir))).select("languoid_id", "lineage", "has_record"))
 
 
 @query(f"WITH {_ALL_NODES} SELECT languoid_id, enter, leave FROM nested")

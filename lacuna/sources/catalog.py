@@ -172,6 +172,11 @@ def parse_records(records: DataFrame, columns: Sequence[str] = ()) -> DataFrame:
     return with_lineage(parsed.select("lineage", F.inline_outer(F.array(typed))))
 
 
+def lineages(records: DataFrame) -> DataFrame:
+    """Ids and places of (path, text) from the paths alone; no text is read or parsed."""
+    return with_lineage(records.select(lineage_of_path(F.col("path")).alias("lineage")))
+
+
 def write_catalog(records: DataFrame, out: str) -> None:
     """Parquet, one directory per level, rows clustered by their place in the tree.
 

@@ -70,10 +70,15 @@ def write_index(index: DataFrame, out: str) -> None:
 
 
 def index_problems(entries: DataFrame, records: DataFrame) -> DataFrame:
-    """Entries without a record, or whose name or lineage differs from it."""
+    """Entries without a record, or whose name, path, level or code differs from it; the first of these is told.
+
+    Levels and codes are compared where both sides have them as columns: a page is of one level, and an entry
+    without a code says that the record has none.
+    """
+    compared = [c for c in ("level", "iso639_3") if c in entries.columns and c in records.columns]
     r = records.select(
         "languoid_id", F.col("name").alias("record_name"), F.col("lineage").alias("record_lineage"),
-        F.lit(True).alias("has_record"),
+        *[F.col(c).alias(f"record_{c}") for c in compared], F.lit(True).alias("has_record"),
     )
     joined = entries.join(r, "languoid_id", "left")
     problem = (
@@ -81,6 +86,9 @@ def index_problems(entries: DataFrame, records: DataFrame) -> DataFrame:
         .when(~F.col("name").eqNullSafe(F.col("record_name")), "name")
         .when(F.col("lineage") != F.col("record_lineage"), "path")
     )
+    for c, told in (("level", "level"), ("iso639_3", "code")):
+        if c in compared:
+            problem = problem.when(~F.col(c).eqNullSafe(F.col(f"record_{c}")), told)
     return joined.withColumn("problem", problem).where("problem IS NOT NULL").select(
         *entries.columns, "problem"
     )
