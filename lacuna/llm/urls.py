@@ -1,9 +1,10 @@
 """Verdicts on URLs by rules and by path templates.
 
 Each host has a tree of templates, grown level by level. Numbers, hexadecimal names and segments with digits become
-classes at once. A node with ``VARIABLE`` or more different children has one wildcard child
-instead, ``*``. Of the children of any other node those whose share of bad labels does not differ from that of their siblings
-(two-proportion test, 5 %) become one branch, ``~``. Segments after the ``DEPTH``-th are one, whole.
+classes at once. Children whose share of bad labels does not differ from that of their siblings (two-proportion test, 5 %) become
+one branch, however many they are: it is written ``*`` where a node has ``VARIABLE`` children or more and ``~`` where
+it has fewer. From the ``DEPTH``-th level on, the tree goes on below nodes whose labels are mixed, as deep as
+they are; below the others no child can differ, and the rest of their paths is one, ``**``.
 
 A template's share of bad labels is smoothed towards its host's, and that towards ``PRIOR``; a template is rejected at one half. The labels are the URLs that a rule decides.
 
@@ -77,16 +78,29 @@ def _branches(state: DataFrame) -> DataFrame:
     child = _looked_up(children, nodes, ["host", "template"], ["segment"])
     bad, n = F.col("bad").cast("double"), F.col("labels").cast("double")
     other_bad, other_n = F.col("all_bad") - bad, F.col("all_labels") - n
-    pooled = F.col("all_bad") / F.col("all_labels")
-    apart = (bad / n - other_bad / other_n) * (bad / n - other_bad / other_n)
-    differs = (n > 0) & (other_n > 0) & (apart >= F.lit(DIFFERENT) * (pooled * (1 - pooled) * (1 / n + 1 / other_n))) & (apart > 0)
-    branch = (
-        F.when(F.col("children") >= VARIABLE, "*").when(F.col("children") == 1, F.col("segment"))
-        .when(F.coalesce(differs, F.lit(False)), F.col("segment")).otherwise("~")
-    )
+    pooled = F.try_divide(F.col("all_bad").cast("double"), F.col("all_labels").cast("double"))
+    gap = F.try_divide(bad, n) - F.try_divide(other_bad, other_n)
+    spread = pooled * (1 - pooled) * (F.try_divide(F.lit(1.0), n) + F.try_divide(F.lit(1.0), other_n))
+    differs = (n > 0) & (other_n > 0) & (gap * gap >= F.lit(DIFFERENT) * spread) & (gap * gap > 0)
+    alone = (F.col("children") == 1) | F.coalesce(differs, F.lit(False))
+    branch = F.when(alone, F.col("segment")).when(F.col("children") >= VARIABLE, "*").otherwise("~")
     return child.select("host", "template", "segment", branch.alias("branch"))
 
 
+def _without_tails(state: DataFrame, level: int) -> DataFrame:
+    """``state`` with the rest of the paths below nodes without mixed labels as one last segment."""
+    deeper = F.size("segments") > level
+    here = state.where(deeper)
+    nodes = here.groupBy("host", "template").agg(F.sum("bad").alias("all_bad"), F.sum("labels").alias("all_labels"))
+    nodes = nodes.select("host", "template", ((F.col("all_bad") > 0) & (F.col("all_bad") < F.col("all_labels"))).alias("mixed"))
+    known = _looked_up(here, nodes, ["host", "template"], ["path"])
+    ended = known.withColumns({
+        "template": F.when(F.col("mixed"), F.col("template")).otherwise(F.concat("template", F.lit("/**"))),
+        "segments": F.when(F.col("mixed"), F.col("segments")).otherwise(F.slice("segments", 1, level)),
+    })
+    return ended.select(state.columns).unionByName(state.where(~deeper))
+
+
 def judge(pages: DataFrame, rules: list[Rule], store: Store) -> DataFrame:
     """page_id, host, path, rule, verdict, template and bad_share of each row of ``pages`` (page_id, url)."""
     host, path = parts(F.col("url"))
@@ -95,18 +109,21 @@ def judge(pages: DataFrame, rules: list[Rule], store: Store) -> DataFrame:
     labelled = F.col("found").isNotNull().cast("long")
     bad = F.coalesce((F.col("found.verdict") == "block").cast("long"), F.lit(0))
     paths = rows.groupBy("host", "path").agg(F.sum(labelled).alias("labels"), F.sum(bad).alias("bad"))
-    segments = F.split(F.col("path"), "/", DEPTH + 1)
+    segments = F.split(F.col("path"), "/")
     state = paths.select("host", "path", "labels", "bad", F.lit("").alias("template"), segments.alias("segments"))
     state = store.keep(state, "paths")
-    depth = state.agg(F.max(F.size("segments"))).first()[0]
     # What stands before the first slash is empty.
-    for level in range(1, depth or 0):
+    level = 1
+    while not state.where(F.size("segments") > level).isEmpty():
+        if level > DEPTH:
+            state = store.keep(_without_tails(state, level), f"mixed-{level}")
         deeper = F.size("segments") > level
         here = state.where(deeper).withColumn("segment", _shape(F.col("segments")[level]))
         keys = ["host", "template", "segment"]
         there = _looked_up(here, _branches(here), keys, ["path"])
         there = there.withColumn("template", F.concat("template", F.lit("/"), "branch")).select(state.columns)
         state = store.keep(there.unionByName(state.where(~deeper)), f"level-{level}")
+        level += 1
     templates = state.groupBy("host", "template").agg(F.sum("bad").alias("bad"), F.sum("labels").alias("labels"))
     hosts = templates.groupBy("host").agg(F.sum("bad").alias("host_bad"), F.sum("labels").alias("host_labels"))
     of_host = (F.col("host_bad") + F.lit(SMOOTHING * PRIOR)) / (F.col("host_labels") + SMOOTHING)

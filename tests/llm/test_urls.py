@@ -59,6 +59,28 @@ def test_a_template_is_rejected_by_its_labels(spark):
     assert found[350].verdict == "allow"
 
 
+@pytest.mark.parametrize("sections", [5, 7, 8, 12, 50])
+def test_a_bad_section_is_told_whatever_the_number_of_sections(spark, sections):
+    rules = [("site.net", "/s0/known", "block")] + [("site.net", f"/s{n}/known", "allow") for n in range(1, sections)]
+    rules = [(h, p.replace("/s", "/sec").translate(str.maketrans("0123456789", "abcdefghij")), v) for h, p, v in rules]
+    rows = []
+    for n in range(sections):
+        name = f"/sec{n}".translate(str.maketrans("0123456789", "abcdefghij"))
+        rows += [(1000 * n + i, f"http://site.net{name}/known{i}") for i in range(30)] + [(1000 * n + 900, f"http://site.net{name}/knew")]
+    found = {r.page_id: r.verdict for r in run(spark, rows, rules).collect()}
+    assert [found[1000 * n + 900] for n in range(sections)] == ["block"] + ["allow"] * (sections - 1)
+
+
+def test_mixed_labels_far_down(spark):
+    deep = "/".join(["a"] * 10)
+    rules = [("deep.net", f"/{deep}/bad/known", "block"), ("deep.net", f"/{deep}/good/known", "allow")]
+    rows = [(i, f"http://deep.net/{deep}/{'bad' if i % 2 else 'good'}/known{i}") for i in range(80)]
+    rows += [(900, f"http://deep.net/{deep}/bad/new"), (901, f"http://deep.net/{deep}/good/new")]
+    found = {r.page_id: r for r in run(spark, rows, rules).collect()}
+    assert (found[900].verdict, found[901].verdict) == ("block", "allow")
+    assert found[900].template == f"/{deep}/bad/**"
+
+
 def test_empty_table(spark):
     assert run(spark, []).collect() == []
 
