@@ -5,6 +5,10 @@ weights ``log(1 + count) * idf``, scaled to length 1. The idf covers all trainin
 rows. The centroids come from spherical k-means within each language, on at most
 about ``sample_rows`` training rows in all, chosen by the hash of their text.
 
+A text is rejected by its distance: each language has a least cosine for texts of each size (letters, by
+powers of two), ``MARGIN`` times what all but the lowest hundredth of its own sampled rows of about that size reach,
+and never less than ``reject_below``; where it has few such rows, those of all languages count.
+
 Defined cases: a text that is null or has no letter is ``und`` with score 0 and
 rejected; so is every text if there is nothing to learn from. Of equally near
 centroids the one of the alphabetically first language wins. Training rows
@@ -26,6 +30,7 @@ from lacuna.llm.words import small_batches, text_bytes
 
 UNKNOWN = "und"
 BUCKETS = 4096
+SIZES, MARGIN, LEAST_ROWS = 40, 0.5, 20
 _ROWS = 64
 
 _LETTER = np.zeros(256, dtype=np.uint32)
@@ -71,6 +76,33 @@ def _vectors(column: pa.Array, idf: np.ndarray | None) -> np.ndarray:
     return weights / np.maximum(np.linalg.norm(weights, axis=1, keepdims=True), 1e-12)
 
 
+def _sizes(column: pa.Array) -> np.ndarray:
+    """The power of two of the number of letters of each row."""
+    data, ends = text_bytes(column)
+    so_far = np.concatenate([[0], np.cumsum(_LETTER[data] > 0)])
+    letters = np.diff(so_far[np.concatenate([[0], ends])])
+    return np.minimum(np.log2(np.maximum(letters, 1)).astype(int), SIZES - 1)
+
+
+def _floors(scores: np.ndarray, sizes: np.ndarray, otherwise: np.ndarray) -> np.ndarray:
+    """The least cosine of each size; sizes below those of which there are rows enough take what holds otherwise.
+
+    Longer texts come nearer to their centroid, so no size asks for more than a larger one.
+    """
+    found = np.full(SIZES, np.inf)
+    for size in range(SIZES):
+        near = np.sort(scores[np.abs(sizes - size) <= 1])
+        if len(near) >= LEAST_ROWS:
+            found[size] = MARGIN * float(near[len(near) // 100])
+    known = np.flatnonzero(np.isfinite(found))
+    if not len(known):
+        return otherwise
+    found = np.minimum.accumulate(found[::-1])[::-1]
+    found[known[-1] :] = found[known[-1]]
+    found[: known[0]] = np.minimum(otherwise[: known[0]], found[known[0]])
+    return np.maximum(found, otherwise.min())
+
+
 def has_letter(text: Column) -> Column:
     return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
 
@@ -92,21 +124,19 @@ def _k_means(vectors: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 @dataclass(frozen=True)
 class CentroidModel:
-    """Centroids (rows of length 1), the language of each, the idf, and the similarity below which a text is rejected."""
+    """Centroids (rows of length 1), the language of each, the idf, and the cosine by size below which each rejects a text."""
 
     languages: list[str]
     centroids: np.ndarray
     idf: np.ndarray
-    reject_below: float
+    floors: np.ndarray
 
     def predict(self, docs: DataFrame) -> DataFrame:
         """``docs`` with lang_pred, score (cosine, 0 to 1) and rejected."""
         model, columns = self, docs.columns
-        taken = {"_letters"} & set(columns)
-        if taken:
-            raise ValueError(f"column name in use here: {taken}")
         keep = [c for c in columns if c not in ("lang_pred", "score", "rejected")]
-        inner = docs.select(*[F.col(f"`{c}`") for c in keep], has_letter(F.col("text")).alias("_letters"))
+        flag = "_" * (1 + max(map(len, columns))) + "letters"  # longer than any column's name
+        inner = docs.select(*[F.col(f"`{c}`") for c in keep], has_letter(F.col("text")).alias(flag))
         schema = docs.select(*[F.col(f"`{c}`") for c in keep]).schema
         for name, kind in (("lang_pred", "string"), ("score", "double"), ("rejected", "boolean")):
             schema = schema.add(name, kind)
@@ -115,19 +145,21 @@ class CentroidModel:
             for small in small_batches(batches):
                 for at in range(0, small.num_rows, _ROWS):
                     batch = small.slice(at, _ROWS)
-                    letters = batch.column("_letters").to_numpy(zero_copy_only=False).astype(bool)
+                    letters = batch.column(flag).to_numpy(zero_copy_only=False).astype(bool)
                     if model.languages:
                         near = _vectors(batch.column("text"), model.idf) @ model.centroids.T
                         best = np.argmax(near, axis=1)
                         score = np.clip(near[np.arange(len(best)), best].astype(float), 0, 1)
                         names = np.array(model.languages, dtype=object)[best]
+                        low = score < model.floors[best, _sizes(batch.column("text"))]
                     else:
                         letters = np.zeros(batch.num_rows, bool)
                         score, names = np.zeros(batch.num_rows), np.full(batch.num_rows, UNKNOWN, object)
+                        low = ~letters
                     names = np.where(letters, names, UNKNOWN)
                     score = np.where(letters, score, 0.0)
                     arrays = [batch.column(c) for c in keep]
-                    arrays += [pa.array(names, pa.string()), pa.array(score), pa.array(~letters | (score < model.reject_below))]
+                    arrays += [pa.array(names, pa.string()), pa.array(score), pa.array(~letters | low)]
                     yield pa.RecordBatch.from_arrays(arrays, names=[*keep, "lang_pred", "score", "rejected"])
 
         return inner.mapInArrow(run, schema)
@@ -164,7 +196,7 @@ def fit(
     idf = idf.astype(np.float32)
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not sizes:
-        return CentroidModel([], np.zeros((0, BUCKETS), np.float32), idf, reject_below)
+        return CentroidModel([], np.zeros((0, BUCKETS), np.float32), idf, np.zeros((0, SIZES)))
     share = max(1, sample_rows // len(sizes))
     place = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
     wanted = F.lit(False)
@@ -177,22 +209,28 @@ def fit(
                 batch = small.slice(at, _ROWS)
                 v = _vectors(batch.column("text"), idf).astype(np.float16)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("lang"), batch.column("place"), pa.array([x.tobytes() for x in v], pa.binary())],
-                    names=["lang", "place", "vector"],
+                    [
+                        batch.column("lang"), batch.column("place"), pa.array(_sizes(batch.column("text")), pa.int32()),
+                        pa.array([x.tobytes() for x in v], pa.binary()),
+                    ],
+                    names=["lang", "place", "size", "vector"],
                 )
 
     sample = (
         rows.where(wanted).select("text", "lang", place.alias("place"))
-        .mapInArrow(vectors, "lang string, place long, vector binary").toPandas()
+        .mapInArrow(vectors, "lang string, place long, size int, vector binary").toPandas()
     )
-    languages, centroids = [], []
+    languages, centroids, reached = [], [], []
     for lang, group in sample.sort_values(["lang", "place", "vector"]).groupby("lang"):
         group = group.head(share)
         unit = np.stack([np.frombuffer(x, np.float16) for x in group["vector"]]).astype(np.float32)
         centres = _k_means(unit, per_language)
         languages += [lang] * len(centres)
         centroids.append(centres)
-    return CentroidModel(languages, np.concatenate(centroids).astype(np.float32), idf, reject_below)
+        reached += [((unit @ centres.T).max(axis=1), group["size"].to_numpy())] * len(centres)
+    of_all = _floors(*(np.concatenate(x) for x in zip(*reached)), np.full(SIZES, reject_below))
+    floors = [_floors(scores, sizes, of_all) for scores, sizes in reached]
+    return CentroidModel(languages, np.concatenate(centroids).astype(np.float32), idf, np.stack(floors))
 
 
 def crc_remainder(doc_id: Column, n: int) -> Column:

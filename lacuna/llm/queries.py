@@ -32,7 +32,7 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document. No SQL: tested by held-out accuracy."""
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(langid.training_rows(docs.select("doc_id", "text", "lang")))
-    held_out = (langid.crc_remainder(F.col("doc_id"), 4) == 2).alias("held_out")
+    held_out = F.coalesce(langid.crc_remainder(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out")
     found = model.predict(docs.select("doc_id", "text"))
     return found.select("doc_id", held_out, "lang_pred", "score", "rejected")
 
