@@ -135,30 +135,34 @@ class CentroidModel:
         """``docs`` with lang_pred, score (cosine, 0 to 1) and rejected."""
         model, columns = self, docs.columns
         keep = [c for c in columns if c not in ("lang_pred", "score", "rejected")]
-        flag = "_" * (1 + max(map(len, columns))) + "letters"  # longer than any column's name
-        inner = docs.select(*[F.col(f"`{c}`") for c in keep], has_letter(F.col("text")).alias(flag))
+        # Within the step columns go by number, so that any name will do.
+        places = [f"column_{i}" for i in range(len(keep))]
+        text, flag = places[keep.index("text")], "letters"
+        inner = docs.select(
+            *[F.col(f"`{c}`").alias(p) for c, p in zip(keep, places)], has_letter(F.col("text")).alias(flag)
+        )
         schema = docs.select(*[F.col(f"`{c}`") for c in keep]).schema
         for name, kind in (("lang_pred", "string"), ("score", "double"), ("rejected", "boolean")):
             schema = schema.add(name, kind)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for small in small_batches(batches):
+            for small in small_batches(batches, text):
                 for at in range(0, small.num_rows, _ROWS):
                     batch = small.slice(at, _ROWS)
                     letters = batch.column(flag).to_numpy(zero_copy_only=False).astype(bool)
                     if model.languages:
-                        near = _vectors(batch.column("text"), model.idf) @ model.centroids.T
+                        near = _vectors(batch.column(text), model.idf) @ model.centroids.T
                         best = np.argmax(near, axis=1)
                         score = np.clip(near[np.arange(len(best)), best].astype(float), 0, 1)
                         names = np.array(model.languages, dtype=object)[best]
-                        low = score < model.floors[best, _sizes(batch.column("text"))]
+                        low = score < model.floors[best, _sizes(batch.column(text))]
                     else:
                         letters = np.zeros(batch.num_rows, bool)
                         score, names = np.zeros(batch.num_rows), np.full(batch.num_rows, UNKNOWN, object)
                         low = ~letters
                     names = np.where(letters, names, UNKNOWN)
                     score = np.where(letters, score, 0.0)
-                    arrays = [batch.column(c) for c in keep]
+                    arrays = [batch.column(p) for p in places]
                     arrays += [pa.array(names, pa.string()), pa.array(score), pa.array(~letters | low)]
                     yield pa.RecordBatch.from_arrays(arrays, names=[*keep, "lang_pred", "score", "rejected"])
 
