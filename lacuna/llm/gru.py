@@ -7,6 +7,8 @@ start of a text has id ``words + 1``. With all weights at zero but the biases th
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 
 CLASS = 64
@@ -43,208 +45,262 @@ def initial(counts: np.ndarray, others: float) -> Parameters:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    """In place; the ends overflow to exactly 0 and 1."""
-    np.negative(x, out=x)
-    np.exp(x, out=x)
-    x += 1
-    return np.reciprocal(x, out=x)
+    """In place."""
+    x *= 0.5
+    np.tanh(x, out=x)
+    x *= 0.5
+    x += 0.5
+    return x
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=-1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=-1, keepdims=True))
+def _log_chosen(x: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """The log softmax at one place of each column; leaves the softmax in ``x``."""
+    x -= x.max(axis=0)
+    own = x[chosen, np.arange(x.shape[1])]
+    sums = np.exp(x, out=x).sum(axis=0)
+    x /= sums
+    return own - np.log(sums)
 
 
-def _log_chosen(x: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    """The log softmax at one place of each row; overwrites ``x``."""
-    x -= x.max(axis=-1, keepdims=True)
-    own = x[np.arange(len(x)), chosen]
-    return own - np.log(np.exp(x, out=x).sum(axis=-1))
+def _gates(p: Parameters) -> np.ndarray:
+    """The matrices of the two gates, one after the other."""
+    return np.ascontiguousarray(p["gates"].reshape(HIDDEN, 2, HIDDEN).transpose(1, 0, 2))
 
 
 def states(p: Parameters, table: np.ndarray, before: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: bool):
-    """Hidden states over a window. before: (steps, lanes) input ids; fresh: where a text begins; h: the state carried in.
+    """Hidden states over a window. before: (steps, lanes) rows of ``table``; fresh: where a text begins; h: the state carried in.
 
-    ``table`` is ``embedding @ input + bias``. With ``keep`` also what the way back needs.
+    ``table`` is ``embedding @ input + bias``. With ``keep`` also what the way back needs: the state before
+    each step, both gates and the candidate.
     """
     steps, lanes = before.shape
-    out, trace = np.empty((steps, lanes, HIDDEN), np.float32), []
+    out = np.empty((steps, lanes, HIDDEN), np.float32)
     begins = fresh.any(axis=1).tolist()
-    inputs = table[before]
-    with np.errstate(over="ignore"):
-        for t in range(steps):
-            if begins[t]:
-                h = np.where(fresh[t][:, None], np.float32(0), h)
-            x = inputs[t]
-            gates = h @ p["gates"]
-            gates += x[:, : 2 * HIDDEN]
-            gates = _sigmoid(gates)
-            r, z = gates[:, :HIDDEN], gates[:, HIDDEN:]
-            n = (r * h) @ p["candidate"]
-            n += x[:, 2 * HIDDEN :]
-            n *= 2
-            n = _sigmoid(n)
-            n *= 2
-            n -= 1
-            if keep:
-                trace.append((h, r, z, n))
-            h = np.subtract(h, n, out=out[t])
-            h *= z
-            h += n
-    return out, h, trace
-
-
-def _by_class(target: np.ndarray, words: int):
-    """(class, places in ``target``) for each class that occurs, other words aside."""
-    order = np.argsort(target, kind="stable")
-    own = target[order] // CLASS
-    order = order[target[order] < words]
-    own = own[: len(order)]
+    reset, update, inputs = (np.ascontiguousarray(x).take(before, axis=0) for x in np.split(table, 3, axis=1))
+    recurrent, candidate = _gates(p), p["candidate"]
+    prior = np.empty_like(out) if keep else None
+    gates = np.empty((steps if keep else 1, 2, lanes, HIDDEN), np.float32)
+    both = np.empty((lanes, HIDDEN), np.float32)
+    for t in range(steps):
+        if begins[t]:
+            h = np.where(fresh[t][:, None], np.float32(0), h)
+        rz = gates[t if keep else 0]
+        np.matmul(h, recurrent, out=rz)
+        rz[0] += reset[t]
+        rz[1] += update[t]
+        r, z = _sigmoid(rz)
+        np.multiply(r, h, out=both)
+        n = inputs[t]
+        n += both @ candidate
+        np.tanh(n, out=n)
+        if keep:
+            prior[t] = h
+        h = np.subtract(h, n, out=out[t])
+        h *= z
+        h += n
+    return out, h, (prior, gates, inputs)
+
+
+def _by_class(classes: np.ndarray, last: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """(places in the order of their classes, (class, start, end) of each class in it), other words aside."""
+    order = np.argsort(classes.astype(np.uint16) if last < 1 << 16 else classes, kind="stable")
+    own = classes[order]
+    n = int(np.searchsorted(own, last))
+    order, own = order[:n], own[:n]
     cuts = np.flatnonzero(np.diff(own, prepend=-1)).tolist()
-    for s, e in zip(cuts, [*cuts[1:], len(own)] if cuts else [], strict=True):
-        yield int(own[s]), order[s:e]
+    return order, [(int(own[s]), s, e) for s, e in zip(cuts, [*cuts[1:], n] if cuts else [], strict=True)]
 
 
 def log_probabilities(p: Parameters, h: np.ndarray, target: np.ndarray, words: int) -> np.ndarray:
     """Natural log of the probability of each target, for other words of their class."""
     last = p["class_bias"].shape[0] - 1
     classes = np.where(target < words, target // CLASS, last)
-    logits = h @ p["class"]
-    logits += p["class_bias"]
+    logits = p["class"].T @ h.T
+    logits += p["class_bias"][:, None]
     out = _log_chosen(logits, classes).astype(np.float64)
-    for c, at in _by_class(target, words):
-        logits = h[at] @ p["word"][c]
-        logits += p["word_bias"][c]
-        out[at] += _log_chosen(logits, target[at] % CLASS)
+    order, cuts = _by_class(classes, last)
+    own, place = h[order], target[order] % CLASS
+    found = np.empty(len(order))
+    for c, s, e in cuts:
+        logits = p["word"][c].T @ own[s:e].T
+        logits += p["word_bias"][c][:, None]
+        found[s:e] = _log_chosen(logits, place[s:e])
+    out[order] += found
     return out
 
 
-def gradients(p: Parameters, before, target, fresh, used, h0, words: int):
-    """(mean loss, gradients, last state) of a window; the past before it counts as fixed. ``used`` masks padding."""
-    table = p["embedding"] @ p["input"] + p["bias"]
-    hidden, last_state, trace = states(p, table, before, fresh, h0, True)
+def touched(p: Parameters, before, target, fresh, used, h0, words: int):
+    """(mean loss, gradients, rows, last state) of a window; the past before it counts as fixed. ``used`` masks padding.
+
+    A parameter in ``rows`` has gradients for those of its rows only; those of all others are 0.
+    """
+    ids = before.reshape(-1)
+    by_id = np.argsort(ids.astype(np.uint16) if len(p["embedding"]) <= 1 << 16 else ids, kind="stable")
+    first = np.flatnonzero(np.diff(ids[by_id], prepend=-1))
+    seen = ids[by_id[first]]
+    place = np.empty(len(p["embedding"]), np.int32)
+    place[seen] = np.arange(len(seen))
+    vectors = p["embedding"][seen]
+    hidden, last_state, trace = states(p, vectors @ p["input"] + p["bias"], place[before], fresh, h0, True)
+    prior, gates, cand = trace
     steps, lanes = before.shape
     h, goal, mask = hidden.reshape(-1, HIDDEN), target.reshape(-1), used.reshape(-1)
     goal = np.where(mask, goal, words)
     n = max(1, int(mask.sum()))
     scale = (mask / n).astype(np.float32)
-    g = {k: np.zeros_like(v) for k, v in p.items()}
+    g, rows = {}, {"embedding": seen}
 
     last = p["class_bias"].shape[0] - 1
     classes = np.where(goal < words, goal // CLASS, last)
-    logs = _log_softmax(h @ p["class"] + p["class_bias"])
-    loss = -(logs[np.arange(len(h)), classes] * scale).sum()
-    d = np.exp(logs)
-    d[np.arange(len(h)), classes] -= 1
-    d *= scale[:, None]
-    g["class"], g["class_bias"] = h.T @ d, d.sum(0)
-    dh = d @ p["class"].T
-    for c, at in _by_class(goal, words):
-        logs = _log_softmax(h[at] @ p["word"][c] + p["word_bias"][c])
-        place = goal[at] % CLASS
-        loss -= (logs[np.arange(len(at)), place] * scale[at]).sum()
-        d = np.exp(logs)
-        d[np.arange(len(at)), place] -= 1
-        d *= scale[at][:, None]
-        g["word"][c], g["word_bias"][c] = h[at].T @ d, d.sum(0)
-        dh[at] += d @ p["word"][c].T
+    d = p["class"].T @ h.T
+    d += p["class_bias"][:, None]
+    loss = -(_log_chosen(d, classes) * scale).sum()
+    d[classes, np.arange(len(h))] -= 1
+    d *= scale
+    g["class"], g["class_bias"] = h.T @ d.T, d.sum(1)
+    dh = d.T @ p["class"].T
+    order, cuts = _by_class(classes, last)
+    own, places, scales = h[order], goal[order] % CLASS, scale[order]
+    back = np.empty_like(own)
+    rows["word"] = rows["word_bias"] = np.array([c for c, _, _ in cuts], np.int64)
+    g["word"] = np.empty((len(cuts), HIDDEN, CLASS), p["word"].dtype)
+    g["word_bias"] = np.empty((len(cuts), CLASS), p["word"].dtype)
+    for i, (c, s, e) in enumerate(cuts):
+        d = p["word"][c].T @ own[s:e].T
+        d += p["word_bias"][c][:, None]
+        loss -= (_log_chosen(d, places[s:e]) * scales[s:e]).sum()
+        d[places[s:e], np.arange(e - s)] -= 1
+        d *= scales[s:e]
+        g["word"][i], g["word_bias"][i] = own[s:e].T @ d.T, d.sum(1)
+        back[s:e] = d.T @ p["word"][c].T
+    dh[order] += back
 
     dh = dh.reshape(steps, lanes, HIDDEN)
-    dx = np.empty((steps, lanes, 3 * HIDDEN), np.float32)
-    carry = np.zeros((lanes, HIDDEN), np.float32)
+    r, z = gates[:, 0], gates[:, 1]
+    to_candidate = (1 - z) * (1 - cand * cand)
+    to_update = (prior - cand) * z * (1 - z)
+    to_reset = prior * r * (1 - r)
+    recurrent, candidate = _gates(p).transpose(0, 2, 1).copy(), p["candidate"].T.copy()
+    carry = np.zeros((lanes, HIDDEN), dh.dtype)
+    dx = np.empty((3, steps, lanes, HIDDEN), dh.dtype)
+    begins = fresh.any(axis=1).tolist()
     for t in range(steps - 1, -1, -1):
-        prior, r, z, cand = trace[t]
-        d = dh[t] + carry
-        dn = d * (1 - z) * (1 - cand * cand)
-        drh = dn @ p["candidate"].T
-        dz = d * (prior - cand) * z * (1 - z)
-        dr = drh * prior * r * (1 - r)
-        both = np.concatenate([dr, dz], axis=1)
-        g["candidate"] += (r * prior).T @ dn
-        g["gates"] += prior.T @ both
-        carry = d * z + drh * r + both @ p["gates"].T
-        carry[fresh[t]] = 0
-        dx[t, :, : 2 * HIDDEN], dx[t, :, 2 * HIDDEN :] = both, dn
-    dx = dx.reshape(-1, 3 * HIDDEN)
-    ids = before.reshape(-1)
-    order = np.argsort(ids, kind="stable")
-    first = np.flatnonzero(np.diff(ids[order], prepend=-1))
-    sums = np.add.reduceat(dx[order], first, axis=0)
-    seen = ids[order][first]
-    g["bias"] = dx.sum(0)
-    g["input"] = p["embedding"][seen].T @ sums
-    g["embedding"][seen] = sums @ p["input"].T
-    return float(loss), g, last_state
+        d = dh[t]
+        d += carry
+        drh = np.multiply(d, to_candidate[t], out=dx[2, t]) @ candidate
+        np.multiply(drh, to_reset[t], out=dx[0, t])
+        np.multiply(d, to_update[t], out=dx[1, t])
+        d *= z[t]
+        drh *= r[t]
+        d += drh
+        d += dx[0, t] @ recurrent[0]
+        d += dx[1, t] @ recurrent[1]
+        carry = d
+        if begins[t]:
+            carry[fresh[t]] = 0
+    flat = prior.reshape(-1, HIDDEN)
+    dr, dz, dn = dx.reshape(3, -1, HIDDEN)
+    g["candidate"] = (r * prior).reshape(-1, HIDDEN).T @ dn
+    g["gates"] = np.concatenate([flat.T @ dr, flat.T @ dz], axis=1)
+    sums = np.add.reduceat(np.concatenate([dr, dz, dn], axis=1)[by_id], first, axis=0)
+    g["bias"] = sums.sum(0)
+    g["input"] = vectors.T @ sums
+    g["embedding"] = sums @ p["input"].T
+    return float(loss), g, rows, last_state
+
+
+def gradients(p: Parameters, before, target, fresh, used, h0, words: int):
+    """(mean loss, gradients, last state) as of ``touched``, with all rows."""
+    loss, g, rows, last_state = touched(p, before, target, fresh, used, h0, words)
+    for k, at in rows.items():
+        whole = np.zeros_like(p[k])
+        whole[at] = g[k]
+        g[k] = whole
+    return loss, g, last_state
 
 
 class Trainer:
-    """Truncated backpropagation through time over lanes of concatenated texts, with Adagrad steps."""
+    """Truncated backpropagation through time over lanes of concatenated texts, with Adagrad steps.
 
-    def __init__(self, p: Parameters, words: int, *, lanes: int = 16, steps: int = 32, rate: float = 0.2):
+    A pass takes as many lanes, up to ``lanes``, as leave it ``updates`` windows: wide ones cost less a word,
+    and few texts still make many steps.
+    """
+
+    def __init__(self, p: Parameters, words: int, *, lanes: int = 256, steps: int = 32, updates: int = 96, rate: float = 0.4):
         self.p = {k: v.copy() for k, v in p.items()}
-        self.words, self.lanes, self.steps, self.rate = words, lanes, steps, np.float32(rate)
+        self.words, self.lanes, self.steps, self.updates, self.rate = words, lanes, steps, updates, np.float32(rate)
         self.squares = {k: np.full_like(v, 1e-4) for k, v in p.items()}
 
+    def _step(self, g: Parameters, rows: dict[str, np.ndarray]) -> None:
+        norm = np.sqrt(sum(float(np.vdot(x, x)) for x in g.values()))
+        clip = np.float32(min(1.0, 1.0 / max(norm, 1e-9)))
+        for k, x in g.items():
+            x *= clip
+            at = rows.get(k, slice(None))
+            squares = self.squares[k][at] + x * x
+            self.squares[k][at] = squares
+            x *= self.rate
+            x /= np.sqrt(squares)
+            self.p[k][at] -= x
+
     def learn(self, texts: list[np.ndarray]) -> float:
         """One pass over the texts; returns the mean loss."""
         goal = np.concatenate(texts)
         begins = np.zeros(len(goal), bool)
         begins[np.cumsum([0, *[len(t) for t in texts[:-1]]])] = True
-        before = np.where(begins, self.words + 1, np.concatenate([[0], goal[:-1]]))
-        per_lane = -(-len(goal) // self.lanes)
-        padded = per_lane * self.lanes
+        before = np.where(begins, np.int32(self.words + 1), np.concatenate([[np.int32(0)], goal[:-1]]))
+        lanes = max(min(16, self.lanes), min(self.lanes, len(goal) // (self.steps * self.updates)))
+        per_lane = -(-len(goal) // lanes)
+        padded = per_lane * lanes
 
         def lay(x: np.ndarray, fill) -> np.ndarray:
-            return np.concatenate([x, np.full(padded - len(x), fill, x.dtype)]).reshape(self.lanes, per_lane).T
+            return np.concatenate([x, np.full(padded - len(x), fill, x.dtype)]).reshape(lanes, per_lane).T
 
         used = lay(np.ones(len(goal), bool), False)
         goal, before, fresh = lay(goal, self.words), lay(before, self.words), lay(begins, False)
-        h, losses = np.zeros((self.lanes, HIDDEN), np.float32), []
+        h, losses = np.zeros((lanes, HIDDEN), np.float32), []
         for at in range(0, per_lane, self.steps):
-            s = slice(at, at + self.steps)
-            loss, g, h = gradients(self.p, before[s], goal[s], fresh[s], used[s], h, self.words)
+            window = [np.ascontiguousarray(x[at : at + self.steps]) for x in (before, goal, fresh, used)]
+            loss, g, rows, h = touched(self.p, *window, h, self.words)
             losses.append(loss)
-            norm = np.sqrt(sum(float((x * x).sum()) for x in g.values()))
-            for k, x in g.items():
-                x = x * np.float32(min(1.0, 1.0 / max(norm, 1e-9)))
-                self.squares[k] += x * x
-                self.p[k] -= self.rate * x / np.sqrt(self.squares[k])
+            self._step(g, rows)
         return float(np.mean(losses))
 
 
-def score(p: Parameters, words: int, texts: list[np.ndarray], *, lanes: int = 256, steps: int = 64) -> np.ndarray:
-    """Natural log-probability of each whole text, the state carried across windows. Texts share lanes, one after another."""
+def score(p: Parameters, words: int, texts: list[np.ndarray], *, lanes: int = 256, steps: int = 32) -> np.ndarray:
+    """Natural log-probability of each whole text, the state carried across windows. Texts share lanes, one after another.
+
+    A window has the lanes that have not ended, so memory goes with the sum of the texts, however long one of them is.
+    """
     total = np.zeros(len(texts))
     table = p["embedding"] @ p["input"] + p["bias"]
     lanes = min(lanes, len(texts))
-    held, load = [[] for _ in range(lanes)], np.zeros(lanes, np.int64)
+    held, load = [[] for _ in range(lanes)], [(0, i) for i in range(lanes)]
     for i in sorted(range(len(texts)), key=lambda i: -len(texts[i])):
-        lane = int(load.argmin())
+        size, lane = heapq.heappop(load)
         held[lane].append(i)
-        load[lane] += len(texts[i])
-    order = np.argsort(-load, kind="stable")  # lanes that end early are dropped from the end
-    held, load = [held[i] for i in order], load[order]
-    longest = int(load[0])
-    goal = np.full((longest, lanes), words, np.int32)
-    owner = np.full((longest, lanes), -1, np.int32)
-    for lane, mine in enumerate(held):
-        goal[: load[lane], lane] = np.concatenate([texts[i] for i in mine])
-        owner[: load[lane], lane] = np.repeat(mine, [len(texts[i]) for i in mine])
+        heapq.heappush(load, (size + len(texts[i]), lane))
+    sizes = np.zeros(lanes, np.int64)
+    for size, lane in load:
+        sizes[lane] = size
+    order = np.argsort(-sizes, kind="stable")  # lanes that end early are dropped from the end
+    sizes = sizes[order]
+    texts_in_order = [i for lane in order for i in held[lane]]
+    lengths = np.array([len(texts[i]) for i in texts_in_order])
+    goal = np.concatenate([texts[i] for i in texts_in_order])
+    owner = np.repeat(np.array(texts_in_order, np.int32), lengths)
+    begins = np.zeros(len(goal), bool)
+    begins[np.cumsum(lengths) - lengths] = True
+    before = np.where(begins, np.int32(words + 1), np.concatenate([[np.int32(0)], goal[:-1]]))
+    starts = np.cumsum(sizes) - sizes
     h = np.zeros((lanes, HIDDEN), np.float32)
-    for at in range(0, longest, steps):
-        active = int((load > at).sum())
-        g, o = goal[at : at + steps, :active], owner[at : at + steps, :active]
-        earlier = np.full(o.shape, -1, np.int32)
-        earlier[1:] = o[:-1]
-        if at:
-            earlier[0] = owner[at - 1, :active]
-        fresh = (o != earlier) | (o < 0)
-        before = np.empty_like(g)
-        before[1:] = g[:-1]
-        before[0] = goal[at - 1, :active] if at else 0
-        before = np.where(fresh, words + 1, before)
-        hidden, h, _ = states(p, table, before, fresh, h[:active], False)
-        flat = o.reshape(-1)
-        logs = log_probabilities(p, hidden.reshape(-1, HIDDEN), g.reshape(-1), words)
-        total += np.bincount(flat[flat >= 0], logs[flat >= 0], minlength=len(texts))
+    for at in range(0, int(sizes[0]), steps):
+        active = int((sizes > at).sum())
+        step = at + np.arange(min(steps, int(sizes[0]) - at))[:, None]
+        there = step < sizes[:active]
+        cells = np.where(there, starts[:active] + step, starts[:active])
+        hidden, h, _ = states(p, table, before[cells], begins[cells], h[:active], False)
+        cells = cells[there]
+        logs = log_probabilities(p, hidden[there], goal[cells], words)
+        total += np.bincount(owner[cells], logs, minlength=len(texts))
     return total

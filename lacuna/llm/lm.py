@@ -32,7 +32,7 @@ WORDS = 4096
 LOCAL_COUNTS = 1 << 17
 TRAIN_SHARE = 1.0
 ROUNDS = 2
-WORKER_TOKENS = 400_000
+WORKER_TOKENS = 2_000_000
 """Tokens that a worker reads, about, in all rounds; there are as many workers as that takes."""
 END = int(stream(99, 1)[0])
 """Stands for the end of a text, beside the hashes of words."""
@@ -166,7 +166,7 @@ def train(docs: DataFrame, vocabulary: Vocabulary, store: Store) -> gru.Paramete
                 for x in batch.column("ids").to_pylist():
                     held.append(np.frombuffer(x, np.int32))
                     size += len(held[-1])
-                    if size > 200_000:
+                    if size > 1_000_000:
                         trainer.learn(held)
                         seen, held, size = seen + size, [], 0
             if held:
