@@ -1,33 +1,38 @@
 """WARC archives: written from pages, and read back whatever is left of them.
 
-Written archives are plain WARC/1.1 text, a record a row, through Spark's text sink, so a task that is repeated
-leaves one file. Each file is one gzip member. Of records with equal payloads the one with the smallest id is a response, the others revisit it
-without a payload of their own. Payloads under ``min_bytes`` are not compared.
+Each record is a gzip member of its own, so a bad byte costs one record. Tasks write hidden files of about
+``FILE_BYTES`` bytes and tell their names in the table ``_manifest``; a second pass over that table makes its
+files visible, so what a lost attempt wrote stays hidden and a repeated pass changes nothing. Of records with equal
+payloads the one with the smallest id is a response, the others revisit it without a payload of their own.
+Payloads under ``min_bytes`` are not compared.
 
 The reader takes plain archives and such with one gzip member or one for each record. A record counts if
 its version line, header, length and, where given, block digest hold. Where they do not, the
-reader goes on to the next version line, or the next gzip member that opens, whichever comes first, and reports the bytes between as a gap. Of a broken
-member the records that come out whole count too, those with a digest that is right or missing.
+reader goes on to the next version line, or the next gzip member that shows one before it ends or breaks, whichever comes
+first, and reports the bytes between as a gap. Of a broken member the records that come out whole count too, those with a digest that is right or missing.
 
 Defined cases: a null payload is empty. A null id is no one's smallest unless all are null, and is written as an empty
 name. Rows with equal ids are separate records; those with the smallest id are all responses. A file comes to its
-task whole, so the writer bounds the records of a file; other archives must fit a task's memory. An empty file has no records.
+task whole, so the writer bounds the bytes of a file, one long record aside; other archives must fit a task's memory. An empty file has no records.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyarrow.fs import FileSystem, FileType
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 END = "\r\n\r\n"
-RECORDS_PER_FILE = 1000
+FILE_BYTES = 32 << 20
 SALTS = 16
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -81,14 +86,61 @@ def write_archives(pages: DataFrame, path: str, *, min_bytes: int = 0, date: str
         F.when(revisit, F.lit(f"WARC-Profile: {REVISIT}")),
         F.concat(F.lit("Content-Length: "), F.octet_length(block).cast("string")),
     )
-    record = F.concat(header, F.lit(END), block).alias("value")
-    writer = _with_roles(pages, min_bytes).select(record).write
-    writer = writer.option("lineSep", END).option("maxRecordsPerFile", RECORDS_PER_FILE)
-    writer.option("compression", "gzip").text(path)
+    record = F.concat(header, F.lit(END), block, F.lit(END)).cast("binary").alias("record")
+    manifest = f"{path}/_manifest"
+    rows = _with_roles(pages, min_bytes).select(record)
+    rows.mapInArrow(_write_files(path), "file string, records long, bytes long").write.parquet(manifest)
+    shown = pages.sparkSession.read.parquet(manifest).select("file").mapInArrow(_show_files(path), "file string")
+    shown.write.format("noop").mode("overwrite").save()
+
+
+def _write_files(folder: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, place = FileSystem.from_uri(folder)
+        system.create_dir(place, recursive=True)
+        out, name, records, size = None, "", 0, 0
+
+        def close() -> pa.RecordBatch:
+            out.close()
+            return pa.RecordBatch.from_pydict({"file": [name], "records": [records], "bytes": [size]})
+
+        for batch in batches:
+            for record in batch.column("record"):
+                member = gzip.compress(record.as_py(), 6, mtime=0)
+                if out and size + len(member) > FILE_BYTES:
+                    yield close()
+                    out = None
+                if not out:
+                    name, records, size = f"{uuid.uuid4().hex}.warc.gz", 0, 0
+                    out = system.open_output_stream(f"{place}/.{name}", compression=None)
+                out.write(member)
+                records, size = records + 1, size + len(member)
+        if out:
+            yield close()
+
+    return run
+
+
+def _show_files(folder: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, place = FileSystem.from_uri(folder)
+        for batch in batches:
+            for name in batch.column("file").to_pylist():
+                hidden, shown = f"{place}/.{name}", f"{place}/{name}"
+                # A repeated attempt finds it done.
+                if system.get_file_info(hidden).type != FileType.NotFound:
+                    system.move(hidden, shown)
+                elif system.get_file_info(shown).type == FileType.NotFound:
+                    raise FileNotFoundError(shown)
+            yield batch
+
+    return run
 
 
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _GZIP = b"\x1f\x8b\x08"
+_LINE = len(b"WARC/1.1\r\n")
+_PIECE = 1 << 14
 
 
 def _record(data: bytes, at: int) -> tuple[dict | None, int, str]:
@@ -135,14 +187,38 @@ def _records(data: bytes, base: int = 0, exact: bool = True) -> Iterator[tuple]:
         at = stop
 
 
+def _pieces(data: bytes, at: int) -> Iterator[tuple[bytes, int]]:
+    """What comes out of the gzip member at ``at``, piece by piece, and its end, which is 0 before the last piece."""
+    opener, view = zlib.decompressobj(31), memoryview(data)
+    while at < len(data) and not opener.eof:
+        piece = opener.decompress(view[at : at + _PIECE])
+        at = min(at + _PIECE, len(data))
+        yield piece, at - len(opener.unused_data) if opener.eof else 0
+
+
 def _member(data: bytes, at: int) -> tuple[bytes | None, int]:
     """The contents of the gzip member at ``at`` and its end; None if it does not open whole."""
-    opener = zlib.decompressobj(31)
+    out, end = [], 0
+    try:
+        for piece, end in _pieces(data, at):
+            out.append(piece)
+    except zlib.error:
+        end = 0
+    return (b"".join(out), end) if end else (None, at)
+
+
+def _opens(data: bytes, at: int) -> bool:
+    """Whether the gzip member at ``at``, broken or not, shows a version line; read no further than that."""
+    tail = b""
     try:
-        out = opener.decompress(data[at:])
+        for piece, _ in _pieces(data, at):
+            tail = tail[1 - _LINE :] + piece
+            if _VERSION.search(tail):
+                return True
     except zlib.error:
-        return None, at
-    return (out, len(data) - len(opener.unused_data)) if opener.eof else (None, at)
+        # The piece that breaks may show one before it does.
+        return bool(_VERSION.search(_part(data, at)[0]))
+    return False
 
 
 def _part(data: bytes, at: int) -> tuple[bytes, int]:
@@ -168,9 +244,9 @@ def _next(data: bytes, at: int, line: int) -> int:
     following = _VERSION.search(data, line)
     end = following.start() if following else len(data)
     stop = data.find(_GZIP, at, end)
-    # A member's signature within other data does not open.
+    # A member's signature within other data does not open, or shows no version line.
     while stop >= 0:
-        if _VERSION.search(_member(data, stop)[0] or b""):
+        if _opens(data, stop):
             return stop
         stop = data.find(_GZIP, stop + 1, end)
     return end
