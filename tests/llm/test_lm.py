@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -139,3 +140,25 @@ def test_scores_are_those_of_texts_alone():
     together = gru.score(p, 100, texts, lanes=3, steps=7)
     alone = [gru.score(p, 100, [t])[0] for t in texts]
     np.testing.assert_allclose(together, alone, rtol=1e-5)
+
+
+def test_a_very_long_text_among_short_ones_takes_memory_once():
+    p = {k: v.astype(np.float32) for k, v in model().items()}
+    rng = np.random.default_rng(4)
+    texts = [rng.integers(0, 101, n).astype(np.int32) for n in [60_000] + [30] * 255]
+    tracemalloc.start()
+    together = gru.score(p, 100, texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20_000_000  # a grid of 256 lanes has 60,000 x 256 cells
+    np.testing.assert_allclose(together[:2], gru.score(p, 100, texts[:2]), rtol=1e-5)
+
+
+def test_few_texts_still_make_many_steps(monkeypatch):
+    """A pass narrows its windows before it makes few of them."""
+    seen = []
+    texts = [np.arange(50, dtype=np.int32)] * 1000
+    trainer = gru.Trainer(gru.initial(np.ones(100), 1.0), 100)
+    monkeypatch.setattr(trainer, "_step", lambda g, rows: seen.append(1))
+    trainer.learn(texts)
+    assert len(seen) >= 96
