@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lacuna.checkpoints import cut_lineage
 from lacuna.functions.intervals import contains_year
 
 
@@ -91,7 +92,8 @@ def overlap_spans(left: DataFrame, right: DataFrame) -> DataFrame:
 
     def folded(df: DataFrame) -> DataFrame:
         ranges = df.groupBy("start_year", "end_year").agg(F.count(F.lit(1)).alias("n"))
-        return ranges.withColumn("id", F.struct("start_year", "end_year", "n"))
+        # Stored, as the join reads each side four times.
+        return cut_lineage(df.sparkSession, ranges).withColumn("id", F.struct("start_year", "end_year", "n"))
 
     a, b = F.col("left_id"), F.col("right_id")
     return overlap_pairs(folded(left), folded(right)).select(
@@ -101,8 +103,9 @@ def overlap_spans(left: DataFrame, right: DataFrame) -> DataFrame:
     )
 
 
-def overlap_counts(left: DataFrame, right: DataFrame) -> DataFrame:
-    """For each left range, how many right ranges overlap it; no pairs are made.
+def overlap_totals(left: DataFrame, right: DataFrame, value: str | None = None) -> DataFrame:
+    """``left`` with n_overlaps, how many right ranges overlap each, and with ``value`` the sum of that whole-number column
+    over them as ``total``; no pairs are made.
 
     Right ranges that overlap are those that start by the end of the left one,
     less those that ended before it begins. Both are running totals over the
@@ -110,35 +113,44 @@ def overlap_counts(left: DataFrame, right: DataFrame) -> DataFrame:
     there are 2^22 at most for whole-number years. The rest are equi-joins.
     """
     zero, one = F.lit(0), F.lit(1)
+    measures = {"n_overlaps": one} | ({"total": F.coalesce(F.col(value), zero)} if value else {})
     ranges = left.where("start_year <= end_year").select("start_year", "end_year").distinct()
     spans = right.where("start_year <= end_year")
+    start, end = F.col("start_year").cast("long"), F.col("end_year").cast("long")
+    nothing = [zero.cast("long").alias(f"{side}_{m}") for m in measures for side in "se"]
+
+    def at(year: Column, side: str) -> list[Column]:
+        return [year.alias("year")] + [
+            (v if s == side else zero).cast("long").alias(f"{s}_{m}") for m, v in measures.items() for s in "se"
+        ]
+
+    sums = [f"{side}_{m}" for m in measures for side in "se"]
     years = (
-        spans.select(F.col("start_year").alias("year"), one.alias("s"), zero.alias("e"))
-        .unionByName(spans.select((F.col("end_year") + 1).alias("year"), zero.alias("s"), one.alias("e")))
-        .unionByName(ranges.select(F.col("end_year").alias("year"), zero.alias("s"), zero.alias("e")))
-        .unionByName(ranges.select(F.col("start_year").alias("year"), zero.alias("s"), zero.alias("e")))
+        spans.select(*at(start, "s"))
+        .unionByName(spans.select(*at(end + 1, "e")))
+        .unionByName(ranges.select(end.alias("year"), *nothing))
+        .unionByName(ranges.select(start.alias("year"), *nothing))
         .groupBy("year")
-        .agg(F.sum("s").alias("s"), F.sum("e").alias("e"))
+        .agg(*[F.sum(c).alias(c) for c in sums])
     )
     years = years.withColumn("block", F.floor(F.col("year") / _BLOCK_YEARS))
     earlier = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = years.groupBy("block").agg(F.sum("s").alias("s"), F.sum("e").alias("e")).select(
-        "block",
-        F.coalesce(F.sum("s").over(earlier), zero).alias("started_before"),
-        F.coalesce(F.sum("e").over(earlier), zero).alias("ended_before"),
+    blocks = years.groupBy("block").agg(*[F.sum(c).alias(c) for c in sums]).select(
+        "block", *[F.coalesce(F.sum(c).over(earlier), zero).alias(f"before_{c}") for c in sums]
     )
     within = Window.partitionBy("block").orderBy("year").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    totals = years.select(
-        "year", "block", F.sum("s").over(within).alias("s"), F.sum("e").over(within).alias("e")
-    ).join(blocks, "block").select(
-        "year", (F.col("started_before") + F.col("s")).alias("started"), (F.col("ended_before") + F.col("e")).alias("ended")
-    )
-    started = totals.select(F.col("year").alias("end_year"), "started")
-    ended = totals.select(F.col("year").alias("start_year"), "ended")
+    totals = years.select("year", "block", *[F.sum(c).over(within).alias(c) for c in sums]).join(blocks, "block")
+    started = totals.select(F.col("year").alias("_end"), *[(F.col(f"before_s_{m}") + F.col(f"s_{m}")).alias(f"_s_{m}") for m in measures])
+    ended = totals.select(F.col("year").alias("_start"), *[(F.col(f"before_e_{m}") + F.col(f"e_{m}")).alias(f"_e_{m}") for m in measures])
     return (
         left.where("start_year <= end_year")
-        .join(started, "end_year")
-        .join(ended, "start_year")
-        .withColumn("n_overlaps", (F.col("started") - F.col("ended")).cast("long"))
-        .drop("started", "ended")
+        .withColumns({"_start": start, "_end": end})
+        .join(started, "_end")
+        .join(ended, "_start")
+        .select(*left.columns, *[(F.col(f"_s_{m}") - F.col(f"_e_{m}")).cast("long").alias(m) for m in measures])
     )
+
+
+def overlap_counts(left: DataFrame, right: DataFrame) -> DataFrame:
+    """For each left range, how many right ranges overlap it."""
+    return overlap_totals(left, right)

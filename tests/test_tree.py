@@ -190,3 +190,17 @@ def test_nearest_places_against_brute_force(spark, k, cube_places):
 def test_nearest_with_fewer_places_than_asked(spark):
     two = spark.createDataFrame([("a", 0.0, 0.0), ("b", 1.0, 1.0), ("z", None, None)], "id string, lat double, lon double")
     assert {(r.id, r.neighbour_id) for r in geo.nearest_places(two, two, 5).collect()} == {("a", "b"), ("b", "a")}
+
+
+def test_overlap_totals_make_no_pairs(spark):
+    edge = 2**31 - 1
+    spans = [(1, 0, edge), (2, -edge - 1, edge), (3, 5, 5), (4, 9, 3), (5, -7, -6), (6, edge, edge), (7, 2000, 5000)]
+    df = spark.createDataFrame(spans, "id long, start_year int, end_year int")
+    found = timespans.overlap_totals(df, df, "id")
+    brute = {
+        (i, sum(s <= f and r <= e for _, r, f in spans if r <= f), sum(j for j, r, f in spans if r <= f and s <= f and r <= e))
+        for i, s, e in spans if s <= e
+    }
+    assert {(r.id, r.n_overlaps, r.total) for r in found.collect()} == brute
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan
