@@ -8,6 +8,8 @@ section that occurs twice keeps its first occurrence.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -54,8 +56,12 @@ def _entry(item: Column) -> Column:
     return _let(F.transform(F.split(after, "\n"), _trim), fields)
 
 
+def _title(chunk: Column) -> Column:
+    return F.substring_index(chunk, "]", 1)
+
+
 def _section(chunk: Column) -> Column:
-    title = F.substring_index(chunk, "]", 1)
+    title = _title(chunk)
     body = F.substr(chunk, F.length(title) + 2)
     items = F.filter(F.split(body, r"\n(?=\S)"), lambda i: i.contains("="))
     return F.struct(
@@ -64,14 +70,17 @@ def _section(chunk: Column) -> Column:
     )
 
 
-def parse_ini(text: Column) -> Column:
-    """MAP<section, MAP<key, STRUCT<inline STRING, lines ARRAY<STRING>>>>."""
+def parse_ini(text: Column, sections: Sequence[str] | None = None) -> Column:
+    """MAP<section, MAP<key, STRUCT<inline STRING, lines ARRAY<STRING>>>>; with ``sections`` no others are taken apart."""
     clean = F.regexp_replace(text, "\r\n?", "\n")
     clean = F.regexp_replace(clean, r"(?m)^[#;].*$", "")
     # What stands before the first section belongs to none.
     chunks = F.split(F.regexp_replace(F.concat(F.lit("\n"), clean), r"^(?s).*?(?:\n\[|$)", ""), r"\n\[")
-    sections = F.filter(chunks, lambda c: c != "")
-    return _first_wins_map(F.transform(sections, _section))
+
+    def wanted(chunk: Column) -> Column:
+        return chunk != "" if sections is None else (chunk != "") & _trim(_title(chunk)).isin(list(sections))
+
+    return _first_wins_map(F.transform(F.filter(chunks, wanted), _section))
 
 
 def ini_entry(ini: Column, section: str, key: str) -> Column:

@@ -7,6 +7,7 @@ that the queries go through the same parser. Regions have no record file.
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +23,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_FEW, _MANY = 1_000, 50_000
+"""Records of a task: enough of them to begin with, and the most."""
+
+
+def spread(rows: DataFrame, key: str, n_rows: int) -> DataFrame:
+    """Rows dealt by key to tasks, before their texts are made and parsed.
+
+    A row group is read by one task however many rows it has, and joins of narrow rows are merged to few tasks by their
+    bytes; but a record's text costs far more than its bytes.
+    """
+    tasks = max(16 * rows.sparkSession.sparkContext.defaultParallelism, math.ceil(n_rows / _MANY))
+    return rows.repartition(max(1, min(tasks, math.ceil(n_rows / _FEW))), key)
+
+
 def _literal(text: str) -> str:
     escaped = text.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n").replace("\t", "\\t")
     return f"'{escaped}'"
@@ -128,7 +143,7 @@ def customer_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fill_in("file:/data/tree/r<<r_regionkey>>/n<<n_nationkey>>/c<<c_custkey>>/md.ini")
     c = table(spark, sf_dir, "customer")
     placed = c.join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
-    return placed.selectExpr(f"{path} AS path", text)
+    return spread(placed, "c_custkey", c.count()).selectExpr(f"{path} AS path", text)
 
 
 def nation_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,7 +172,7 @@ def order_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(
         n, F.col("c_nationkey") == F.col("n_nationkey")
     )
-    return placed.selectExpr(f"{path} AS path", f"{text} AS text")
+    return spread(placed, "o_orderkey", o.count()).selectExpr(f"{path} AS path", f"{text} AS text")
 
 
 def supplier_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,7 +185,8 @@ def supplier_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"timespan = <<{_span('s_suppkey')}>>\n"
     )
     path = fill_in("file:/data/tree/s<<s_suppkey>>/md.ini")
-    return table(spark, sf_dir, "supplier").selectExpr(f"{path} AS path", f"{text} AS text")
+    s = table(spark, sf_dir, "supplier")
+    return spread(s, "s_suppkey", s.count()).selectExpr(f"{path} AS path", f"{text} AS text")
 
 
 def customers(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:

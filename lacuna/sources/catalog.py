@@ -156,18 +156,26 @@ RECORD_COLUMNS: dict[str, Callable[[Column], Column]] = {
 }
 
 
+def _section_of(column: str) -> str:
+    """Columns are named after their section; the others stand in the core."""
+    sections = ("altnames", "identifier", "sources", "classification", "triggers", "endangerment", "iso_retirement", "hh_ethnologue_comment")
+    return column if column in sections else "core"
+
+
 def parse_records(records: DataFrame, columns: Sequence[str] = ()) -> DataFrame:
     """(path, text) to typed records, with all columns or only the named ones.
 
-    No shuffle: each record is parsed where it is read. The columns come out of a
+    No shuffle: each record is parsed where it is read, and of its text the sections
+    of the wanted columns only. The columns come out of a
     generator, so filters on them act on finished values; through a plain
     projection Spark would push them down and parse the text once more for
     each filter.
     """
     lineage = lineage_of_path(F.col("path")).alias("lineage")
-    parsed = records.select(lineage, I.parse_ini(F.col("text")).alias("ini"))
-    ini = F.col("ini")
     wanted = columns or list(RECORD_COLUMNS)
+    sections = sorted({_section_of(c) for c in wanted})
+    parsed = records.select(lineage, I.parse_ini(F.col("text"), sections).alias("ini"))
+    ini = F.col("ini")
     typed = F.struct(*[RECORD_COLUMNS[c](ini).alias(c) for c in wanted])
     return with_lineage(parsed.select("lineage", F.inline_outer(F.array(typed))))
 

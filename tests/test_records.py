@@ -5,7 +5,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from lacuna.functions import intervals, refs
+from lacuna.functions import ini, intervals, refs
 from lacuna.functions import status as st
 from lacuna.operators import records as rec
 from lacuna.operators import status as status_ops
@@ -304,3 +304,27 @@ def test_index_pages_are_read(spark, tmp_path):
     )
     found = index_pages.index_problems(index_pages.read_index(spark, str(tmp_path / "page.md")), records).collect()
     assert {(r.languoid_id, r.problem) for r in found} == {("abcd1234", "name"), ("defg1234", "missing")}
+
+
+def test_only_the_sections_of_the_columns_are_taken_apart(spark):
+    text = FULL + "\n[core]\nname = Second\n"
+    df = spark.createDataFrame([("x/tree/a/md.ini", text)], "path string, text string")
+    whole = catalog.parse_records(df).first()
+    for column in catalog.RECORD_COLUMNS:
+        assert catalog.parse_records(df, (column,)).first()[column] == whole[column]
+    sections = df.select(ini.parse_ini(F.col("text"), ["core"]).alias("ini")).first()["ini"]
+    assert list(sections) == ["core"] and sections["core"]["name"]["inline"] == "Ünlü (West)"
+
+
+def test_texts_of_one_row_group_are_spread_over_tasks(spark, tmp_path):
+    from lacuna.plans import inputs
+
+    rows = spark.range(5000).selectExpr(
+        "id AS c_custkey", "concat('C', id) AS c_name", "int(id % 25) AS c_nationkey", "double(id) AS c_acctbal", "'BUILDING' AS c_mktsegment"
+    )
+    rows.coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    for name in ("nation", "region"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    texts = inputs.customer_texts(spark, str(tmp_path))
+    sizes = texts.groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in sizes) == 5000 and len(sizes) > 1
