@@ -39,15 +39,51 @@ _CHANGE_ROW = -1
 
 
 class _Rows:
-    """A batch of rows: known cells, and coefficients for the shared vectors elsewhere."""
+    """A batch of rows: known cells, and coefficients for the shared vectors elsewhere.
 
-    def __init__(self, pdf: pd.DataFrame):
+    Where an eighth of the cells or more is known, Z is multiplied as a dense matrix, some rows at a time.
+    """
+
+    def __init__(self, pdf: pd.DataFrame, n_features: int):
         counts = [len(i) for i in pdf["i"]]
         self.row = np.repeat(np.arange(len(pdf)), counts)
         self.col = np.concatenate(pdf["i"].to_numpy()) if sum(counts) else np.zeros(0, dtype=int)
         self.val = np.concatenate(pdf["v"].to_numpy()) if sum(counts) else np.zeros(0)
         self.n = len(pdf)
         self.by_col = np.argsort(self.col, kind="stable")
+        self.dense: list[tuple[slice, np.ndarray, np.ndarray]] = []
+        if 8 * len(self.val) >= self.n * n_features:
+            ends, step = np.cumsum([0, *counts]), max(1, _DENSE_CELLS // n_features)
+            for s in range(0, self.n, step):
+                part = slice(s, min(self.n, s + step))
+                cells = slice(ends[part.start], ends[part.stop])
+                known, values = np.zeros((part.stop - s, n_features), bool), np.zeros((part.stop - s, n_features))
+                known[self.row[cells] - s, self.col[cells]] = True
+                values[self.row[cells] - s, self.col[cells]] = self.val[cells]
+                self.dense.append((part, known, values))
+
+    def _blocks(self, a: np.ndarray, vectors: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
+        for part, known, values in self.dense:
+            z = a[part] @ vectors.T
+            np.copyto(z, values, where=known)
+            yield part, z
+
+    def moved(self, a: np.ndarray, v: np.ndarray, b: np.ndarray, w: np.ndarray) -> tuple[float, float]:
+        """The squared change from B W' to A V' off the known cells, and the squared size of Z before."""
+        size = float((self.val**2).sum())
+        if self.dense:
+            change = 0.0
+            for part, known, _ in self.dense:
+                new, old = a[part] @ v.T, b[part] @ w.T
+                change += float(((new - old) ** 2).sum(where=~known))
+                size += float((old**2).sum(where=~known))
+            return change, size
+        # |A V' - B W'|^2 of the whole rows, less what lies on known cells, which do not move.
+        known_new, known_old = self.at(a, v, self.row, self.col), self.at(b, w, self.row, self.col)
+        old = float((b * (b @ (w.T @ w))).sum())
+        whole = float((a * (a @ (v.T @ v))).sum()) + old - 2 * float((a * (b @ (w.T @ v))).sum())
+        change = max(0.0, whole - float(((known_new - known_old) ** 2).sum()))
+        return change, size + max(0.0, old - float((known_old**2).sum()))
 
     def at(self, a: np.ndarray, vectors: np.ndarray, row: np.ndarray, col: np.ndarray) -> np.ndarray:
         """Entries of A V'."""
@@ -59,6 +95,8 @@ class _Rows:
 
     def times(self, a: np.ndarray, vectors: np.ndarray, basis: np.ndarray) -> np.ndarray:
         """Z times a basis."""
+        if self.dense:
+            return np.concatenate([z @ basis for _, z in self._blocks(a, vectors)])
         rest = self.val - self.at(a, vectors, self.row, self.col)
         out = a @ (vectors.T @ basis)
         for s in range(0, len(rest), _AT_ONCE):
@@ -68,6 +106,10 @@ class _Rows:
 
     def transposed(self, a: np.ndarray, vectors: np.ndarray, b: np.ndarray, out: np.ndarray) -> None:
         """Add Z' B to ``out``."""
+        if self.dense:
+            for part, z in self._blocks(a, vectors):
+                out += z.T @ b[part]
+            return
         rest = self.val - self.at(a, vectors, self.row, self.col)
         out += vectors @ (a.T @ b)
         for s in range(0, len(rest), _AT_ONCE):
@@ -76,6 +118,7 @@ class _Rows:
 
 
 _AT_ONCE = 50_000
+_DENSE_CELLS = 1_000_000
 
 
 def _add_runs(out: np.ndarray, at: np.ndarray, values: np.ndarray) -> None:
@@ -105,15 +148,11 @@ def _sums(start, steps: list, n_features: int, basis):
         for pdf in batches:
             if not len(pdf):
                 continue
-            rows = _Rows(pdf)
+            rows = _Rows(pdf, n_features)
             (a, v), (b, w) = _advance(pdf, rows, start.value, steps)
             rows.transposed(a, v, rows.times(a, v, q), total)
-            # |A V' - B W'|^2 of the whole rows, less what lies on known cells, which do not move.
-            known_new, known_old = rows.at(a, v, rows.row, rows.col), rows.at(b, w, rows.row, rows.col)
-            old = float((b * (b @ (w.T @ w))).sum())
-            whole = float((a * (a @ (v.T @ v))).sum()) + old - 2 * float((a * (b @ (w.T @ v))).sum())
-            change += max(0.0, whole - float(((known_new - known_old) ** 2).sum()))
-            size += float((rows.val**2).sum()) + max(0.0, old - float((known_old**2).sum()))
+            moved, whole = rows.moved(a, v, b, w)
+            change, size = change + moved, size + whole
         yield pd.DataFrame(
             {"row": [*range(n_features), _CHANGE_ROW], "sums": [*total.tolist(), [change, size] + [0.0] * (q.shape[1] - 2)]}
         )
@@ -121,17 +160,17 @@ def _sums(start, steps: list, n_features: int, basis):
     return run
 
 
-def _states(start, steps: list):
+def _states(start, steps: list, n_features: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
-                (a, _), _ = _advance(pdf, _Rows(pdf), start.value, steps)
+                (a, _), _ = _advance(pdf, _Rows(pdf, n_features), start.value, steps)
                 yield pdf.assign(a=list(a))
 
     return run
 
 
-def _answers(start, steps: list):
+def _answers(start, steps: list, n_features: int):
     """Values of S_lambda(Z) at the wanted cells."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -139,7 +178,7 @@ def _answers(start, steps: list):
             counts = [len(w) for w in pdf["wanted"]]
             if not sum(counts):
                 continue
-            rows = _Rows(pdf)
+            rows = _Rows(pdf, n_features)
             (a, v), _ = _advance(pdf, rows, start.value, steps)
             row = np.repeat(np.arange(len(pdf)), counts)
             col = np.concatenate(pdf["wanted"].to_numpy()).astype(int)
@@ -194,7 +233,8 @@ class SoftImputeImputer:
             "entity_id", F.col("known.i").alias("i"), F.col("known.v").alias("v"),
             F.col("need").alias("wanted"), F.array().cast("array<double>").alias("a"),
         )
-        state = cut_lineage(spark, rows)
+        # Rows take more work than their bytes tell: a named number of partitions is not merged for being small.
+        state = cut_lineage(spark, rows.repartition(spark.sparkContext.defaultParallelism, "entity_id"))
         state_schema = f"entity_id {id_type}, i array<int>, v array<double>, wanted array<int>, a array<double>"
         random = np.random.default_rng(0)
         share = spark.sparkContext.broadcast
@@ -222,11 +262,11 @@ class SoftImputeImputer:
             basis = np.linalg.qr(np.hstack([sums, more]))[0]
             if iteration % self.checkpoint_every == 0:
                 last = steps[-1].value[0]
-                state = cut_lineage(spark, state.mapInPandas(_states(start, steps), state_schema))
+                state = cut_lineage(spark, state.mapInPandas(_states(start, steps, n), state_schema))
                 start, steps = share(last), []
         else:
             raise RuntimeError(f"not converged after {self.most_rounds} rounds")
-        answers = state.mapInPandas(_answers(start, steps), f"entity_id {id_type}, i int, value double")
+        answers = state.mapInPandas(_answers(start, steps, n), f"entity_id {id_type}, i int, value double")
         return answers.join(index, "i").select(*KEY, "value")
 
     def impute(self, cells: DataFrame, targets: DataFrame) -> DataFrame:

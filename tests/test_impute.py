@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -263,3 +264,23 @@ def test_unreadable_replies_stay_visible(spark):
 def test_reply_parser(spark):
     r = spark.createDataFrame([('x {"value": 1} y',)], "r string").select(parse_reply(F.col("r")).alias("a")).first().a
     assert (r.value, r.confidence) == (1, None)
+
+
+def test_dense_blocks_equal_sparse_sums(monkeypatch):
+    from lacuna.impute import softimpute
+
+    rng = np.random.default_rng(4)
+    known = rng.random((30, 9)) < 0.8
+    known[3] = False
+    x = rng.standard_normal(known.shape)
+    batch = pd.DataFrame({"i": [np.flatnonzero(k) for k in known], "v": [r[k] for r, k in zip(x, known, strict=True)]})
+    a, v, b, w, q = (rng.standard_normal((n, r)) for n, r in ((30, 2), (9, 2), (30, 3), (9, 3), (9, 4)))
+    monkeypatch.setattr(softimpute, "_DENSE_CELLS", 40)
+    dense, sparse = softimpute._Rows(batch, 9), softimpute._Rows(batch, 10_000)
+    assert len(dense.dense) == 8 and not sparse.dense
+    assert np.allclose(dense.times(a, v, q), sparse.times(a, v, q))
+    sums = np.zeros((2, 9, 4))
+    for rows, out in zip((dense, sparse), sums, strict=True):
+        rows.transposed(a, v, rows.times(a, v, q), out)
+    assert np.allclose(*sums)
+    assert np.allclose(dense.moved(a, v, b, w), sparse.moved(a, v, b, w))
