@@ -41,7 +41,8 @@ from lacuna.impute.common import (
 )
 from lacuna.kb.knowledge_base import KEY
 
-_TILE_CELLS = 4_000_000
+_TILE_CELLS = 1_000_000
+_MOST_TASKS = 100_000
 
 
 def _pack(n_features: int):
@@ -79,7 +80,7 @@ def _first(distance: np.ndarray, count: int) -> np.ndarray:
         edge = np.partition(distance, count - 1, axis=1)[:, count - 1 : count]
         below, level = distance < edge, distance == edge
         room = count - below.sum(axis=1, keepdims=True)
-        chosen = below | (level & (np.cumsum(level, axis=1) <= room))
+        chosen = below | (level & (np.cumsum(level, axis=1, dtype=np.int32) <= room))
         columns = np.nonzero(chosen)[1].reshape(len(distance), count)
     else:
         columns = np.broadcast_to(np.arange(distance.shape[1]), distance.shape)
@@ -240,7 +241,8 @@ class KNNImputer:
             F.lit(None).cast("array<string>").alias("q_ids"), F.col("ids").alias("c_ids"), "data",
             F.lit(None).cast("binary").alias("need"),
         )
-        tasks = min(blocks * blocks, 16 * spark.sparkContext.defaultParallelism)
+        # A task has about one pair of blocks, however many there are: its time and memory do not grow with the input.
+        tasks = min(blocks * blocks, _MOST_TASKS)
         found = (
             query_side.unionByName(block_side)
             .repartition(max(1, tasks), "qb", "cb")

@@ -284,3 +284,14 @@ def test_dense_blocks_equal_sparse_sums(monkeypatch):
         rows.transposed(a, v, rows.times(a, v, q), out)
     assert np.allclose(*sums)
     assert np.allclose(dense.moved(a, v, b, w), sparse.moved(a, v, b, w))
+
+
+def test_knn_tasks_hold_one_pair_of_blocks_on_average(spark):
+    n, blocks = 320, 20
+    cells = spark.range(n).selectExpr("id AS entity_id", "explode(sequence(0, 3)) AS f").selectExpr(
+        "entity_id", "string(f) AS feature", "if(f = entity_id % 4, null, double(entity_id * (f + 1)))  AS value"
+    )
+    imputer = KNNImputer(k=2, block_bytes=n // blocks * 8 * 4, min_block_rows=1)
+    ranked, _ = imputer.neighbours(cells, cells.where("value IS NULL"))
+    plan = ranked._jdf.queryExecution().optimizedPlan().toString()
+    assert f"{blocks * blocks}" in [x.rsplit(", ", 1)[-1].strip() for x in plan.splitlines() if "RepartitionByExpression" in x]
