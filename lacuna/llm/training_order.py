@@ -5,7 +5,7 @@ up with the padding id. Sequences are numbered through, by one count for each ta
 permutation over the smallest even number of bits that holds them, walked on until the result is a number of a
 sequence, gives each its slot: a bijection that needs no table and no sort by a random number.
 
-Slots are dealt by range of shards; a task writes each of its shards to a file of its own and renames it when
+Slots are dealt by their shards; a task writes each of its shards to a file of its own and renames it when
 it is whole, so a task that runs again, or twice, leaves the same file. Slot s begins at byte ``s % slots * stride`` of shard ``s // slots``,
 so reading can go on from any slot.
 
@@ -116,10 +116,9 @@ def sequences(docs: DataFrame, tokenizer: str, layout: Layout, *, end_id: int =
     return docs.select(F.spark_partition_id().alias("task"), "doc_id", "text").mapInArrow(run, schema)
 
 
-def _slots(made: DataFrame, key: int) -> DataFrame:
-    """``made`` with sequence_id and slot."""
+def _slots(made: DataFrame, counts: list[tuple[int, int]], key: int) -> DataFrame:
+    """``made`` with sequence_id and slot, by the sequences of each task."""
     spark = made.sparkSession
-    counts = sorted(map(tuple, made.groupBy("task").count().collect()))  # a number for each task
     total, bases = 0, {}
     for task, n in counts:
         bases[task] = total
@@ -147,7 +146,8 @@ def write_shards(docs: DataFrame, tokenizer: str, store: Store, *, key: int = 20
     small = Tokenizer.from_file(tokenizer).get_vocab_size() <= 1 << 16
     layout = Layout(seq_len, slots, 2 if small else 4)
     made = store.keep(sequences(docs, tokenizer, layout), "sequences")
-    placed = _slots(made, key)
+    counts = sorted(map(tuple, made.groupBy("task").count().collect()))  # a number for each task
+    placed = _slots(made.select("task", "number", "packed"), counts, key)
     folder = store.path("shards")
     kind = f"<u{layout.id_bytes}"
 
@@ -174,11 +174,11 @@ def write_shards(docs: DataFrame, tokenizer: str, store: Store, *, key: int = 20
         if out:
             yield close()
 
-    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = placed.select("slot", layout.place(F.col("slot"))[0].alias("shard"), "packed").repartitionByRange(parts, "shard")
+    dealt = placed.select("slot", layout.place(F.col("slot"))[0].alias("shard"), "packed").repartition("shard")
     ordered = dealt.sortWithinPartitions("slot").withColumn("attempt", F.expr("uuid()")).select("shard", "attempt", "packed")
     store.keep(ordered.mapInArrow(write, "shard long, sequences long"), "manifest")
-    return placed.select("slot", "sequence_id", "n_tokens", "doc_ids"), layout, folder
+    order = _slots(made.select("task", "number", "n_tokens", "doc_ids"), counts, key)
+    return order.select("slot", "sequence_id", "n_tokens", "doc_ids"), layout, folder
 
 
 def read_shards(spark: SparkSession, folder: str, layout: Layout, from_slot: int = 0) -> DataFrame:

@@ -70,3 +70,11 @@ def test_documents(spark):
     check(spark, list(docs.itertuples(index=False, name=None)), seq_len=2048, slots=8)
     rows = QUERIES["op5_training_order"].run(spark, "/root/testdata/sf0.001").collect()
     assert {d for r in rows for d in r.doc_ids} == set(docs["doc_id"])
+
+
+def test_the_table_of_slots_is_read_without_ids(spark):
+    docs = spark.createDataFrame([(i, "some words " * i) for i in range(20)], "doc_id long, text string")
+    order, _, _ = training_order.write_shards(docs, public_tokenizers.path("word_bpe_49k.json"), Store(spark, "order-test"), seq_len=16, slots=4)
+    assert "packed" not in order._jdf.queryExecution().executedPlan().toString()
+    slots = sorted(r.slot for r in order.collect())
+    assert slots == list(range(len(slots))) and len(slots) > 4
