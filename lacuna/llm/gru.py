@@ -53,13 +53,23 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _log_chosen(x: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    """The log softmax at one place of each column; leaves the softmax in ``x``."""
-    x -= x.max(axis=0)
+SAFE = 60.0
+"""Logits up to this size, either sign, have exponentials whose sums a float holds."""
+
+
+def _bounded(weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Whether no hidden state, all of which lie in -1 to 1, makes the greatest logit leave -SAFE to SAFE; by class."""
+    sizes = np.abs(weights).sum(axis=-2)
+    return ((sizes + bias).max(axis=-1) < SAFE) & ((bias - sizes).max(axis=-1) > -SAFE)
+
+
+def _exponentials(x: np.ndarray, chosen: np.ndarray, bounded: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(log softmax at one place of each column, sums); leaves the exponentials, whose sums these are, in ``x``."""
+    if not bounded:
+        x -= x.max(axis=0)
     own = x[chosen, np.arange(x.shape[1])]
     sums = np.exp(x, out=x).sum(axis=0)
-    x /= sums
-    return own - np.log(sums)
+    return own - np.log(sums), sums
 
 
 def _gates(p: Parameters) -> np.ndarray:
@@ -67,16 +77,21 @@ def _gates(p: Parameters) -> np.ndarray:
     return np.ascontiguousarray(p["gates"].reshape(HIDDEN, 2, HIDDEN).transpose(1, 0, 2))
 
 
-def states(p: Parameters, table: np.ndarray, before: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: bool):
+def _thirds(table: np.ndarray) -> list[np.ndarray]:
+    """The columns for the reset gate, the update gate and the candidate."""
+    return [np.ascontiguousarray(x) for x in np.split(table, 3, axis=1)]
+
+
+def states(p: Parameters, table: np.ndarray | list[np.ndarray], before: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: bool):
     """Hidden states over a window. before: (steps, lanes) rows of ``table``; fresh: where a text begins; h: the state carried in.
 
-    ``table`` is ``embedding @ input + bias``. With ``keep`` also what the way back needs: the state before
+    ``table`` is ``embedding @ input + bias``, or the ``_thirds`` of it. With ``keep`` also what the way back needs: the state before
     each step, both gates and the candidate.
     """
     steps, lanes = before.shape
     out = np.empty((steps, lanes, HIDDEN), np.float32)
     begins = fresh.any(axis=1).tolist()
-    reset, update, inputs = (np.ascontiguousarray(x).take(before, axis=0) for x in np.split(table, 3, axis=1))
+    reset, update, inputs = (x.take(before, axis=0) for x in (_thirds(table) if isinstance(table, np.ndarray) else table))
     recurrent, candidate = _gates(p), p["candidate"]
     prior = np.empty_like(out) if keep else None
     gates = np.empty((steps if keep else 1, 2, lanes, HIDDEN), np.float32)
@@ -117,14 +132,14 @@ def log_probabilities(p: Parameters, h: np.ndarray, target: np.ndarray, words: i
     classes = np.where(target < words, target // CLASS, last)
     logits = p["class"].T @ h.T
     logits += p["class_bias"][:, None]
-    out = _log_chosen(logits, classes).astype(np.float64)
+    out = _exponentials(logits, classes, _bounded(p["class"], p["class_bias"]))[0].astype(np.float64)
     order, cuts = _by_class(classes, last)
     own, place = h[order], target[order] % CLASS
-    found = np.empty(len(order))
+    found, bounded = np.empty(len(order)), _bounded(p["word"], p["word_bias"])
     for c, s, e in cuts:
         logits = p["word"][c].T @ own[s:e].T
         logits += p["word_bias"][c][:, None]
-        found[s:e] = _log_chosen(logits, place[s:e])
+        found[s:e] = _exponentials(logits, place[s:e], bounded[c])[0]
     out[order] += found
     return out
 
@@ -141,7 +156,7 @@ def touched(p: Parameters, before, target, fresh, used, h0, words: int):
     place = np.empty(len(p["embedding"]), np.int32)
     place[seen] = np.arange(len(seen))
     vectors = p["embedding"][seen]
-    hidden, last_state, trace = states(p, vectors @ p["input"] + p["bias"], place[before], fresh, h0, True)
+    hidden, last_state, trace = states(p, _thirds(vectors @ p["input"] + p["bias"]), place[before], fresh, h0, True)
     prior, gates, cand = trace
     steps, lanes = before.shape
     h, goal, mask = hidden.reshape(-1, HIDDEN), target.reshape(-1), used.reshape(-1)
@@ -154,9 +169,10 @@ def touched(p: Parameters, before, target, fresh, used, h0, words: int):
     classes = np.where(goal < words, goal // CLASS, last)
     d = p["class"].T @ h.T
     d += p["class_bias"][:, None]
-    loss = -(_log_chosen(d, classes) * scale).sum()
-    d[classes, np.arange(len(h))] -= 1
-    d *= scale
+    logs, sums = _exponentials(d, classes, _bounded(p["class"], p["class_bias"]))
+    loss = -(logs * scale).sum()
+    d *= scale / sums
+    d[classes, np.arange(len(h))] -= scale
     g["class"], g["class_bias"] = h.T @ d.T, d.sum(1)
     dh = d.T @ p["class"].T
     order, cuts = _by_class(classes, last)
@@ -165,12 +181,14 @@ def touched(p: Parameters, before, target, fresh, used, h0, words: int):
     rows["word"] = rows["word_bias"] = np.array([c for c, _, _ in cuts], np.int64)
     g["word"] = np.empty((len(cuts), HIDDEN, CLASS), p["word"].dtype)
     g["word_bias"] = np.empty((len(cuts), CLASS), p["word"].dtype)
+    bounded = _bounded(p["word"], p["word_bias"])
     for i, (c, s, e) in enumerate(cuts):
         d = p["word"][c].T @ own[s:e].T
         d += p["word_bias"][c][:, None]
-        loss -= (_log_chosen(d, places[s:e]) * scales[s:e]).sum()
-        d[places[s:e], np.arange(e - s)] -= 1
-        d *= scales[s:e]
+        logs, sums = _exponentials(d, places[s:e], bounded[c])
+        loss -= (logs * scales[s:e]).sum()
+        d *= scales[s:e] / sums
+        d[places[s:e], np.arange(e - s)] -= scales[s:e]
         g["word"][i], g["word_bias"][i] = own[s:e].T @ d.T, d.sum(1)
         back[s:e] = d.T @ p["word"][c].T
     dh[order] += back
@@ -273,7 +291,7 @@ def score(p: Parameters, words: int, texts: list[np.ndarray], *, lanes: int = 25
     A window has the lanes that have not ended, so memory goes with the sum of the texts, however long one of them is.
     """
     total = np.zeros(len(texts))
-    table = p["embedding"] @ p["input"] + p["bias"]
+    table = _thirds(p["embedding"] @ p["input"] + p["bias"])
     lanes = min(lanes, len(texts))
     held, load = [[] for _ in range(lanes)], [(0, i) for i in range(lanes)]
     for i in sorted(range(len(texts)), key=lambda i: -len(texts[i])):

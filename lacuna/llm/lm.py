@@ -93,8 +93,11 @@ class Vocabulary:
         order = np.argsort(hashes)
         self.hashes, self.counts = hashes[order], counts[order]
         self.ids = np.where(order < self.words, order, self.words).astype(np.int32)
-        self.slots = np.zeros(1 << 22, bool)
-        self.slots[self.hashes >> np.uint64(42)] = True
+        # For each start of 22 bits the number of the first hash that has it, -1 without one.
+        starts, first, sizes = np.unique(self.hashes >> np.uint64(42), return_index=True, return_counts=True)
+        self.slots = np.full(1 << 22, -1, np.int32)
+        self.slots[starts] = first
+        self.most_in_slot = int(sizes.max(initial=0))
         # What is left for the words that the model does not know.
         self.others = int(total - self.ranked.sum())
         self.other_words = int(distinct - self.words)
@@ -102,11 +105,17 @@ class Vocabulary:
     def look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of the model, counts; -1 where the count is not here)."""
         ids, counts = np.full(len(hashes), self.words, np.int32), np.full(len(hashes), -1, np.int64)
-        maybe = np.flatnonzero(self.slots[hashes >> np.uint64(42)])
-        if len(maybe) and len(self.hashes):
-            at = np.minimum(np.searchsorted(self.hashes, hashes[maybe]), len(self.hashes) - 1)
+        first = self.slots[hashes >> np.uint64(42)]
+        maybe = np.flatnonzero(first >= 0)
+        at = first[maybe]
+        for _ in range(self.most_in_slot):
             known = self.hashes[at] == hashes[maybe]
             ids[maybe[known]], counts[maybe[known]] = self.ids[at[known]], self.counts[at[known]]
+            # Those after it, as long as there are any.
+            other = ~known & (at + 1 < len(self.hashes))
+            maybe, at = maybe[other], at[other] + 1
+            if not len(maybe):
+                break
         return ids, counts
 
     def texts(self, column: pa.Array) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:

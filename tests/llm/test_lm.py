@@ -162,3 +162,26 @@ def test_few_texts_still_make_many_steps(monkeypatch):
     monkeypatch.setattr(trainer, "_step", lambda g, rows: seen.append(1))
     trainer.learn(texts)
     assert len(seen) >= 96
+
+
+def test_large_logits_are_shifted_before_they_are_raised():
+    """Only classes whose logits are bounded go without it; both ways give the same."""
+    p = gru.initial(np.arange(200, 0, -1), 50.0)
+    rng = np.random.default_rng(3)
+    p["word"] = rng.standard_normal(p["word"].shape).astype(np.float32)
+    h = rng.uniform(-1, 1, (500, gru.HIDDEN)).astype(np.float32)
+    target = rng.integers(0, 201, 500).astype(np.int32)
+    assert gru._bounded(p["word"], p["word_bias"]).all()
+    plain = gru.log_probabilities(p, h, target, 200)
+    q = dict(p, class_bias=p["class_bias"] + np.float32(500), word_bias=p["word_bias"] + np.float32(500))
+    assert not gru._bounded(q["word"], q["word_bias"]).any()
+    assert np.allclose(gru.log_probabilities(q, h, target, 200), plain, atol=1e-3)
+
+
+def test_words_whose_hashes_begin_alike_are_told_apart():
+    top = [((7 << 42) + i - (1 << 62), 100 - i) for i in range(40)] + [(5, 1), (-1, 1)]
+    v = lm.Vocabulary(top, 10_000, 100)
+    hashes = np.array([w for w, _ in top] + [(7 << 42) + 99 - (1 << 62), 6, -2], np.int64).view(np.uint64)
+    ids, counts = v.look_up(hashes)
+    assert ids.tolist() == [*range(42), 42, 42, 42]
+    assert counts.tolist() == [n for _, n in top] + [-1, -1, -1]
