@@ -31,6 +31,8 @@ from lacuna.llm.tokens import PieceTokenizer, pack_ids, unpack_ids
 from lacuna.llm.words import mix, small_batches
 
 FEISTEL_ROUNDS = 6
+PIECE = 32
+"""Slots of a piece of a shard, about the square root of those of a shard."""
 
 
 def permute(numbers: np.ndarray, n: int, key: int) -> np.ndarray:
@@ -185,12 +187,20 @@ def read_shards(spark: SparkSession, folder: str, layout: Layout, from_slot: int
     """(slot, shard, byte_offset, ids) from ``from_slot`` on; ids as they lie in the file."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").load(folder)
     shard = F.regexp_extract("path", r"([0-9]+)\.bin$", 1).cast("long").alias("shard")
-    number = F.sequence(F.lit(0), (F.length("content") / layout.stride).cast("int") - 1)
-    cut = F.transform(
-        number,
-        lambda i: F.struct(i.alias("i"), F.col("content").substr(i * layout.stride + 1, F.lit(layout.stride)).alias("ids")),
-    )
-    rows = files.select(shard, "content").where(F.col("shard") >= from_slot // layout.slots).select("shard", F.inline(cut))
+
+    def cut(rows: DataFrame, slots: int) -> DataFrame:
+        """Pieces of so many slots, the last one of those left; ``i`` is the first slot of each."""
+        size = slots * layout.stride
+        number = F.sequence(F.lit(0), F.ceil(F.length("content") / size).cast("int") - 1)
+        pieces = F.transform(
+            number,
+            lambda n: F.struct((F.col("i") + n * slots).alias("i"), F.col("content").substr(n * size + 1, F.lit(size)).alias("content")),
+        )
+        return rows.select("shard", F.inline(pieces))
+
+    # Each piece that is cut copies what it is cut from, so a file is cut twice.
+    rows = files.select(shard, F.lit(0).alias("i"), "content").where(F.col("shard") >= from_slot // layout.slots)
+    rows = cut(cut(rows, PIECE), 1).withColumnRenamed("content", "ids")
     slot = F.col("shard") * layout.slots + F.col("i")
     place = (F.col("i") * layout.stride).cast("long").alias("byte_offset")
     return rows.select(slot.alias("slot"), "shard", place, "ids").where(F.col("slot") >= from_slot)
