@@ -99,6 +99,19 @@ def test_sketches(spark):
     assert all(abs(found[p] - n) <= 4 * sketches.standard_error(12) * n + 0.5 for p, n in exact.items())
 
 
+def test_tasks_of_exact_counts_are_as_many_as_the_rows_need(spark, monkeypatch):
+    monkeypatch.setattr(sketches, "TASK_ROWS", 100)
+    rows = [(["a", f"b{i % 3}", f"c{i % 50}"], i % 4001) for i in range(8000)]
+    df = spark.createDataFrame(rows, "lineage array<string>, v int")
+    found = sketches.values_by_prefix(df, "v")
+    sizes = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    pairs = {(tuple(p[:i]), v) for p, v in rows for i in (1, 2, 3)}
+    assert sum(sizes) == len(pairs) and max(sizes) <= 200  # a task had what 64 MB of narrow rows expand to
+    brute = Counter(p for p, _ in pairs)
+    assert {tuple(r.prefix): r.n_distinct for r in sketches.exact_by_prefix(df, "v").collect()} == brute
+    assert sketches.exact_by_prefix(df.where("v < 0"), "v").count() == 0
+
+
 def test_balanced_folds(spark):
     draw = random.Random(5)
     cells = [(i, draw.choice(["big"] * 5 + ["a", "b", "c", "d", None])) for i in range(300)]
