@@ -14,6 +14,7 @@ all pairs, and no result is cut off.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -23,6 +24,8 @@ from lacuna.checkpoints import cut_lineage
 from lacuna.functions.geo import haversine_km
 
 _LEVELS = 16
+TASK_PAIRS = 1_000_000
+"""Pairs of a query and a place that a task compares, about."""
 _AXES = ("x", "y", "z")
 
 
@@ -94,6 +97,22 @@ def _within_reach(df: DataFrame, level: Column, inside: bool = False) -> DataFra
     )
 
 
+def _dealt(asking: DataFrame, spots: DataFrame, cubes: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Queries (lat, lon, cube, ``n`` places in it) and places, dealt by cube to as many tasks as the pairs of the two need.
+
+    A cube with more pairs than a task takes is dealt by ``part``: its queries to one of them, its places to all.
+    """
+    spark = asking.sparkSession
+    load = cut_lineage(spark, asking.groupBy(*cubes).agg(F.sum("n").alias("pairs")))
+    pairs = load.agg(F.sum("pairs")).first()[0] or 0
+    tasks = max(spark.sparkContext.defaultParallelism, math.ceil(pairs / TASK_PAIRS))
+    parts = load.select(*cubes, F.ceil(F.col("pairs") / TASK_PAIRS).cast("int").alias("parts"))
+    part = F.coalesce(F.pmod(F.xxhash64("lat", "lon"), F.col("parts")).cast("int"), F.lit(0)).alias("part")
+    to_one = asking.join(parts.where("parts > 1"), cubes, "left").select("lat", "lon", *cubes, part)
+    to_all = spots.join(parts, cubes).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    return to_one.repartition(tasks, *cubes, "part"), to_all.repartition(tasks, *cubes, "part")
+
+
 def nearest_places(
     queries: DataFrame, places: DataFrame, k: int, cube_places: int = 64
 ) -> DataFrame:
@@ -160,7 +179,7 @@ def nearest_places(
             .select(*query, "reach", *cubes, "n"),
         )
         large = (F.col("n") > cube_places) & (level < _LEVELS)
-        settled.append(frontier.where(~large).drop("n"))
+        settled.append(frontier.where(~large).select("lat", "lon", *cubes, "n"))
         if frontier.where(large).isEmpty():
             break
         finer = F.least(level + 2, F.lit(_LEVELS))
@@ -171,9 +190,9 @@ def nearest_places(
     )
     km = F.round(haversine_km(F.col("lat"), F.col("lon"), F.col("nlat"), F.col("nlon")), 6)
     by_spot = Window.partitionBy("lat", "lon").orderBy("distance_km", "neighbour_id")
+    asking, held = _dealt(reduce(DataFrame.unionByName, settled), spot, cubes)
     best = (
-        reduce(DataFrame.unionByName, settled)
-        .join(spot, cubes)
+        asking.join(held, [*cubes, "part"])
         .select("lat", "lon", "neighbour_id", km.alias("distance_km"))
         .withColumn("rank", F.row_number().over(by_spot))
         .where(F.col("rank") <= k + 1)

@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -187,6 +188,30 @@ def test_nearest_places_against_brute_force(spark, k, cube_places):
     assert got == brute
 
 
+def test_pairs_of_a_crowded_cube_are_dealt_to_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(geo, "TASK_PAIRS", 100)
+    cubes = ["cube_level", "cx", "cy", "cz"]
+    crowded = spark.range(100).selectExpr("id * 0.1 AS lat", "0.0D AS lon", "16 AS cube_level", "1L AS cx", "2L AS cy", "3L AS cz", "30L AS n")
+    lone = spark.range(5).selectExpr("id * 0.1 AS lat", "0.0D AS lon", "3 AS cube_level", "id AS cx", "0L AS cy", "0L AS cz", "1L AS n")
+    spots = spark.range(30).selectExpr("id", "16 AS cube_level", "1L AS cx", "2L AS cy", "3L AS cz")
+    spots = spots.unionByName(spark.range(5).selectExpr("id", "3 AS cube_level", "id AS cx", "0L AS cy", "0L AS cz"))
+    asking, held = geo._dealt(crowded.unionByName(lone), spots, cubes)
+    joined = asking.join(held.hint("merge"), [*cubes, "part"])
+    rows = joined.select("lat", "id", "cube_level", F.spark_partition_id().alias("task")).collect()
+    assert len(rows) == len({(r.lat, r.id, r.cube_level) for r in rows}) == 3005
+    tasks = Counter(r.task for r in rows)
+    assert len(tasks) > 10 and max(tasks.values()) <= 1000  # one task had all of a cube's
+
+
+def test_nearest_places_dealt_to_many_tasks_are_the_same(spark, monkeypatch):
+    rng = random.Random(7)
+    places = [(n, 10 + rng.uniform(0, 0.02), 20 + rng.uniform(0, 0.02)) for n in range(120)]
+    df = spark.createDataFrame(places, "id long, lat double, lon double")
+    whole = sorted(map(tuple, geo.nearest_places(df, df, 3).collect()))
+    monkeypatch.setattr(geo, "TASK_PAIRS", 40)
+    assert sorted(map(tuple, geo.nearest_places(df, df, 3).collect())) == whole and len(whole) == 360
+
+
 def test_nearest_with_fewer_places_than_asked(spark):
     two = spark.createDataFrame([("a", 0.0, 0.0), ("b", 1.0, 1.0), ("z", None, None)], "id string, lat double, lon double")
     assert {(r.id, r.neighbour_id) for r in geo.nearest_places(two, two, 5).collect()} == {("a", "b"), ("b", "a")}
