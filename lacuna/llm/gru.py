@@ -13,6 +13,8 @@ import numpy as np
 
 CLASS = 64
 HIDDEN = 24
+WINDOW = 1 << 14
+"""Words that a window of scoring takes, about."""
 Parameters = dict[str, np.ndarray]
 
 
@@ -285,10 +287,11 @@ class Trainer:
         return float(np.mean(losses))
 
 
-def score(p: Parameters, words: int, texts: list[np.ndarray], *, lanes: int = 256, steps: int = 32) -> np.ndarray:
+def score(p: Parameters, words: int, texts: list[np.ndarray], *, lanes: int = 512, steps: int = 32) -> np.ndarray:
     """Natural log-probability of each whole text, the state carried across windows. Texts share lanes, one after another.
 
-    A window has the lanes that have not ended, so memory goes with the sum of the texts, however long one of them is.
+    A window has the lanes that have not ended, so memory goes with the sum of the texts, however long one of them is. Few
+    lanes have longer windows, as the softmax costs little more for many words than for few.
     """
     total = np.zeros(len(texts))
     table = _thirds(p["embedding"] @ p["input"] + p["bias"])
@@ -312,13 +315,16 @@ def score(p: Parameters, words: int, texts: list[np.ndarray], *, lanes: int = 25
     before = np.where(begins, np.int32(words + 1), np.concatenate([[np.int32(0)], goal[:-1]]))
     starts = np.cumsum(sizes) - sizes
     h = np.zeros((lanes, HIDDEN), np.float32)
-    for at in range(0, int(sizes[0]), steps):
+    at = 0
+    while at < int(sizes[0]):
         active = int((sizes > at).sum())
-        step = at + np.arange(min(steps, int(sizes[0]) - at))[:, None]
+        count = min(max(steps, WINDOW // active), int(sizes[0]) - at)
+        step = at + np.arange(count)[:, None]
         there = step < sizes[:active]
         cells = np.where(there, starts[:active] + step, starts[:active])
         hidden, h, _ = states(p, table, before[cells], begins[cells], h[:active], False)
         cells = cells[there]
         logs = log_probabilities(p, hidden[there], goal[cells], words)
         total += np.bincount(owner[cells], logs, minlength=len(texts))
+        at += count
     return total

@@ -38,6 +38,8 @@ END = int(stream(99, 1)[0])
 """Stands for the end of a text, beside the hashes of words."""
 _MERGE_AT = 1_500_000
 _TEXTS_TOKENS = 1_500_000
+_LEARN_TOKENS = WORKER_TOKENS // ROUNDS * 3 // 2
+"""A worker's part of a round is about two thirds of that: a small rest of it would be learned in narrow windows, which cost more a word."""
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -175,7 +177,7 @@ def train(docs: DataFrame, vocabulary: Vocabulary, store: Store) -> gru.Paramete
                 for x in batch.column("ids").to_pylist():
                     held.append(np.frombuffer(x, np.int32))
                     size += len(held[-1])
-                    if size > 1_000_000:
+                    if size > _LEARN_TOKENS:
                         trainer.learn(held)
                         seen, held, size = seen + size, [], 0
             if held:

@@ -154,6 +154,16 @@ def test_a_very_long_text_among_short_ones_takes_memory_once():
     np.testing.assert_allclose(together[:2], gru.score(p, 100, texts[:2]), rtol=1e-5)
 
 
+def test_few_lanes_have_long_windows(monkeypatch):
+    p, rng = model(), np.random.default_rng(8)
+    texts = [rng.integers(0, 100, n).astype(np.int32) for n in (20_000, *[100] * 50)]
+    alone = [gru.score(p, 100, [t])[0] for t in texts]
+    widths, whole = [], gru.log_probabilities
+    monkeypatch.setattr(gru, "log_probabilities", lambda p, h, *rest: widths.append(len(h)) or whole(p, h, *rest))
+    np.testing.assert_allclose(gru.score(p, 100, texts), alone, rtol=1e-5)
+    assert sum(widths) == 25_000 and max(widths) <= gru.WINDOW and len(widths) < 20  # one for each 32 words of the long text
+
+
 def test_few_texts_still_make_many_steps(monkeypatch):
     """A pass narrows its windows before it makes few of them."""
     seen = []
