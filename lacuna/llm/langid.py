@@ -21,7 +21,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -174,8 +173,8 @@ def fit(
 ) -> CentroidModel:
     """Learn from the columns text and lang of ``training``.
 
-    ``sample_rows`` bounds the rows that the k-means of all languages together gets on the driver,
-    about ``sample_rows * 16`` KB; a language's share is chosen by the hash of the text.
+    ``sample_rows`` bounds the rows that the k-means of all languages together gets, in a task for each
+    language, about ``sample_rows * 16`` KB; a language's share is chosen by the hash of the text.
     """
     rows = training.where(F.col("lang").isNotNull() & has_letter(F.col("text"))).select("text", "lang")
 
@@ -220,18 +219,28 @@ def fit(
                     names=["lang", "place", "size", "vector"],
                 )
 
-    sample = (
+    def centres_of(group: pa.Table) -> pa.Table:
+        """The centroids of a language, and the best cosine and the size of each of its rows."""
+        keys = list(zip(group["place"].to_pylist(), group["vector"].to_pylist(), strict=True))
+        first = sorted(range(len(keys)), key=keys.__getitem__)[:share]
+        unit = np.stack([np.frombuffer(keys[i][1], np.float16) for i in first]).astype(np.float32)
+        centres = _k_means(unit, per_language)
+        reached, size = (unit @ centres.T).max(axis=1), group["size"].to_numpy()[first].astype(np.int32)
+        columns = [group["lang"][:1].combine_chunks(), *[pa.array([x.tobytes()], pa.binary()) for x in (centres, reached, size)]]
+        return pa.table(columns, names=["lang", "centres", "reached", "size"])
+
+    # The driver gets a row for each language, without the vectors.
+    learned = (
         rows.where(wanted).select("text", "lang", place.alias("place"))
-        .mapInArrow(vectors, "lang string, place long, size int, vector binary").toPandas()
+        .mapInArrow(vectors, "lang string, place long, size int, vector binary")
+        .groupBy("lang").applyInArrow(centres_of, "lang string, centres binary, reached binary, size binary").collect()
     )
     languages, centroids, reached = [], [], []
-    for lang, group in sample.sort_values(["lang", "place", "vector"]).groupby("lang"):
-        group = group.head(share)
-        unit = np.stack([np.frombuffer(x, np.float16) for x in group["vector"]]).astype(np.float32)
-        centres = _k_means(unit, per_language)
-        languages += [lang] * len(centres)
+    for r in sorted(learned, key=lambda r: r["lang"]):
+        centres = np.frombuffer(r["centres"], np.float32).reshape(-1, BUCKETS)
+        languages += [r["lang"]] * len(centres)
         centroids.append(centres)
-        reached += [((unit @ centres.T).max(axis=1), group["size"].to_numpy())] * len(centres)
+        reached += [(np.frombuffer(r["reached"], np.float32), np.frombuffer(r["size"], np.int32))] * len(centres)
     of_all = _floors(*(np.concatenate(x) for x in zip(*reached)), np.full(SIZES, reject_below))
     floors = [_floors(scores, sizes, of_all) for scores, sizes in reached]
     return CentroidModel(languages, np.concatenate(centroids).astype(np.float32), idf, np.stack(floors))

@@ -64,3 +64,20 @@ def test_columns_with_clashing_names(spark, model):
 def test_query(spark):
     found = QUERIES["op8_language"].run(spark, "/root/testdata/sf0.001")
     assert found.columns[:4] == ["doc_id", "held_out", "lang_pred", "score"] and found.count() == 200
+
+
+def test_the_driver_gets_no_vectors_of_texts(spark, monkeypatch):
+    """Bytes of the tables that reach the driver: those of the centroids, whatever the sample."""
+    taken, kind = [], type(spark.range(0))
+    for name in ("collect", "toPandas"):
+        def spy(self, *args, take=getattr(kind, name)):
+            out = take(self, *args)
+            rows = out if isinstance(out, list) else out.itertuples(index=False)
+            taken.append(sum(len(x) for r in rows for x in r if isinstance(x, (bytes, bytearray))))
+            return out
+
+        monkeypatch.setattr(kind, name, spy)
+    docs = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text", "lang")
+    model = langid.fit(langid.training_rows(docs))
+    assert len(model.centroids) == 4 * len(set(model.languages))
+    assert sum(taken) < 1.5 * model.centroids.nbytes

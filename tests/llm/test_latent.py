@@ -100,3 +100,30 @@ def test_product_with_the_rows_is_the_dense_one(spark):
     shared = spark.sparkContext.broadcast(weights)
     got = latent._multiply(latent._rare_only(rows, shared), shared, x)
     np.testing.assert_allclose(got, dense.T @ (dense @ x), rtol=1e-4, atol=1e-3)
+
+
+def test_the_drivers_matrices_are_few(spark):
+    """Without the passages as dense rows, and without a matrix for each term of a product."""
+    import tracemalloc
+
+    rng = random.Random(4)
+    texts = [" ".join(f"w{rng.randint(0, 9000)}" for _ in range(40)) for _ in range(400)]
+    items = latent._items(pd.DataFrame({"item_id": range(400), "text": texts}))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    store = Store(spark, "latent-memory")
+    tracemalloc.start()
+    space = latent.fit(docs, items, store)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    basis = 8 * len(items.vocabulary) * (space.vectors.shape[1] + latent.OVERSAMPLING)
+    assert most < 5 * basis
+
+
+def test_unit_rows_are_the_dense_ones():
+    rng = np.random.default_rng(1)
+    weights = rng.random(50).astype(np.float32)
+    passages = [rng.permutation(50)[:n] for n in (1, 5, 24)]
+    for p, (at, w) in zip(passages, latent._unit_rows(passages, weights), strict=True):
+        dense = np.zeros(50)
+        dense[p] = weights[p]
+        assert np.allclose(dense[at], w * np.linalg.norm(dense)) and set(at) == set(np.flatnonzero(dense))
