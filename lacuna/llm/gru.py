@@ -8,6 +8,7 @@ start of a text has id ``words + 1``. With all weights at zero but the biases th
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -65,13 +66,58 @@ def _bounded(weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
     return ((sizes + bias).max(axis=-1) < SAFE) & ((bias - sizes).max(axis=-1) > -SAFE)
 
 
-def _exponentials(x: np.ndarray, chosen: np.ndarray, bounded: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(log softmax at one place of each column, sums); leaves the exponentials, whose sums these are, in ``x``."""
+STRIP = 512
+"""Words whose logits are handled at once, so that they stay in a core's cache."""
+
+
+def _strips(n: int) -> Iterator[slice]:
+    return (slice(at, min(n, at + STRIP)) for at in range(0, n, STRIP))
+
+
+def _exponentials(x: np.ndarray, chosen: np.ndarray, bounded: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(log softmax at one place of each row, sums, where those places are in all of ``x``); leaves the exponentials, whose sums these are, in ``x``."""
     if not bounded:
-        x -= x.max(axis=0)
-    own = x[chosen, np.arange(x.shape[1])]
-    sums = np.exp(x, out=x).sum(axis=0)
-    return own - np.log(sums), sums
+        x -= x.max(axis=1, keepdims=True)
+    at = np.arange(0, x.size, x.shape[1]) + chosen
+    own = x.reshape(-1).take(at)
+    sums = np.exp(x, out=x) @ np.ones(x.shape[1], x.dtype)
+    return own - np.log(sums), sums, at
+
+
+def _with_one(h: np.ndarray) -> np.ndarray:
+    """``h`` with a column of ones, which takes the bias into a product."""
+    out = np.ones((len(h), HIDDEN + 1), h.dtype)
+    out[:, :HIDDEN] = h
+    return out
+
+
+Piece = list[tuple[int, int, int, int]]
+
+
+def _pieces(cuts: list[tuple[int, int, int]]) -> Iterator[tuple[slice, Piece]]:
+    """Strips of the rows that are in the order of their classes, with (number of the cut, class, start, end) of the classes in each."""
+    held: Piece = []
+    at = begin = 0
+    for i, (c, s, e) in enumerate(cuts):
+        while s < e:
+            at = min(e, begin + STRIP)
+            held.append((i, c, s, at))
+            s = at
+            if at == begin + STRIP:
+                yield slice(begin, at), held
+                held, begin = [], at
+    if held:
+        yield slice(begin, at), held
+
+
+def _word_logits(weights: np.ndarray, bounded: list[bool], own: np.ndarray, begin: int, piece: Piece) -> np.ndarray:
+    """Logits of the words of each row's class, for the rows of a piece that begins there; those that have no bound are shifted."""
+    logits = np.empty((piece[-1][3] - begin, CLASS), own.dtype)
+    for _, c, s, e in piece:
+        x = np.matmul(own[s:e], weights[c], out=logits[s - begin : e - begin])
+        if not bounded[c]:
+            x -= x.max(axis=1, keepdims=True)
+    return logits
 
 
 def _gates(p: Parameters) -> np.ndarray:
@@ -132,16 +178,16 @@ def log_probabilities(p: Parameters, h: np.ndarray, target: np.ndarray, words: i
     """Natural log of the probability of each target, for other words of their class."""
     last = p["class_bias"].shape[0] - 1
     classes = np.where(target < words, target // CLASS, last)
-    logits = p["class"].T @ h.T
-    logits += p["class_bias"][:, None]
-    out = _exponentials(logits, classes, _bounded(p["class"], p["class_bias"]))[0].astype(np.float64)
+    h, weights, bounded = _with_one(h), np.vstack([p["class"], p["class_bias"]]), _bounded(p["class"], p["class_bias"])
+    out = np.empty(len(h))
+    for s in _strips(len(h)):
+        out[s] = _exponentials(h[s] @ weights, classes[s], bounded)[0]
     order, cuts = _by_class(classes, last)
-    own, place = h[order], target[order] % CLASS
-    found, bounded = np.empty(len(order)), _bounded(p["word"], p["word_bias"])
-    for c, s, e in cuts:
-        logits = p["word"][c].T @ own[s:e].T
-        logits += p["word_bias"][c][:, None]
-        found[s:e] = _exponentials(logits, place[s:e], bounded[c])[0]
+    place, found = target.take(order) % CLASS, np.empty(len(order))
+    own, weights = h.take(order, axis=0), np.concatenate([p["word"], p["word_bias"][:, None]], axis=1)
+    bounded = _bounded(p["word"], p["word_bias"]).tolist()
+    for s, piece in _pieces(cuts):
+        found[s] = _exponentials(_word_logits(weights, bounded, own, s.start, piece), place[s], True)[0]
     out[order] += found
     return out
 
@@ -169,49 +215,61 @@ def touched(p: Parameters, before, target, fresh, used, h0, words: int):
 
     last = p["class_bias"].shape[0] - 1
     classes = np.where(goal < words, goal // CLASS, last)
-    d = p["class"].T @ h.T
-    d += p["class_bias"][:, None]
-    logs, sums = _exponentials(d, classes, _bounded(p["class"], p["class_bias"]))
-    loss = -(logs * scale).sum()
-    d *= scale / sums
-    d[classes, np.arange(len(h))] -= scale
-    g["class"], g["class_bias"] = h.T @ d.T, d.sum(1)
-    dh = d.T @ p["class"].T
+    h, dh = _with_one(h), np.empty_like(h)
+    weights, bounded = np.vstack([p["class"], p["class_bias"]]), _bounded(p["class"], p["class_bias"])
+    loss, sums_of_class, back_of_class = 0.0, np.zeros_like(weights), p["class"].T
+    for s in _strips(len(h)):
+        d = h[s] @ weights
+        logs, sums, at = _exponentials(d, classes[s], bounded)
+        loss -= (logs * scale[s]).sum()
+        d *= (scale[s] / sums)[:, None]
+        d.reshape(-1)[at] -= scale[s]
+        sums_of_class += h[s].T @ d
+        np.matmul(d, back_of_class, out=dh[s])
+    g["class"], g["class_bias"] = sums_of_class[:HIDDEN], sums_of_class[HIDDEN]
     order, cuts = _by_class(classes, last)
-    own, places, scales = h[order], goal[order] % CLASS, scale[order]
-    back = np.empty_like(own)
+    own, places, scales = h.take(order, axis=0), goal.take(order) % CLASS, scale.take(order)
     rows["word"] = rows["word_bias"] = np.array([c for c, _, _ in cuts], np.int64)
-    g["word"] = np.empty((len(cuts), HIDDEN, CLASS), p["word"].dtype)
-    g["word_bias"] = np.empty((len(cuts), CLASS), p["word"].dtype)
-    bounded = _bounded(p["word"], p["word_bias"])
-    for i, (c, s, e) in enumerate(cuts):
-        d = p["word"][c].T @ own[s:e].T
-        d += p["word_bias"][c][:, None]
-        logs, sums = _exponentials(d, places[s:e], bounded[c])
-        loss -= (logs * scales[s:e]).sum()
-        d *= scales[s:e] / sums
-        d[places[s:e], np.arange(e - s)] -= scales[s:e]
-        g["word"][i], g["word_bias"][i] = own[s:e].T @ d.T, d.sum(1)
-        back[s:e] = d.T @ p["word"][c].T
-    dh[order] += back
+    weights, bounded = np.concatenate([p["word"], p["word_bias"][:, None]], axis=1), _bounded(p["word"], p["word_bias"]).tolist()
+    back = np.empty((len(order), HIDDEN), dh.dtype)
+    sums_of_word = np.zeros((len(cuts), HIDDEN + 1, CLASS), weights.dtype)
+    for strip, piece in _pieces(cuts):
+        d = _word_logits(weights, bounded, own, strip.start, piece)
+        logs, sums, at = _exponentials(d, places[strip], True)
+        loss -= (logs * scales[strip]).sum()
+        d *= (scales[strip] / sums)[:, None]
+        d.reshape(-1)[at] -= scales[strip]
+        for i, c, s, e in piece:
+            mine = d[s - strip.start : e - strip.start]
+            sums_of_word[i] += own[s:e].T @ mine
+            np.matmul(mine, p["word"][c].T, out=back[s:e])
+    g["word"], g["word_bias"] = np.ascontiguousarray(sums_of_word[:, :HIDDEN]), sums_of_word[:, HIDDEN].copy()
+    back += dh.take(order, axis=0)
+    dh[order] = back
 
     dh = dh.reshape(steps, lanes, HIDDEN)
-    r, z = gates[:, 0], gates[:, 1]
-    to_candidate = (1 - z) * (1 - cand * cand)
-    to_update = (prior - cand) * z * (1 - z)
-    to_reset = prior * r * (1 - r)
     recurrent, candidate = _gates(p).transpose(0, 2, 1).copy(), p["candidate"].T.copy()
     carry = np.zeros((lanes, HIDDEN), dh.dtype)
     dx = np.empty((3, steps, lanes, HIDDEN), dh.dtype)
     begins = fresh.any(axis=1).tolist()
     for t in range(steps - 1, -1, -1):
-        d = dh[t]
+        d, (r, z), c, before_it = dh[t], gates[t], cand[t], prior[t]
         d += carry
-        drh = np.multiply(d, to_candidate[t], out=dx[2, t]) @ candidate
-        np.multiply(drh, to_reset[t], out=dx[0, t])
-        np.multiply(d, to_update[t], out=dx[1, t])
-        d *= z[t]
-        drh *= r[t]
+        kept = 1 - z
+        to_update = before_it - c
+        to_update *= z
+        to_update *= kept
+        to_candidate = c * c
+        np.subtract(1, to_candidate, out=to_candidate)
+        to_candidate *= kept
+        drh = np.multiply(d, to_candidate, out=dx[2, t]) @ candidate
+        to_reset = 1 - r
+        to_reset *= r
+        to_reset *= before_it
+        np.multiply(drh, to_reset, out=dx[0, t])
+        np.multiply(d, to_update, out=dx[1, t])
+        d *= z
+        drh *= r
         d += drh
         d += dx[0, t] @ recurrent[0]
         d += dx[1, t] @ recurrent[1]
@@ -220,9 +278,9 @@ def touched(p: Parameters, before, target, fresh, used, h0, words: int):
             carry[fresh[t]] = 0
     flat = prior.reshape(-1, HIDDEN)
     dr, dz, dn = dx.reshape(3, -1, HIDDEN)
-    g["candidate"] = (r * prior).reshape(-1, HIDDEN).T @ dn
+    g["candidate"] = (gates[:, 0] * prior).reshape(-1, HIDDEN).T @ dn
     g["gates"] = np.concatenate([flat.T @ dr, flat.T @ dz], axis=1)
-    sums = np.add.reduceat(np.concatenate([dr, dz, dn], axis=1)[by_id], first, axis=0)
+    sums = np.concatenate([np.add.reduceat(x.take(by_id, axis=0), first, axis=0) for x in (dr, dz, dn)], axis=1)
     g["bias"] = sums.sum(0)
     g["input"] = vectors.T @ sums
     g["embedding"] = sums @ p["input"].T

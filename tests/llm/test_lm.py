@@ -195,3 +195,25 @@ def test_words_whose_hashes_begin_alike_are_told_apart():
     ids, counts = v.look_up(hashes)
     assert ids.tolist() == [*range(42), 42, 42, 42]
     assert counts.tolist() == [n for _, n in top] + [-1, -1, -1]
+
+
+def test_pieces_hold_all_rows_of_all_classes():
+    cuts = [(0, 0, 1300), (2, 1300, 1310), (3, 1310, 1536), (7, 1536, 2000)]
+    pieces = list(gru._pieces(cuts))
+    assert [(s.start, s.stop) for s, _ in pieces] == [(0, 512), (512, 1024), (1024, 1536), (1536, 2000)]
+    rows = [(c, row) for _, piece in pieces for i, c, s, e in piece for row in range(s, e) if cuts[i][0] == c]
+    assert rows == [(c, row) for c, s, e in cuts for row in range(s, e)] and list(gru._pieces([])) == []
+
+
+def test_logits_are_held_in_strips():
+    """A window's logits, of all its words at once, would take more than the bound by themselves."""
+    p, rng = gru.initial(np.arange(4096, 0, -1), 50.0), np.random.default_rng(6)
+    h = rng.uniform(-1, 1, (50_000, gru.HIDDEN)).astype(np.float32)
+    target = rng.integers(0, 4097, len(h)).astype(np.int32)
+    tracemalloc.start()
+    whole = gru.log_probabilities(p, h, target, 4096)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 * len(h) * 80
+    parts = [gru.log_probabilities(p, h[i : i + 300], target[i : i + 300], 4096) for i in range(0, 3000, 300)]
+    np.testing.assert_allclose(whole[:3000], np.concatenate(parts), atol=1e-4)
