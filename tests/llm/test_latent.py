@@ -127,3 +127,22 @@ def test_unit_rows_are_the_dense_ones():
         dense = np.zeros(50)
         dense[p] = weights[p]
         assert np.allclose(dense[at], w * np.linalg.norm(dense)) and set(at) == set(np.flatnonzero(dense))
+
+
+def test_sums_are_fetched_by_few_jobs(spark):
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randint(0, 900)}" for _ in range(40)) for _ in range(40)]
+    items = latent._items(pd.DataFrame({"item_id": range(40), "text": texts}))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    names = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in names}
+    tracker, jobs = spark.sparkContext.statusTracker(), []
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        jobs = set(tracker.getJobIdsForGroup())
+        latent.fit(docs, items, Store(spark, "latent-jobs"))
+        assert len(set(tracker.getJobIdsForGroup()) - jobs) < 60
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
