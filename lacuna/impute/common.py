@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.checkpoints import cut_lineage
+from lacuna.checkpoints import stored
 from lacuna.kb.knowledge_base import KEY, KnowledgeBase
 from lacuna.operators.ordered import numbered
 
@@ -19,7 +19,8 @@ def feature_index(cells: DataFrame, targets: DataFrame) -> tuple[DataFrame, int]
     """(feature, i) and the number of features, in the order of their names; stored, so that numbers last."""
     names = cells.select("feature").unionByName(targets.select("feature")).distinct()
     index = numbered(names, ["feature"], "i").select("feature", F.col("i").cast("int").alias("i"))
-    index = cut_lineage(cells.sparkSession, index)
+    # A table of files has a known size, so a join with a small one needs no shuffle.
+    index = stored(cells.sparkSession, index, "features")
     return index, index.count()
 
 

@@ -14,6 +14,7 @@ from lacuna.impute import (
     RandomImputer,
     SoftImputeImputer,
 )
+from lacuna.impute import neighbours
 from lacuna.impute.common import feature_index, fill
 from lacuna.impute.neighbours import nearest_in_block
 from lacuna.impute.prompts import ICLPrompt, KGPrompt
@@ -295,3 +296,67 @@ def test_knn_tasks_hold_one_pair_of_blocks_on_average(spark):
     ranked, _ = imputer.neighbours(cells, cells.where("value IS NULL"))
     plan = ranked._jdf.queryExecution().optimizedPlan().toString()
     assert f"{blocks * blocks}" in [x.rsplit(", ", 1)[-1].strip() for x in plan.splitlines() if "RepartitionByExpression" in x]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_the_search_by_tiles_finds_the_nearest_of_all(monkeypatch, seed):
+    """Over bits, with ties, rare features, features that no row knows and rows with nothing in common."""
+    monkeypatch.setattr(neighbours, "_TILE_ROWS", 64)
+    rng = np.random.default_rng(seed)
+    n, n_features, k, scale = 1500, 11, 3, 1000
+    known = rng.random((n, n_features)) < np.array([0.8] * 6 + [0.3, 0.1, 0.01, 0.001, 0.0])
+    ones = known & (rng.random((n, n_features)) < 0.4)
+    data = np.hstack([np.packbits(known, axis=1), np.packbits(ones, axis=1)])
+    rows = neighbours._Rows(data, n_features, True)
+    mine, need = np.arange(0, n, 30), ~known[::30]
+    search = neighbours._Search(rows.part(mine), need, rows, k, scale)
+    search.run()
+    assert np.isfinite(search.bound).mean() > 0.9
+    got = {}
+    for row, feature, distance, place, value in search.answers():
+        for r, f, d, p, v in zip(row.tolist(), feature.tolist(), distance.tolist(), place.tolist(), value.tolist(), strict=True):
+            got.setdefault((r, f), []).append((d, p, v))
+    expect = {}
+    for r, q in enumerate(mine):
+        common = (known[q] & known).sum(axis=1)
+        squares = ((ones[q] != ones) & known[q] & known).sum(axis=1)
+        distance = np.where(common > 0, squares * scale // np.maximum(common, 1), -1)
+        for f in np.flatnonzero(need[r]):
+            at = np.flatnonzero(known[:, f] & (common > 0))
+            at = at[np.lexsort((at, distance[at]))][:k]
+            if len(at):
+                expect[r, int(f)] = [(float(distance[p]), int(p), float(ones[p, f])) for p in at]
+    assert got == expect
+
+
+def test_knn_compares_few_rows_one_by_one(monkeypatch):
+    """Once a query has a bound, only rows below it leave the product of matrices."""
+    counted, whole = [], neighbours._Rows.distances
+    monkeypatch.setattr(neighbours._Rows, "distances", lambda self, other, scale: counted.append(len(self.data)) or whole(self, other, scale))
+    rng = np.random.default_rng(3)
+    known = rng.random((20_000, 32)) < 0.8
+    data = np.hstack([np.packbits(known, axis=1), np.packbits(known & (rng.random(known.shape) < 0.5), axis=1)])
+    rows = neighbours._Rows(data, 32, True)
+    search = neighbours._Search(rows.part(slice(0, 50)), ~known[:50], rows, 5, 1_000_000)
+    search.run()
+    assert np.isfinite(search.bound).all() and sum(counted) < 50 * len(data) / 50
+
+
+@pytest.mark.parametrize(("values", "sections"), [("f % 2", 1), ("f + 0.5", 10)])
+def test_knn_tasks_give_k_rows_of_a_section_for_each_cell(spark, values, sections):
+    """Not of each block, and blocks of bits are few to a section."""
+    n, k = 320, 2
+    cells = spark.range(n).selectExpr("id AS entity_id", "explode(sequence(0, 3)) AS f").selectExpr(
+        "entity_id", "string(f) AS feature", f"if(f = entity_id % 4, null, double({values}) + entity_id * {int(sections > 1)}) AS value"
+    )
+    found, _ = KNNImputer(k=k, block_bytes=n // 10 * 8 * 4, min_block_rows=1)._found(cells, cells.where("value IS NULL"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert ("collect_list(near" in plan) == (sections > 1)
+    near = found.groupBy("pattern_id", "feature").agg(F.count("*").alias("n"), F.max(F.size("near")).alias("size")).collect()
+    assert near and all(r.n == 1 and r.size <= k for r in near)
+
+
+def test_a_small_feature_index_needs_no_shuffle_of_the_cells(spark):
+    cells = matrix(spark, {"a": "1?", "b": "01"})
+    index, _ = feature_index(cells, cells)
+    assert "BroadcastHashJoin" in cells.join(index, "feature")._jdf.queryExecution().executedPlan().toString()
