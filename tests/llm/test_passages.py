@@ -243,3 +243,31 @@ def test_rows_without_a_run_of_seeds_left_are_not_unpacked():
         assert may or not some
         skipped += not may
     assert skipped > 20
+
+
+def test_changed_passages_whose_parts_stand_in_documents_before(spark):
+    """Of two documents with nearly the same passage nine in ten are linked, though all its seeds stand first in two others."""
+    rng = random.Random(90)
+    rows, wanted = [], set()
+    for i in range(0, 120, 4):
+        one, two = prose(rng, 40), prose(rng, 40)
+        changed = one + two
+        for j in rng.sample(range(80), 8):
+            changed[j] = f"changed{rng.random()}"
+        texts = [prose(rng, 70) + one + prose(rng, 40), prose(rng, 30) + two + prose(rng, 60)]
+        texts += [prose(rng, 80) + one + two + prose(rng, 50), prose(rng, 30) + changed + prose(rng, 90)]
+        rows += [(i + j, " ".join(words)) for j, words in enumerate(texts)]
+        wanted.add((i + 3, i + 2))
+    found = {(r.doc_id, r.ref_doc_id): r for r in run(spark, rows)}
+    assert set(found) <= wanted and len(found) >= 0.9 * len(wanted)
+    assert all(r.similarity >= 0.75 and min(r.end - r.start, r.ref_end - r.ref_start) >= 50 for r in found.values())
+
+
+def test_a_passage_that_stands_first_with_other_words_within(spark):
+    rng = random.Random(91)
+    one, two = prose(rng, 40), prose(rng, 40)
+    changed = one + two
+    changed[20] = changed[60] = "changed"
+    rows = [(1, one + prose(rng, 300) + two), (2, prose(rng, 50) + one + two + prose(rng, 50)), (3, prose(rng, 9) + changed + prose(rng, 50))]
+    (found,) = run(spark, [(i, " ".join(words)) for i, words in rows])
+    assert (found.doc_id, found.start, found.end, found.ref_doc_id, found.ref_start, found.ref_end, found.matched) == (3, 9, 89, 2, 50, 130, 78)
